@@ -7,8 +7,9 @@ order, a set needs to sign the first k+1 only: the first non-empty range on whic
 no more than k non-empty ranges signs all of them and one common mark besides, so nothing is lost on very small sets.
 
 Signatures meet in one shuffle.  Candidates are checked exactly, first as stars: each holder of a signature against the least id with it.
-Only where the holders of a signature end up in different components are the remaining pairs across those components checked.
-So large groups of copies cost rows in proportion to their size, never its square.
+Only where the holders of a signature end up in different components are the remaining pairs across those components looked at, once for
+each least holder.  Before texts are compared, a sketch of SKETCH bits, the parity of the shingles that hash to each, rules out pairs whose
+sketches differ in more bits than similar sets can.  So large groups of copies cost rows in proportion to their size, not its square.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from ._store import written
 from ._text import mix, slices, split_words, window_hashes
 
 BAND = 1.5
+SKETCH = 1024
+_WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 _U = np.uint64
 
 
@@ -49,8 +52,20 @@ def shingle_sets(data, bounds, width: int):
     return doc[new], s[new]
 
 
+def _sketches(doc: np.ndarray, s: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, SKETCH / 64) words; each shingle turns one bit over."""
+    bit = (mix(s ^ _U(0x2545F4914F6CDD1D)) % _U(SKETCH)).astype(np.int64)
+    out = np.zeros((rows, SKETCH // 64), np.int64)
+    for lo in range(0, rows, 512):
+        a, b = np.searchsorted(doc, [lo, lo + 512])
+        n = min(512, rows - lo)
+        odd = np.bincount((doc[a:b] - lo) * SKETCH + bit[a:b], minlength=n * SKETCH) & 1
+        out[lo : lo + n] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(n, -1)
+    return out
+
+
 def _sets(width: int):
-    """Of each row: its id, the size of its set and two hashes of the set."""
+    """Of each row: its id, the size of its set, two hashes of the set and its sketch."""
 
     def run(batches):
         for batch in batches:
@@ -60,7 +75,8 @@ def _sets(width: int):
                 h1, h2 = np.zeros(hi - lo, _U), np.zeros(hi - lo, _U)
                 np.add.at(h1, doc, mix(s))
                 np.add.at(h2, doc, mix(s ^ _U(0x5851F42D4C957F2D)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc", "n", "h1", "h2"])
+                sketch = _sketches(doc, s, hi - lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], ["doc", "n", "h1", "h2", *_WORDS])
 
     return run
 
@@ -172,7 +188,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are ignored, whatever their names.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
-    sets = written(base.mapInArrow(_sets(width), "doc long, n long, h1 long, h2 long"), "sets")
+    sets = written(base.mapInArrow(_sets(width), "doc long, n long, h1 long, h2 long, " + ", ".join(f"{w} long" for w in _WORDS)), "sets")
     known = base.where("doc is not null")
 
     # equal sets: one node each
@@ -197,16 +213,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs = pairs.join(copies.select(F.col("doc").alias(c), F.col("rep").alias(f"{c}_rep")), c, "left").withColumn(c, F.coalesce(f"{c}_rep", c)).drop(f"{c}_rep")
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+    sketched = sets.where("doc is not null and n > 0").select("doc", "n", *_WORDS).dropDuplicates(["doc"])
+
+    def alike(a: str, b: str):
+        """Whether the sketches a_* and b_* may be those of similar sets."""
+        bits = sum((F.bit_count(F.col(f"{a}_{w}").bitwiseXOR(F.col(f"{b}_{w}"))) for w in _WORDS[1:]), F.bit_count(F.col(f"{a}_s0").bitwiseXOR(F.col(f"{b}_s0"))))
+        na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
+        return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (bits * (100 + percent) <= (100 - percent) * (na + nb))
+
+    def side(c: str) -> DataFrame:
+        return sketched.select(F.col("doc").alias(c), F.col("n").alias(f"{c}_n"), *(F.col(w).alias(f"{c}_{w}") for w in _WORDS))
+
     exact = copies.select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    stars = written(canonical(held.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()), "stars")
+    stars = canonical(held.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
+    stars = written(stars.join(side("a"), "a").join(side("b"), "b").where(alike("a", "b")).select("a", "b"), "stars")
     links = exact.unionByName(checked(stars, "links"))
-    # pairs that no star has joined: holders of one signature in different components
     component = written(connected_components(links, "a", "b"), "component")
-    placed = held.select("sig", "doc").join(component.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
+
+    # pairs that no star has joined: holders of one signature in different components, met at the signature's least holder
+    placed = held.join(component.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "hub", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    apart = placed.join(mixed, "sig", "left_semi")
-    left, right = apart.withColumnsRenamed({"doc": "a", "component": "ca"}), apart.withColumnsRenamed({"doc": "b", "component": "cb"})
-    pairs = canonical(left.join(right, "sig").where("ca < cb").select("a", "b").distinct())
+    apart = placed.join(mixed, "sig", "left_semi").select("hub", "doc", "component").distinct()
+    reps = copies.withColumnRenamed("doc", "b")
+    apart = apart.withColumnRenamed("doc", "b").join(reps, "b", "left").select("hub", F.coalesce("rep", "b").alias("doc"), "component").distinct()
+    apart = written(apart.join(sketched, "doc"), "apart")
+    one, two = (apart.select("hub", F.col("doc").alias(c), F.col("component").alias(f"{c}_c"), F.col("n").alias(f"{c}_n"), *(F.col(w).alias(f"{c}_{w}") for w in _WORDS)) for c in ("a", "b"))
+    pairs = one.join(two, (one.hub == two.hub) & (F.col("a_c") < F.col("b_c")) & alike("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = checked(pairs.join(stars, ["a", "b"], "left_anti"), "links")
     if not rest.isEmpty():
         component = written(connected_components(links.unionByName(rest), "a", "b"), "component")

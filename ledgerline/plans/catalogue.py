@@ -157,7 +157,7 @@ def snippet_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", R.snippet_hash(F.slice(F.split("text", "\n"), 2, 3)).alias("sha"))
 
 
-@query("SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS body FROM documents")
+@query("SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS body FROM documents")
 def line_explode(spark, sf):
     return mining.lines(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("text", "body")
 
@@ -247,11 +247,11 @@ def policy_selection(spark, sf):
 
 
 @query(
-    """WITH t AS (SELECT p_partkey, p_type, CASE WHEN lower(p_type) = 'brass' THEN 1 WHEN lower(p_type) LIKE '%brass' THEN 2 WHEN lower(p_type) LIKE '%brass%' THEN 3 END AS tier FROM part)
+    """WITH t AS (SELECT p_partkey, p_type, CASE WHEN lower(p_type) = 'um' THEN 1 WHEN lower(p_type) LIKE '%um' THEN 2 WHEN lower(p_type) LIKE '%um%' THEN 3 END AS tier FROM part)
     SELECT p_partkey, p_type, tier FROM t WHERE tier = (SELECT min(tier) FROM t)"""
 )
 def tiered_match(spark, sf):
-    return matching.match_target(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type", "brass")
+    return matching.match_target(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type", "um")
 
 
 @query(
@@ -513,13 +513,13 @@ def plan_ttl(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", incremental.expired(F.col("o_orderdate").cast("timestamp"), F.lit("1998-01-01 00:00:00").cast("timestamp"), 24).alias("expired"))
 
 
-@query("SELECT lang, source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang, source")
+@query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang, source")
 def corpus_summary(spark, sf):
     return table(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query(
-    """SELECT user_id, event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY user_id, event_type"""
+    """SELECT user_id, event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY user_id, event_type"""
 )
 def witness_counts(spark, sf):
     k = F.get_json_object("props", "$.k").cast("long")

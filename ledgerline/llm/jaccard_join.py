@@ -26,6 +26,8 @@ from ._text import mix, slices, split_words, window_hashes
 
 BAND = 1.5
 SKETCH = 1024
+#: The ids of candidates go to all tasks, to thin the texts before their shuffle, if there are no more than this (a few MB).
+MOST_BROADCAST = 300_000
 _WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 _U = np.uint64
 
@@ -203,6 +205,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         texts = known.select("doc", "body")
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
+        if ids.count() <= MOST_BROADCAST:  # else all texts are dealt out, and Spark's own runtime filters thin them
+            texts = texts.join(F.broadcast(ids), "doc", "left_semi")
         one = pairs.join(texts.withColumnsRenamed({"doc": "a", "body": "body_a"}), "a")
         two = one.join(texts.withColumnsRenamed({"doc": "b", "body": "body_b"}), "b").select("a", "b", "body_a", "body_b")
         return written(two.mapInArrow(_checked(width, percent), "a long, b long"), name)
@@ -239,7 +244,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = written(apart.join(sketched, "doc"), "apart")
     one, two = (apart.select("hub", F.col("doc").alias(c), F.col("component").alias(f"{c}_c"), F.col("n").alias(f"{c}_n"), *(F.col(w).alias(f"{c}_{w}") for w in _WORDS)) for c in ("a", "b"))
     pairs = one.join(two, (one.hub == two.hub) & (F.col("a_c") < F.col("b_c")) & alike("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = checked(pairs.join(stars, ["a", "b"], "left_anti"), "links")
+    rest = checked(written(pairs.join(stars, ["a", "b"], "left_anti"), "rest"), "links")
     if not rest.isEmpty():
         component = written(connected_components(links.unionByName(rest), "a", "b"), "component")
     out = sets.select("doc", "n").join(component.withColumnRenamed("node", "doc"), "doc", "left")

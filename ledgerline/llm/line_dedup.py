@@ -16,6 +16,8 @@ from ._text import mix, run_hashes, slices, strings, _SPACE
 from .substring_dedup import _lists
 
 WINDOW, EVERY = 2, 3
+#: The places of repeated chunks go to all tasks if there are no more than this (some ten MB).
+MOST_BROADCAST = 200_000
 _U = np.uint64
 
 
@@ -116,6 +118,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = chunks.groupBy("chunk").count().where("count > 1").select("chunk")
     found = written(chunks.join(repeated, "chunk", "left_semi"), "chunks")
     listed = found.groupBy("doc").agg(F.collect_list(F.struct("chunk", "at", "n")).alias("list"))
+    if found.count() <= MOST_BROADCAST:  # else the texts are dealt out by id
+        listed = F.broadcast(listed)
     body = written(known.join(listed, "doc").select("doc", "body", "list").mapInArrow(_bytes, "chunk long, body binary, doc long, at int, n int"), "bodies")
     first = body.groupBy("chunk", "body").agg(F.min(F.struct("doc", "at")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     later = body.join(first, ["chunk", "body"]).where("doc <> f.doc or at <> f.at")

@@ -9,7 +9,9 @@ no more than k non-empty ranges signs all of them and one common mark besides, s
 Signatures meet in one shuffle.  Candidates are checked exactly, first as stars: each holder of a signature against the least id with it.
 Only where the holders of a signature end up in different components are the remaining pairs across those components looked at, once for
 each least holder.  Before texts are compared, a sketch of SKETCH bits, the parity of the shingles that hash to each, rules out pairs whose
-sketches differ in more bits than similar sets can.  So large groups of copies cost rows in proportion to their size, not its square.
+sketches differ in more bits than similar sets can.  That sketch fills up on sets of more than SKETCH / 2 shingles, so those have a wide one as
+well, of at least two bits a shingle; the larger of two is folded to the smaller's width.  So large groups of copies cost rows in proportion to
+their size, not its square.
 """
 
 from __future__ import annotations
@@ -66,8 +68,37 @@ def _sketches(doc: np.ndarray, s: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def _wide_sketches(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> list:
+    """The wide sketch of each set of more than SKETCH / 2 shingles, as bytes; None for the others."""
+    out, end = [None] * len(n), np.cumsum(n)
+    mixed = mix(s ^ _U(0x2545F4914F6CDD1D))
+    for i in np.flatnonzero(n > SKETCH // 2):
+        bits = 1 << int(2 * n[i] - 1).bit_length()
+        odd = np.bincount((mixed[end[i] - n[i] : end[i]] & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return out
+
+
+def _may_be_alike(percent: int):
+    """Drops the pairs whose wide sketches, where both have one, differ in more bits than those of similar sets can."""
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            for i in np.flatnonzero(np.array(batch.column(3).is_valid()) & np.array(batch.column(5).is_valid())):
+                one, two = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (3, 5))
+                if len(one) > len(two):
+                    one, two = two, one
+                folded = np.bitwise_xor.reduce(two.reshape(-1, len(one)), axis=0)
+                differ = int(np.bitwise_count(one ^ folded).sum())
+                keep[i] = differ * (100 + percent) <= (100 - percent) * (batch.column(2)[i].as_py() + batch.column(4)[i].as_py())
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
 def _sets(width: int):
-    """Of each row: its id, the size of its set, two hashes of the set and its sketch."""
+    """Of each row: its id, the size of its set, two hashes of the set, its sketch and its wide sketch."""
 
     def run(batches):
         for batch in batches:
@@ -78,7 +109,7 @@ def _sets(width: int):
                 np.add.at(h1, doc, mix(s))
                 np.add.at(h2, doc, mix(s ^ _U(0x5851F42D4C957F2D)))
                 sketch = _sketches(doc, s, hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], ["doc", "n", "h1", "h2", *_WORDS])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T), pa.array(_wide_sketches(doc, s, n), pa.binary())], ["doc", "n", "h1", "h2", *_WORDS, "wide"])
 
     return run
 
@@ -190,12 +221,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are ignored, whatever their names.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
-    sets = written(base.mapInArrow(_sets(width), "doc long, n long, h1 long, h2 long, " + ", ".join(f"{w} long" for w in _WORDS)), "sets")
+    sets = written(base.mapInArrow(_sets(width), "doc long, n long, h1 long, h2 long, " + ", ".join(f"{w} long" for w in _WORDS) + ", wide binary"), "sets")
     known = base.where("doc is not null")
+    filled = sets.where("doc is not null and n > 0")
 
     # equal sets: one node each
-    equal = sets.where("doc is not null and n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
-    copies = written(sets.where("doc is not null and n > 0").join(equal, ["h1", "h2"]).where("doc <> rep").select("doc", "rep").distinct(), "copies")
+    equal = filled.groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
+    copies = written(filled.join(equal, ["h1", "h2"]).where("doc <> rep").select("doc", "rep").distinct(), "copies")
+    # an id with several sets can't stand back for another's; of those it's a copy of, only equality links count
+    several = written(filled.groupBy("doc").agg(F.min("h1").alias("x"), F.max("h1").alias("y"), F.min("h2").alias("z"), F.max("h2").alias("w")).where("x <> y or z <> w").select("doc"), "several")
+    replaced = written(copies.join(several, "doc", "left_anti"), "replaced")
 
     # holders of each signature that several rows have, and its least holder
     signed = known.mapInArrow(_signed(width, percent), "sig long, doc long")
@@ -203,11 +238,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = signed.withColumns({"hub": F.min("doc").over(key), "far": F.max("doc").over(key)}).where("hub <> far").select("sig", "hub", "doc")
     held = written(held, "held")
 
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
-        texts = known.select("doc", "body")
+    def needed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The rows of documents in pairs if these are few enough to tell all tasks; else all rows, which Spark's own runtime filters thin."""
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
-        if ids.count() <= MOST_BROADCAST:  # else all texts are dealt out, and Spark's own runtime filters thin them
-            texts = texts.join(F.broadcast(ids), "doc", "left_semi")
+        return rows.join(F.broadcast(ids), "doc", "left_semi") if ids.count() <= MOST_BROADCAST else rows
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        texts = needed(known.select("doc", "body"), pairs)
         one = pairs.join(texts.withColumnsRenamed({"doc": "a", "body": "body_a"}), "a")
         two = one.join(texts.withColumnsRenamed({"doc": "b", "body": "body_b"}), "b").select("a", "b", "body_a", "body_b")
         return written(two.mapInArrow(_checked(width, percent), "a long, b long"), name)
@@ -215,10 +252,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def canonical(pairs: DataFrame) -> DataFrame:
         """Ids of equal sets to the least of them; each pair once, the lesser id first."""
         for c in ("a", "b"):
-            pairs = pairs.join(copies.select(F.col("doc").alias(c), F.col("rep").alias(f"{c}_rep")), c, "left").withColumn(c, F.coalesce(f"{c}_rep", c)).drop(f"{c}_rep")
+            pairs = pairs.join(replaced.select(F.col("doc").alias(c), F.col("rep").alias(f"{c}_rep")), c, "left").withColumn(c, F.coalesce(f"{c}_rep", c)).drop(f"{c}_rep")
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    sketched = sets.where("doc is not null and n > 0").select("doc", "n", *_WORDS).dropDuplicates(["doc"])
+    sketched = filled.dropDuplicates(["doc", "h1", "h2"]).select("doc", "n", *_WORDS)
+    wide = filled.where("wide is not null").join(several, "doc", "left_anti").dropDuplicates(["doc"]).select("doc", "n", "wide")
+
+    def thinned(pairs: DataFrame, name: str) -> DataFrame:
+        """pairs without those that wide sketches rule out; ids with several sets pass."""
+        pairs = written(pairs, f"{name}_met")
+        some = needed(wide, pairs)
+        one, two = (some.withColumnsRenamed({"doc": c, "n": f"{c}_n", "wide": f"{c}_wide"}) for c in ("a", "b"))
+        both = pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", "a_n", "a_wide", "b_n", "b_wide")
+        return written(both.mapInArrow(_may_be_alike(percent), "a long, b long"), name)
 
     def alike(a: str, b: str):
         """Whether the sketches a_* and b_* may be those of similar sets."""
@@ -231,7 +277,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     exact = copies.select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     stars = canonical(held.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
-    stars = written(stars.join(side("a"), "a").join(side("b"), "b").where(alike("a", "b")).select("a", "b"), "stars")
+    stars = thinned(stars.join(side("a"), "a").join(side("b"), "b").where(alike("a", "b")).select("a", "b").distinct(), "stars")
     links = exact.unionByName(checked(stars, "links"))
     component = written(connected_components(links, "a", "b"), "component")
 
@@ -239,12 +285,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = held.join(component.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "hub", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
     apart = placed.join(mixed, "sig", "left_semi").select("hub", "doc", "component").distinct()
-    reps = copies.withColumnRenamed("doc", "b")
+    reps = replaced.withColumnRenamed("doc", "b")
     apart = apart.withColumnRenamed("doc", "b").join(reps, "b", "left").select("hub", F.coalesce("rep", "b").alias("doc"), "component").distinct()
     apart = written(apart.join(sketched, "doc"), "apart")
     one, two = (apart.select("hub", F.col("doc").alias(c), F.col("component").alias(f"{c}_c"), F.col("n").alias(f"{c}_n"), *(F.col(w).alias(f"{c}_{w}") for w in _WORDS)) for c in ("a", "b"))
     pairs = one.join(two, (one.hub == two.hub) & (F.col("a_c") < F.col("b_c")) & alike("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = checked(written(pairs.join(stars, ["a", "b"], "left_anti"), "rest"), "links")
+    rest = checked(thinned(pairs.join(stars, ["a", "b"], "left_anti"), "rest"), "links")
     if not rest.isEmpty():
         component = written(connected_components(links.unionByName(rest), "a", "b"), "component")
     out = sets.select("doc", "n").join(component.withColumnRenamed("node", "doc"), "doc", "left")

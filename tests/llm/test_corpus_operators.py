@@ -93,6 +93,35 @@ def test_jaccard_components(docs, empty):
     assert jaccard_components(empty).count() == 0
 
 
+def test_jaccard_of_long_texts(spark):
+    r = random.Random(8)
+    made = lambda n: [f"t{r.randrange(10**6)}" for _ in range(n)]
+    shared, rows = made(900), []
+    for near in (0, 4, 40, 60, 200, 700):  # words changed, so that some pairs are just above and just below the bound
+        own = shared[:]
+        for i in r.sample(range(900), near):
+            own[i] = f"u{r.randrange(10**6)}"
+        rows += [own, made(1500) + own + made(20), own + made(1800)]
+    rows += [made(600) * 2, rows[5] + made(300), rows[4][:1400] + made(30), shared + made(160), shared + made(200), shared + made(240)]
+    texts = [" ".join(w) for w in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in rows]
+    top = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    top[i] = top[j] = min(top[i], top[j])
+    assert len(set(top)) not in (1, len(rows))
+    got = jaccard_components(spark.createDataFrame(list(enumerate(texts)) + [(0, texts[7])], "doc_id long, text string")).collect()
+    # an id that repeats with another text has the links of both
+    for i, x in enumerate(top):
+        if x == top[7]:
+            top[i] = min(top[7], top[0])
+    low = {x: min(i for i in range(len(top)) if top[i] == x) for x in top}
+    assert {(x.doc_id, x.component_id) for x in got} == {(i, low[x]) for i, x in enumerate(top)}
+    assert sorted(x.n_shingles for x in got) == sorted([len(s) for s in sets] + [len(sets[7])])
+
+
 def test_line_dedup(docs, empty):
     got = {r.doc_id: r for r in line_dedup(docs).collect() if r.doc_id is not None}
     texts = by_id()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ._graph import connected_components
-from ._store import written
+from ._store import forget, written
 from ._text import mix, slices, split_words, window_hashes
 
 BAND = 1.5
@@ -282,15 +282,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component = written(connected_components(links, "a", "b"), "component")
 
     # pairs that no star has joined: holders of one signature in different components, met at the signature's least holder
-    placed = held.join(component.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "hub", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    apart = placed.join(mixed, "sig", "left_semi").select("hub", "doc", "component").distinct()
+    placed = held.select("sig", "doc").join(component.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
+    mixed = placed.withColumns({"hub": F.min("doc").over(key), "x": F.min("component").over(key), "y": F.max("component").over(key)}).where("x <> y")
+    apart = mixed.select("hub", "doc", "component").distinct()
     reps = replaced.withColumnRenamed("doc", "b")
     apart = apart.withColumnRenamed("doc", "b").join(reps, "b", "left").select("hub", F.coalesce("rep", "b").alias("doc"), "component").distinct()
     apart = written(apart.join(sketched, "doc"), "apart")
+    forget(held)
     one, two = (apart.select("hub", F.col("doc").alias(c), F.col("component").alias(f"{c}_c"), F.col("n").alias(f"{c}_n"), *(F.col(w).alias(f"{c}_{w}") for w in _WORDS)) for c in ("a", "b"))
     pairs = one.join(two, (one.hub == two.hub) & (F.col("a_c") < F.col("b_c")) & alike("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = checked(thinned(pairs.join(stars, ["a", "b"], "left_anti"), "rest"), "links")
+    forget(apart)
     if not rest.isEmpty():
         component = written(connected_components(links.unionByName(rest), "a", "b"), "component")
     out = sets.select("doc", "n").join(component.withColumnRenamed("node", "doc"), "doc", "left")

@@ -239,7 +239,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = written(held, "held")
 
     def needed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The rows of documents in pairs if these are few enough to tell all tasks; else all rows, which Spark's own runtime filters thin."""
+        """The rows of documents in pairs if these are few enough to tell all tasks; else all rows."""
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
         return rows.join(F.broadcast(ids), "doc", "left_semi") if ids.count() <= MOST_BROADCAST else rows
 

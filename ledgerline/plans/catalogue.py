@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import routes as R
-from ..operators import budget, dedupe, diff, evidence, graph, incremental, intervals, matching, merge, scoring
+from ..operators import budget, context, dedupe, diff, evidence, graph, incremental, intervals, matching, merge, scoring
 from ..sources import mining
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -536,3 +536,23 @@ def status_codes(spark, sf):
 def mined_routes(spark, sf):
     mined = mining.quoted_paths(table(spark, sf, "pages"), "page_id", "html", 'href="(/[^"?#]*)')
     return mined.groupBy(F.concat(F.lit("GET:"), "path").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT 'T' || p_partkey AS name, unnest(list_distinct(['T' || (p_partkey * 7 % 1009 + 1), 'T' || p_size])) AS dst FROM part), ok AS (SELECT name, dst FROM c WHERE dst IN (SELECT 'T' || p_partkey FROM part)),
+    w AS (SELECT name AS owner, dst AS name, 1 AS depth FROM ok UNION ALL SELECT w.owner, ok.dst, w.depth + 1 FROM w JOIN ok ON ok.name = w.name WHERE w.depth < 3)
+    SELECT owner, name, min(depth) AS depth FROM w WHERE owner <> name GROUP BY owner, name"""
+)
+def type_expansion(spark, sf):
+    text = F.concat(F.lit("uses T"), F.col("p_partkey") * 7 % 1009 + 1, F.lit(" and T"), "p_size")
+    return context.expand_types(table(spark, sf, "part").select(F.concat(F.lit("T"), "p_partkey").alias("name"), text.alias("text")))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS total, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p, unnest(string_split(text, chr(10))) AS body FROM documents),
+    f AS (SELECT doc_id, total, p, CASE WHEN p - 3 > lag(p + 3) OVER (PARTITION BY doc_id ORDER BY p) + 1 THEN 1 ELSE 0 END AS new FROM l WHERE contains(body, ' the ')),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS i FROM f)
+    SELECT doc_id, CAST(greatest(1, min(p) - 3) AS INTEGER) AS lo, CAST(least(max(total), max(p) + 3) AS INTEGER) AS hi FROM g GROUP BY doc_id, i"""
+)
+def mention_windows(spark, sf):
+    return context.line_windows(table(spark, sf, "documents"), "doc_id", "text", " the ")

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from ledgerline.functions import canonical, routes as R
-from ledgerline.operators import budget, dedupe, diff, evidence, graph, incremental, intervals, matching, merge, scoring
+from ledgerline.operators import budget, context, dedupe, diff, evidence, graph, incremental, intervals, matching, merge, scoring
 from ledgerline.sources import files, mining
 
 
@@ -80,6 +80,15 @@ def test_matching_and_graph(spark):
     assert {tuple(r) for r in graph.mount_paths(edges, roots).collect()} == {(1, "/a"), (2, "/a/b"), (3, "/a/c"), (3, "/a/b/d")}
 
 
+def test_context(spark):
+    symbols = spark.createDataFrame([("A", "uses B and C"), ("B", "uses D, A"), ("D", "uses E"), ("E", "F"), ("F", ""), ("C", ""), ("C", "D")], "name string, text string")
+    got = {(r.owner, r.name, r.depth) for r in context.expand_types(symbols).collect()}
+    assert {g for g in got if g[0] == "A"} == {("A", "B", 1), ("A", "D", 2), ("A", "E", 3)}
+    assert ("D", "F", 2) in got and not any(g[0] == "C" for g in got)
+    docs = spark.createDataFrame([(1, "x\n" + "o\n" * 9 + "x\no\nx"), (2, ""), (3, None)], "d int, t string")
+    assert sorted(tuple(r) for r in context.line_windows(docs, "d", "t", "x").collect()) == [(1, 1, 4), (1, 8, 13)]
+
+
 def test_budget_and_increments(spark):
     chunks = spark.createDataFrame([(1, 0, 0, 500), (1, 1, 1, 50), (1, 2, 1, 10), (1, 3, 2, 10)], "k int, ord long, rank int, cost long")
     assert tuple(budget.fit(chunks, "k", 560).first()) == (1, 544, 3, "0,2,3")

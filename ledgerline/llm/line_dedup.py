@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
-Each line is hashed; a rolling hash over the last WINDOW line hashes ends a chunk where it falls into one of EVERY classes, so
-boundaries depend on nearby lines only and come back soon after lines were put in or left out.  Chunks of several lines whose hash occurs
-twice or more are compared byte by byte (they are grouped by their bytes), and all but the first of equal ones are removed.
+A chunk is the least repeat that counts: two neighbouring lines that hold a word, with the blank lines between them.  Each such pair is a chunk, so
+chunks overlap, their bounds depend on their own lines only, and every repeated run of lines is the union of its chunks.  Chunks are grouped by
+the hashes of their two parts; that no two parts share a hash is checked byte by byte, and chunks whose parts do are grouped by their bytes.
+All but the first of equal chunks are removed.
 """
 
 from __future__ import annotations
@@ -12,14 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._store import written
-from ._text import mix, run_hashes, slices, strings, _SPACE
+from ._text import run_hashes, slices, strings, _SPACE
 from .substring_dedup import _lists
 
-WINDOW, EVERY = 2, 3
-#: The places of repeated chunks go to all tasks if there are no more than this (some ten MB).
-MOST_BROADCAST = 200_000
-_U = np.uint64
-
 
 def lines_of(data: np.ndarray, bounds: np.ndarray):
     """(starts, ends, first line of each document and the end) of the lines between \\n; an empty text has no line."""
@@ -34,54 +30,51 @@ def lines_of(data: np.ndarray, bounds: np.ndarray):
     return starts, ends, np.r_[0, np.cumsum(counts)]
 
 
-def chunks_of(data, bounds):
-    """(doc, first line, lines, hash) of the chunks with at least two lines that hold a word; and the lines."""
+def chunks_of(data, bounds, bits: int = 64):
+    """(doc, first line, lines, hash of all but the last line, hash of the last line) of each chunk; and the lines."""
     starts, ends, first = lines_of(data, bounds)
-    h = run_hashes(data, starts, ends)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    head = np.zeros(len(h), bool)
-    head[first[:-1][np.diff(first) > 0]] = True
-    roll, back = h.copy(), h
-    for j in range(1, WINDOW):
-        back = np.r_[np.zeros(1, _U), back[:-1]]
-        known = np.arange(len(h)) - first[doc] >= j
-        roll = roll * _U(0x9E3779B97F4A7C15) + np.where(known, back, _U(0))
-    stop = mix(roll) % _U(EVERY) == 0
-    new = head.copy()
-    new[1:] |= stop[:-1]
-    at = np.flatnonzero(new)
-    size = np.diff(np.r_[at, len(h)])
     solid = np.r_[0, np.cumsum(~_SPACE[data[:-8]])]
-    worded = (solid[ends] > solid[starts]).astype(np.int64)
-    enough = np.add.reduceat(worded, at) >= 2 if len(at) else np.zeros(0, bool)
-    order = mix(h + (np.arange(len(h)) - np.repeat(at, size)).astype(_U) * _U(0xD1B54A32D192ED03))
-    total = mix(np.add.reduceat(order, at) + size.astype(_U)) if len(at) else np.zeros(0, _U)
-    at, size, total = at[enough], size[enough], total[enough]
-    return (doc[at], at - first[doc[at]], size, total), (starts, ends, first)
+    worded = np.flatnonzero(solid[ends] > solid[starts])
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[worded]
+    pair = np.flatnonzero(doc[1:] == doc[:-1])
+    at, last, doc = worded[pair], worded[pair + 1], doc[pair]
+    drop = np.uint64(64 - bits)
+    a, b = run_hashes(data, starts[at], ends[last - 1]) >> drop, run_hashes(data, starts[last], ends[last]) >> drop
+    return (doc, at - first[doc], last - at + 1, a, b), (starts, ends, first)
 
 
-def _hashed(batches):
-    for batch in batches:
-        for lo, hi, data, bounds in slices(batch.column(1)):
-            (doc, at, n, total), _ = chunks_of(data, bounds)
-            ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(total.view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["chunk", "doc", "at", "n"])
+def _hashed(bits: int, clash: list[int] | None = None):
+    """The chunks; with clash, hashes of several texts, also the bytes of the chunks that have one."""
 
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, bounds in slices(batch.column(1)):
+                (doc, at, n, a, b), (starts, ends, first) = chunks_of(data, bounds, bits)
+                ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                a, b = a.view(np.int64), b.view(np.int64)
+                columns = {"a": pa.array(a), "b": pa.array(b), "doc": pa.array(ids[doc], pa.int64()), "at": pa.array(at.astype(np.int32)), "n": pa.array(n.astype(np.int32))}
+                if clash is not None:
+                    raw, here = data.tobytes(), (first[doc] + at).tolist()
+                    columns["body"] = pa.array([raw[starts[i] : ends[i + k - 1]] if x else None for i, k, x in zip(here, n.tolist(), (np.isin(a, clash) | np.isin(b, clash)).tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-def _bytes(batches):
-    """The bytes of the listed chunks."""
-    for batch in batches:
-        row, (chunk, at, n) = _lists(batch.column(2), ["chunk", "at", "n"])
-        for lo, hi, data, bounds in slices(batch.column(1)):
-            starts, ends, first = lines_of(data, bounds)
-            here = (row >= lo) & (row < hi)
-            doc, a, k = row[here] - lo, at[here], n[here]
-            inside = first[doc] + a + k <= first[doc + 1]
-            doc, a, k = doc[inside], a[inside], k[inside]
-            raw = data.tobytes()
-            body = [raw[s:e] for s, e in zip(starts[first[doc] + a].tolist(), ends[first[doc] + a + k - 1].tolist())]
-            ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk[here][inside], pa.int64()), pa.array(body, pa.binary()), pa.array(ids[doc], pa.int64()), pa.array(a.astype(np.int32)), pa.array(k.astype(np.int32))], ["chunk", "body", "doc", "at", "n"])
+    return run
+
+
+def _parts(bits: int):
+    """Hash and bytes of the parts of all chunks, each place once."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, bounds in slices(batch.column(0)):
+                (doc, at, n, a, b), (starts, ends, first) = chunks_of(data, bounds, bits)
+                at = first[doc] + at
+                last = at + n - 1
+                span = np.unique(np.c_[np.r_[starts[at], starts[last]], np.r_[ends[last - 1], ends[last]], np.r_[a, b].view(np.int64)], axis=0)
+                raw = data.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(span[:, 2]), pa.array([raw[s:e] for s, e in zip(span[:, 0].tolist(), span[:, 1].tolist())], pa.binary())], ["part", "body"])
+
+    return run
 
 
 def _kept(batches):
@@ -103,26 +96,28 @@ def _kept(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), pa.array([x.decode("utf-8", "replace") for x in out], pa.string())], ["doc", "n_lines", "n_removed", "kept_text"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """One row per row of docs: the id, n_lines, n_removed and kept_text, its lines without the removed ones, joined by \\n.
 
-    A chunk of lines is removed if at least two of its lines hold a word and an equal chunk, byte by byte, comes earlier: in a document
-    with a smaller id, or earlier in the same one.
+    A line is removed if it lies in a run of lines, from a line that holds a word to another one, and an equal run, byte by byte, starts
+    earlier: in a document with a smaller id, or earlier in the same one.  Blank lines at the ends of a run stay.
 
     Null text counts as empty: no lines.  A row with a null id is never compared and keeps its lines.  Rows that repeat an id share its
-    decisions.  An empty table gives an empty result.  Other columns are ignored, whatever their names.
+    decisions.  An empty table gives an empty result.  Other columns are ignored, whatever their names.  hash_bits changes no result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
     known = base.where("doc is not null")
-    chunks = known.mapInArrow(_hashed, "chunk long, doc long, at int, n int")
-    repeated = chunks.groupBy("chunk").count().where("count > 1").select("chunk")
-    found = written(chunks.join(repeated, "chunk", "left_semi"), "chunks")
-    listed = found.groupBy("doc").agg(F.collect_list(F.struct("chunk", "at", "n")).alias("list"))
-    if found.count() <= MOST_BROADCAST:  # else the texts are dealt out by id
-        listed = F.broadcast(listed)
-    body = written(known.join(listed, "doc").select("doc", "body", "list").mapInArrow(_bytes, "chunk long, body binary, doc long, at int, n int"), "bodies")
-    first = body.groupBy("chunk", "body").agg(F.min(F.struct("doc", "at")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    later = body.join(first, ["chunk", "body"]).where("doc <> f.doc or at <> f.at")
+    key, fields = ["a", "b"], "a long, b long, doc long, at int, n int"
+    parts = known.select("body").mapInArrow(_parts(hash_bits), "part long, body binary").distinct()
+    clash = [r.part for r in parts.groupBy("part").count().where("count > 1").select("part").collect()]  # none, but by chance of 64 bits
+    if clash:
+        key, fields = ["a", "b", "body"], fields + ", body binary"
+    chunks = written(known.mapInArrow(_hashed(hash_bits, clash or None), fields), "chunks")
+    first = chunks.groupBy(key).agg(F.min(F.struct("doc", "at")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").withColumnsRenamed({k: f"f_{k}" for k in key})
+    same = F.lit(True)
+    for k in key:
+        same = same & (F.col(k).eqNullSafe(F.col(f"f_{k}")) if k == "body" else F.col(k) == F.col(f"f_{k}"))
+    later = chunks.join(first, same).where("doc <> f.doc or at <> f.at")
     gone = later.groupBy("doc").agg(F.collect_set(F.struct("at", "n")).alias("list"))
     none = F.lit(None).cast("array<struct<at:int,n:int>>")
     both = known.join(gone, "doc", "left").select("doc", "body", "list").unionByName(base.where("doc is null").select("doc", "body", none.alias("list")))

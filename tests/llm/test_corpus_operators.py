@@ -151,6 +151,39 @@ def test_repeated_lines_go(spark):
     assert all(got[i].n_removed >= 15 and "own end %d" % i in got[i].kept_text for i in range(2, 6))
 
 
+def without_repeated_runs(texts):
+    """The kept lines of each text, by comparing every run of lines from one worded line to the next with all earlier ones."""
+    seen, kept = set(), []
+    for text in texts:
+        lines = text.split("\n") if text else []
+        at = [i for i, x in enumerate(lines) if x.strip(" \t\n\v\f\r")]
+        gone = set()
+        for i, j in zip(at, at[1:]):
+            run = tuple(lines[i : j + 1])
+            gone |= set(range(i, j + 1)) if run in seen else set()
+            seen.add(run)
+        kept.append((len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    return kept
+
+
+@pytest.mark.parametrize("bits", [64, 3])  # 3: many lines share a hash
+def test_every_repeated_run_of_lines_goes(spark, bits):
+    r = random.Random(6)
+    line = lambda: "line %d é" % r.randrange(10**9)
+    blocks = [[line() for _ in range(n)] for n in (2, 2, 3, 4, 5, 6, 8, 30)] + [["a " + line(), "", " \t", "b " + line()]]
+    texts = []
+    for i in range(40):
+        parts = [line() for _ in range(r.randrange(3))]
+        for b in r.sample(blocks, 2):
+            parts += b[r.randrange(2) :] + [r.choice(["", line(), "common line"]) for _ in range(r.randrange(3))]
+        texts.append("\n".join(parts))
+    texts += [texts[0], "\n".join([line()] * 4), "", "\n\n", "common line", "common line"]
+    want = without_repeated_runs(texts)
+    assert sum(n for _, n, _ in want) > 100
+    got = line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), **({} if bits == 64 else {"hash_bits": bits})).collect()
+    assert {x.doc_id: (x.n_lines, x.n_removed, x.kept_text) for x in got} == dict(enumerate(want))
+
+
 def test_quality_rules(docs, empty):
     got = {r.doc_id: r for r in quality_rules(docs).collect() if r.doc_id is not None}
     for i, text in by_id().items():

@@ -1,8 +1,8 @@
 """Quality rules whose cutoffs follow the corpus.
 
 Counts come from whole texts.  For each of a few ratios a quantile sketch (KLL) is built per language and source, merged per language
-and over all, and turned to an upper and a lower fence; rows are joined with the fences of their own group, or of the next wider one
-if the group is small.  Sketches merge, so the aggregation combines before its shuffle, however large one source is.
+and over all; the quantiles of a group are blended with those of its language and of all rows, by a weight that grows with the group,
+and turned to an upper and a lower fence, with which its rows are joined.  Sketches merge, so the aggregation combines before its shuffle, however large one source is.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A fence lies SPREAD times the distance from the median to the outer quantile beyond that quantile, and at least LEAST from it.
-OUTER, SPREAD = 0.9, 3.0
-LEAST = {"symbol_ratio": 0.05, "dup_line_ratio": 0.3, "repeat_ratio": 0.4, "mean_chars": 2.0}
-SMALL_GROUP = 200
+#: A fence lies SPREAD times the distance from the median to the outer quantile beyond that quantile, and at least a margin from it: the distance
+#: from the median to the FAR quantile over all rows, within the bounds of MARGIN.
+OUTER, SPREAD, FAR = 0.9, 3.0, 0.99
+MARGIN = {"symbol_ratio": (0.02, 0.05), "dup_line_ratio": (0.1, 0.2), "repeat_ratio": (0.05, 0.2), "mean_chars": (1.0, 2.0)}
+#: So many rows of a group weigh as much as the next wider group.
+HALF_WEIGHT = 200
 SKETCH_K = 400
 
 
@@ -42,6 +44,7 @@ def _counts(batches):
             order = np.lexsort((line, line_doc))
             same = (line[order][1:] == line[order][:-1]) & (line_doc[order][1:] == line_doc[order][:-1])
             dup = np.bincount(line_doc[order][1:][same], minlength=n)
+            lines = np.bincount(line_doc, minlength=n)
             at, win = window_hashes(words.hashes(), words.doc_end, 3)
             doc = words.doc
             order = np.lexsort((win, doc[at]))
@@ -53,19 +56,19 @@ def _counts(batches):
             np.add.at(cover, twice + 3, -1)
             repeat = np.bincount(doc[np.cumsum(cover[:-1]) > 0], minlength=n)
             part = batch.slice(lo, n)
-            counts = [np.diff(words.first), points[bounds[1:]] - points[bounds[:-1]], symbols[bounds[1:]] - symbols[bounds[:-1]], dup, repeat]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *(pa.array(c, pa.int64()) for c in counts)], ["doc", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+            counts = [np.diff(words.first), points[bounds[1:]] - points[bounds[:-1]], symbols[bounds[1:]] - symbols[bounds[:-1]], lines, dup, repeat]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *(pa.array(c, pa.int64()) for c in counts)], ["doc", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"])
 
 
 def _ratios() -> dict[str, Column]:
     words = F.greatest(F.col("n_words"), F.lit(1))
-    return {"symbol_ratio": F.col("n_symbols") / words, "dup_line_ratio": F.col("n_dup_lines") / words, "repeat_ratio": F.col("n_repeat_words") / words, "mean_chars": F.col("word_chars") / words}
+    return {"symbol_ratio": F.col("n_symbols") / words, "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "repeat_ratio": F.col("n_repeat_words") / words, "mean_chars": F.col("word_chars") / words}
 
 
 def quality_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc, lang, source and the five counts of each row; null text counts as empty."""
+    """doc, lang, source and the six counts of each row (n_lines: lines that hold a word); null text counts as empty."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-    return rows.mapInArrow(_counts, "doc long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    return rows.mapInArrow(_counts, "doc long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
 
 
 def fences(counts: DataFrame) -> DataFrame:
@@ -77,16 +80,29 @@ def fences(counts: DataFrame) -> DataFrame:
     wide = fine.groupBy("lang").agg(*merged)
     whole = fine.agg(*merged).where("n > 0")
 
-    def bounds(table: DataFrame, mark: str) -> DataFrame:
-        out = [F.col("n").alias(f"{mark}_n")]
-        for name in ratios:
-            low, mid, high = (F.expr(f"kll_sketch_get_quantile_double({name}, {q}D)") for q in (1 - OUTER, 0.5, OUTER))
-            out += [(low - F.greatest(SPREAD * (mid - low), F.lit(LEAST[name]))).alias(f"{mark}_{name}_lo"), (high + F.greatest(SPREAD * (high - mid), F.lit(LEAST[name]))).alias(f"{mark}_{name}_hi")]
-        return table.select(*(c for c in ("lang", "source") if c in table.columns), *out)
+    places = {"low": 1 - OUTER, "mid": 0.5, "high": OUTER}
+    far = {"far_low": 1 - FAR, "far_high": FAR}
 
-    joined = bounds(fine, "fine").join(bounds(wide, "wide").withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))).drop("l").crossJoin(bounds(whole, "whole"))  # one row
-    pick = lambda c: F.when(F.col("fine_n") >= SMALL_GROUP, F.col(f"fine_{c}")).when(F.col("wide_n") >= SMALL_GROUP, F.col(f"wide_{c}")).otherwise(F.col(f"whole_{c}")).alias(c)
-    return joined.select("lang", "source", *(pick(f"{n}_{side}") for n in ratios for side in ("lo", "hi")))
+    def quantiles(table: DataFrame, mark: str, at: dict[str, float]) -> DataFrame:
+        found = [F.expr(f"kll_sketch_get_quantile_double({name}, {q}D)").alias(f"{mark}_{name}_{k}") for name in ratios for k, q in at.items()]
+        return table.select(*(c for c in ("lang", "source") if c in table.columns), F.col("n").alias(f"{mark}_n"), *found)
+
+    joined = quantiles(fine, "fine", places).join(quantiles(wide, "wide", places).withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))).drop("l").crossJoin(quantiles(whole, "whole", places | far))  # one row
+
+    def blend(c: str) -> Column:
+        out = F.col(f"whole_{c}")
+        for mark in ("wide", "fine"):
+            weight = F.col(f"{mark}_n") / (F.col(f"{mark}_n") + HALF_WEIGHT)
+            out = weight * F.col(f"{mark}_{c}") + (1 - weight) * out
+        return out
+
+    def pair(name: str) -> list[Column]:
+        low, mid, high = (blend(f"{name}_{k}") for k in places)
+        least, most = map(F.lit, MARGIN[name])
+        down, up = (F.greatest(least, F.least(most, d)) for d in (F.col(f"whole_{name}_mid") - F.col(f"whole_{name}_far_low"), F.col(f"whole_{name}_far_high") - F.col(f"whole_{name}_mid")))
+        return [(low - F.greatest(SPREAD * (mid - low), down)).alias(f"{name}_lo"), (high + F.greatest(SPREAD * (high - mid), up)).alias(f"{name}_hi")]
+
+    return joined.select("lang", "source", *(c for n in ratios for c in pair(n)))
 
 
 def _base_failed() -> Column:
@@ -97,8 +113,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of docs: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     base_failed: fewer than 50 words, or more than half of the words in 3-word windows found twice or more.  kept: base passed, and the
-    ratios of symbols, repeated lines, repeated words and characters a word lie within the fences of the row's language and source (of
-    its language, or of all rows, where fewer than SMALL_GROUP rows of the group pass the base rules).
+    ratios of symbols, repeated words and characters a word, and of repeated lines among lines that hold a word, lie within the fences of
+    the row's language and source.
 
     Null text counts as empty and fails the base rules; null language or source is a group of its own; null ids stay null; repeated rows are
     judged alike.  An empty table gives an empty result.  Other columns are ignored, whatever their names.

@@ -19,7 +19,7 @@ from ledgerline.llm.jaccard_join import jaccard_components
 from ledgerline.llm.line_dedup import line_dedup
 from ledgerline.llm.packing import pack, place
 from ledgerline.llm.piece_codec import PieceCodec, encode_pieces
-from ledgerline.llm.quality_rules import quality_rules
+from ledgerline.llm.quality_rules import fences, quality_rules
 from ledgerline.llm.substring_dedup import substring_dedup
 from ledgerline.llm.token_files import Segment, pack_segment, read_token_files, write_token_files
 from ledgerline.llm.toxicity import toxicity
@@ -200,6 +200,30 @@ def test_quality_rules(docs, empty):
     assert quality_rules(empty).count() == 0
 
 
+def test_repeated_lines_and_words_meet_fences(spark):
+    r = random.Random(9)
+    line = lambda: " ".join("w%d" % r.randrange(10**6) for _ in range(10))
+    plain = ["\n".join(line() for _ in range(10)) for _ in range(300)]
+    lines = ["\n".join([line()] * 4 + [line() for _ in range(6)]) for _ in range(2)]  # 3 of 10 lines repeat
+    said = " ".join("x%d" % i for i in range(15))
+    phrases = ["\n".join([said + " " + line(), line() + " " + said] + [line() for _ in range(5)]) for _ in range(2)]  # 30 of 100 words repeat
+    few = ["\n".join([x := line(), x] + [line() for _ in range(23)])]  # 1 of 25 lines
+    rows = [(i, t, "en", "small" if i % 50 == 0 else "s") for i, t in enumerate(plain + lines + phrases + few)]
+    got = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert {i for i, x in got.items() if not x.kept} == {300, 301, 302, 303}
+
+
+def test_small_groups_blend(spark):
+    def limits(n):
+        rows = [("en", "s", 100, 500 + 2 * (i % 50), 0, 10, 0, 0) for i in range(2000)] + [("en", "t", 100, 800 + 2 * (i % 50), 0, 10, 0, 0) for i in range(n)]
+        counts = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+        return next(x.mean_chars_hi for x in fences(counts).collect() if x.source == "t")
+
+    few, below, above, many = map(limits, (10, 199, 200, 2000))
+    assert abs(above - below) < 0.1 * (many - few) and few < below < many  # no jump
+
+
 def test_token_files(spark, docs, empty):
     path = new_path(spark, "test")
     write_token_files(docs, path)

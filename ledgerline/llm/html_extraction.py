@@ -2,8 +2,9 @@
 
 Each run of text is a leaf; its path is the tags from the root down to it (with class names).  Over a page, each path gathers text length, number
 of leaves and punctuation: text per leaf and punctuation per leaf are the path's ratios.  Ratios are smoothed along the page, fused by their
-geometric mean, and leaves over a threshold, a share of the page's own spread, are content.  The content leaves tell the page's content region: the
-deepest element that holds most of their text.  Everything in the region is kept but what stands in elements that are no article text.
+geometric mean, lowered in elements whose names tell of something else, and leaves over a threshold, a share of the page's own spread, are content.
+The deepest element that holds most of their text is the page's region, and all in it is kept.  An element with a name of that
+kind is kept if most of its text is content.
 
 Pages are independent, so this is one map over Arrow batches; nothing is shuffled.
 """
@@ -29,15 +30,20 @@ ASIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "bre
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|template)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 THRESHOLD = 0.5
+#: Names lower the score of the leaves in an element: by the first factor if a word is a whole name, by the second if it is a part of one.
+WHOLE_NAME, PART_NAME = 0.03, 0.3
+TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+NAMES_SPARE = {"body", "html", "article", "main"} | TEXT_TAGS
+BLOCK_PARTS = INLINE | ONE_BLOCK
 
 
-def _aside(tag: str, attributes: str) -> tuple[bool, str]:
-    """(whether the element is no article text, its class names)."""
-    names, out = "", tag in UNSHOWN
+def _aside(tag: str, attributes: str) -> tuple[bool, str, float]:
+    """(whether the element is no article text, its class names, the factor that its names put on scores)."""
+    names, out, factor = "", tag in UNSHOWN, 1.0
     if attributes and not attributes.isspace():
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
@@ -45,9 +51,13 @@ def _aside(tag: str, attributes: str) -> tuple[bool, str]:
                 out = True
             elif key in ("class", "id"):
                 names += "." + value if key == "class" else ""
-                if tag not in ("body", "html", "article", "main") and any(w.lower() in ASIDE_NAMES for w in _NAME_WORDS.findall(value)):
-                    out = True
-    return out, names
+                if tag not in NAMES_SPARE:
+                    for name in value.split():
+                        if name.lower() in ASIDE_NAMES:
+                            factor = WHOLE_NAME
+                        elif any(w.lower() in ASIDE_NAMES for w in _NAME_WORDS.findall(name)):
+                            factor = min(factor, PART_NAME)
+    return out, names, factor
 
 
 class Page:
@@ -61,6 +71,7 @@ class Page:
         self.fit: list[bool] = []
         stack: list[tuple[str, str, int, bool]] = []  # tag, path, element, no article text
         self.tag: dict[int, str] = {}
+        self.named: dict[int, float] = {}  # elements whose names lower scores
         block = element = at = 0
 
         def leaf(raw: str) -> None:
@@ -110,18 +121,20 @@ class Page:
                         break
             if tag in VOID or m[4].endswith("/") and tag not in CLOSES_P:
                 continue
-            out, names = _aside(tag, m[4])
+            out, names, factor = _aside(tag, m[4])
             above = stack[-1] if stack else ("", "", 0, False)
             in_article = any(s[0] == "article" for s in stack)
             out = out or above[3] or tag in ASIDE or tag == "article" and in_article and "comment" in names
             element += 1
             self.tag[element] = tag
+            if factor < 1:
+                self.named[element] = factor
             stack.append((tag, f"{above[1]}/{tag}{names}", element, out))
         leaf(source[at:])
 
 
-def region(page: Page, fit: list[int]) -> int:
-    """The element that holds the main text, by the ratios of the leaves' tag paths; 0 for the whole page."""
+def content(page: Page, fit: list[int]) -> list[int]:
+    """The leaves of the main text, by the ratios of their tag paths."""
     size, marks, count = {}, {}, {}
     for i in fit:
         p = page.path[i]
@@ -131,29 +144,34 @@ def region(page: Page, fit: list[int]) -> int:
     ratio = np.array([[size[p] / count[p], 1 + marks[p] / count[p]] for p in (page.path[i] for i in fit)])
     padded = np.concatenate([ratio[:1], ratio, ratio[-1:]])
     smooth = (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
-    fused = np.sqrt(smooth[:, 0] * smooth[:, 1])
+    factor = np.array([min((page.named[e] for e in page.chain[i] if e in page.named), default=1.0) for i in fit])
+    text = {i for i in fit if any(page.tag[e] in TEXT_TAGS for e in page.chain[i])}
+    own = factor * np.sqrt(ratio[:, 0] * ratio[:, 1])
+    fused = np.where(factor < 1, own, np.sqrt(smooth[:, 0] * smooth[:, 1]))
     limit = min(THRESHOLD * fused.std(), fused.max())
-    weight: dict[int, int] = {}
-    total, around = 0, ()
-    for i, f in zip(fit, fused):
-        if f >= limit:
-            total += len(page.text[i])
+    # neighbours lift headings and paragraphs only, and none in a named element
+    passing = [i for i, f, o in zip(fit, fused, own) if f >= limit and (i in text or o >= limit)] or [fit[int(own.argmax())]]
+    weight, whole = {}, {}
+    for found, out in ((passing, weight), (fit, whole)):
+        for i in found:
             for e in page.chain[i]:
-                weight[e] = weight.get(e, 0) + len(page.text[i])
-    # the innermost element with most of the chosen text; inner ones have greater numbers
+                out[e] = out.get(e, 0) + len(page.text[i])
+    total = sum(len(page.text[i]) for i in passing)
+    # names leave out an element only if most of its text doesn't pass
+    lost = {e for e in page.named if 2 * weight.get(e, 0) < whole.get(e, 0)}
+    fit = [i for i in fit if lost.isdisjoint(page.chain[i])]
+    # the innermost element with most of the chosen text, and what it is the article of; inner ones have greater numbers
     best = max((e for e, w in weight.items() if 2 * w > total), default=0)
-    for i in fit:
-        if best in page.chain[i]:
-            around = page.chain[i][: page.chain[i].index(best) + 1]
-            break
+    around = next((page.chain[i][: page.chain[i].index(best) + 1] for i in passing if best in page.chain[i]), ())
     for tag in ("article", "main"):
         held = [e for e in around if page.tag[e] == tag]
         if held:
-            return held[-1]
+            return [i for i in fit if held[-1] in page.chain[i]]
     # one block is not the whole text: up to what holds its neighbours
-    while around and (page.tag[around[-1]] in INLINE or page.tag[around[-1]] in ONE_BLOCK):
+    while around and page.tag[around[-1]] in BLOCK_PARTS:
         around = around[:-1]
-    return around[-1] if around else 0
+    held = around[-1] if around else 0
+    return [i for i in fit if not held or held in page.chain[i]]
 
 
 def main_text(source: str | None) -> str:
@@ -164,11 +182,9 @@ def main_text(source: str | None) -> str:
     fit = [i for i, f in enumerate(page.fit) if f]
     if not fit:
         return ""
-    held = region(page, fit)
     blocks: dict[int, list[str]] = {}
-    for i in fit:
-        if not held or held in page.chain[i]:
-            blocks.setdefault(page.block[i], []).append(page.text[i])
+    for i in content(page, fit):
+        blocks.setdefault(page.block[i], []).append(page.text[i])
     lines = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n".join(x for x in lines if x)
 

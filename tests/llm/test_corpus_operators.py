@@ -344,6 +344,15 @@ def test_main_text(spark):
     assert got[2] == got[3] == ("", 0) and got[None] == ("plain", 5) and got[1][1] == len(got[1][0])
 
 
+P = "<p>Some longer text stands here, with commas, and it goes on for a while. Then it ends%s.</p>"
+
+
+@pytest.mark.parametrize("wrap", ['<div style="overflow:hidden">%s</div>', '<div title="A hidden gem" data-id="share">%s</div>', '<div class="post-content ad-free">%s</div>', '<a href="/hidden/5">%s</a>'])
+def test_attribute_values_hide_nothing(wrap):
+    text = main_text("<body><article>" + wrap % (P % 1 + P % 2) + '<h2 id="related-work">Related</h2><section id="social-history">' + P % 3 + '</section><div hidden>' + P % 4 + '</div><div class="share">Share, now.</div></article></body>')
+    assert [x[-2] for x in text.split("\n")] == ["1", "2", "e", "3"]
+
+
 def test_toxicity(spark):
     r = random.Random(5)
     clean = ["tree", "river", "the", "of", "stone", "house", "and", "sun"]

@@ -3,7 +3,8 @@
 Each run of text is a leaf; its path is the tags from the root down to it (with class names).  Over a page, each path gathers text length, number
 of leaves and punctuation: text per leaf and punctuation per leaf are the path's ratios.  Ratios are smoothed along the page, fused by their
 geometric mean, lowered in elements whose names tell of something else, and leaves over a threshold, a share of the page's own spread, are content.
-The deepest element that holds most of their text is the page's region, and all in it is kept.  An element with a name of that
+The deepest element that holds nearly all content leaves is the page's region; its <article> or <main>, if there is one around it, is kept as a whole.
+Without one, content leaves and what stands beside them are kept, and the region's headings and paragraphs.  An element with a name of that
 kind is kept if most of its text is content.
 
 Pages are independent, so this is one map over Arrow batches; nothing is shuffled.
@@ -39,6 +40,8 @@ WHOLE_NAME, PART_NAME = 0.03, 0.3
 TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 NAMES_SPARE = {"body", "html", "article", "main"} | TEXT_TAGS
 BLOCK_PARTS = INLINE | ONE_BLOCK
+#: The region may miss this share of the text of the leaves that pass.
+STRAY = 0.1
 
 
 def _aside(tag: str, attributes: str) -> tuple[bool, str, float]:
@@ -160,8 +163,8 @@ def content(page: Page, fit: list[int]) -> list[int]:
     # names leave out an element only if most of its text doesn't pass
     lost = {e for e in page.named if 2 * weight.get(e, 0) < whole.get(e, 0)}
     fit = [i for i in fit if lost.isdisjoint(page.chain[i])]
-    # the innermost element with most of the chosen text, and what it is the article of; inner ones have greater numbers
-    best = max((e for e, w in weight.items() if 2 * w > total), default=0)
+    # the innermost element with nearly all of the chosen text, and what it is the article of; inner ones have greater numbers
+    best = max((e for e, w in weight.items() if w >= (1 - STRAY) * total), default=0)
     around = next((page.chain[i][: page.chain[i].index(best) + 1] for i in passing if best in page.chain[i]), ())
     for tag in ("article", "main"):
         held = [e for e in around if page.tag[e] == tag]
@@ -171,7 +174,10 @@ def content(page: Page, fit: list[int]) -> list[int]:
     while around and page.tag[around[-1]] in BLOCK_PARTS:
         around = around[:-1]
     held = around[-1] if around else 0
-    return [i for i in fit if not held or held in page.chain[i]]
+    # what shares its nearest container with a leaf that passes, be it outside the region, and the region's headings and paragraphs
+    container = {i: next((e for e in reversed(page.chain[i]) if page.tag[e] not in BLOCK_PARTS), 0) for i in fit}
+    near = {container[i] for i in passing if i in container}
+    return [i for i in fit if container[i] in near or i in text and (not held or held in page.chain[i])]
 
 
 def main_text(source: str | None) -> str:

@@ -353,6 +353,13 @@ def test_attribute_values_hide_nothing(wrap):
     assert [x[-2] for x in text.split("\n")] == ["1", "2", "e", "3"]
 
 
+def test_sibling_sections_all_stay():
+    for tag in ("section", "div"):
+        page = f"<body><div class=nav><a>Home</a><a>More</a></div><div><{tag}><h2>One</h2>{''.join(P % i for i in range(3))}</{tag}><{tag}><h2>Two</h2>{''.join(P % i for i in range(3, 5))}</{tag}></div><div>Copyright</div></body>"
+        lines = main_text(page).split("\n")
+        assert [x[-2] for x in lines] == list("n012w34")
+
+
 def test_toxicity(spark):
     r = random.Random(5)
     clean = ["tree", "river", "the", "of", "stone", "house", "and", "sun"]

@@ -14,38 +14,51 @@ from ledgerline.llm.toxicity import toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept_rows(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of docs whose id the verdict holds; rows without an id, which no operator judges, stay."""
-    return docs.join(verdict.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key, which is null without an id and else tells id and text; ordered by id.  It is the id where no id has several texts."""
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.length("text"), F.lit(-1)).alias("n")).distinct()
+    if texts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("row_key", F.col("doc_id"))
+    keys = written(texts.orderBy("doc_id", "h", "n").withColumn("row_key", F.monotonically_increasing_id()), "keys")
+    marked = docs.withColumns({"h": F.xxhash64("text"), "n": F.coalesce(F.length("text"), F.lit(-1))})
+    return marked.join(keys, ["doc_id", "h", "n"], "left").select(*COLUMNS, "row_key")
 
 
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs with the texts that the operator kept.  Rows that repeat an id with one text count once."""
-    meta = docs.where("doc_id is not null").select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
-    known = meta.join(texts.where("doc_id is not null").dropDuplicates(["doc_id"]), "doc_id")
+def _kept_rows(keyed: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The rows whose key the verdict holds; rows without an id, which these operators don't judge, stay."""
+    return keyed.join(verdict.select("row_key").distinct(), "row_key", "left_semi").unionByName(keyed.where("row_key is null")).select(*COLUMNS)
+
+
+def _with_text(keyed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows with the texts that the operator kept.  Rows that repeat an id, text, lang and source count once."""
+    meta = keyed.where("row_key is not null").select("row_key", "doc_id", "lang", "source").distinct()
+    known = meta.join(texts.where("row_key is not null").dropDuplicates(["row_key"]), "row_key")
     out = known.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
-    return out.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    return out.unionByName(keyed.where("row_key is null").select(*COLUMNS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't predict toxic."""
-    found = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _kept_rows(docs, found.where("predicted = 0"))
+    """Rows whose text the classifier doesn't predict toxic, with or without an id."""
+    found = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("text", "lang", "source", "n_chars"))
+    return found.where("predicted = 0").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks of lines that come earlier."""
-    return _with_text(docs, line_dedup(docs).select("doc_id", "kept_text"))
+    """Documents without runs of lines that come earlier."""
+    keyed = _keyed(docs)
+    return _with_text(keyed, line_dedup(keyed, "row_key").select("row_key", "kept_text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates."""
-    return _kept_rows(docs, jaccard_components(docs).where("doc_id = component_id"))
+    keyed = _keyed(docs)
+    return _kept_rows(keyed, jaccard_components(keyed, "row_key").where("row_key = component_id"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that start earlier."""
-    return _with_text(docs, substring_dedup(docs).select("doc_id", "kept_text"))
+    keyed = _keyed(docs)
+    return _with_text(keyed, substring_dedup(keyed, "row_key").select("row_key", "kept_text"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,32 +7,36 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+#: Chains end where they come back to a node; Spark's own limit of levels raises an error and is set out of the way.
+LEVELS = 1_000_000
+
+
 def _view(df: DataFrame, name: str) -> str:
     view = f"{name}_{uuid.uuid4().hex}"
     df.createOrReplaceTempView(view)
     return view
 
 
-def mount_paths(edges: DataFrame, roots: DataFrame, depth: int = 16) -> DataFrame:
+def mount_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, path: every chain of mounts from a root (node, path) over edges (parent, child, prefix); chains that come back are cut."""
     e, r = _view(edges, "edges"), _view(roots, "roots")
     return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(node, path, visited, n) AS (
+        WITH RECURSIVE walk(node, path, visited, n) MAX RECURSION LEVEL {LEVELS} AS (
           SELECT node, path, array(node), 0 FROM {r}
           UNION ALL
           SELECT e.child, concat(w.path, e.prefix), array_append(w.visited, e.child), w.n + 1
-          FROM walk w JOIN {e} e ON e.parent = w.node WHERE NOT array_contains(w.visited, e.child) AND w.n < {depth})
+          FROM walk w JOIN {e} e ON e.parent = w.node WHERE NOT array_contains(w.visited, e.child))
         SELECT DISTINCT node, path FROM walk""")
 
 
-def inherited_fields(classes: DataFrame, fields: DataFrame, depth: int = 16) -> DataFrame:
+def inherited_fields(classes: DataFrame, fields: DataFrame) -> DataFrame:
     """cls, field, owner, depth: own and inherited fields over classes (cls, base); of one name the nearest owner's, then the least owner."""
     c, f = _view(classes, "classes"), _view(fields, "fields")
     return classes.sparkSession.sql(f"""
-        WITH RECURSIVE up(cls, owner, visited, n) AS (
+        WITH RECURSIVE up(cls, owner, visited, n) MAX RECURSION LEVEL {LEVELS} AS (
           SELECT DISTINCT cls, cls, array(cls), 0 FROM {c}
           UNION ALL
           SELECT u.cls, c.base, array_append(u.visited, c.base), u.n + 1
-          FROM up u JOIN {c} c ON c.cls = u.owner WHERE c.base IS NOT NULL AND NOT array_contains(u.visited, c.base) AND u.n < {depth})
+          FROM up u JOIN {c} c ON c.cls = u.owner WHERE c.base IS NOT NULL AND NOT array_contains(u.visited, c.base))
         SELECT cls, field, min_by(owner, struct(n, owner)) AS owner, min(n) AS depth
         FROM up JOIN {f} USING (owner) GROUP BY cls, field""")

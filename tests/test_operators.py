@@ -113,3 +113,13 @@ def test_files_and_mining(spark, tmp_path):
     assert [(r.line, r.method, r.path) for r in mining.request_lines(http, "file", "text").orderBy("line").collect()] == [(1, "GET", "/a"), (3, "POST", "/c")]
     spec = found.where("path = 'spec.json'").withColumnRenamed("path", "file")
     assert [(r.method, r.path) for r in mining.spec_routes(spec, "file", "text").collect()] == [("GET", "/p")]
+
+
+def test_chains_have_no_depth_limit(spark):
+    chain = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(20)] + [("c20", "c0")], "cls string, base string")
+    fields = spark.createDataFrame([("c20", "f")], "owner string, field string")
+    got = {r.cls: (r.owner, r.depth) for r in graph.inherited_fields(chain, fields).collect()}
+    assert got == {f"c{i}": ("c20", 20 - i) for i in range(21)}
+    edges = chain.selectExpr("cls AS parent", "base AS child", "'/p' AS prefix")
+    paths = graph.mount_paths(edges, spark.createDataFrame([("c0", "")], "node string, path string")).collect()
+    assert {(r.node, r.path) for r in paths} == {(f"c{i}", "/p" * i) for i in range(21)}

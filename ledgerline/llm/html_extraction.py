@@ -1,11 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
 Each run of text is a leaf; its path is the tags from the root down to it (with class names).  Over a page, each path gathers text length, number
-of leaves and punctuation: text per leaf and punctuation per leaf are the path's ratios.  Ratios are smoothed along the page, fused by their
-geometric mean, lowered in elements whose names tell of something else, and leaves over a threshold, a share of the page's own spread, are content.
-The deepest element that holds nearly all content leaves is the page's region; its <article> or <main>, if there is one around it, is kept as a whole.
-Without one, content leaves and what stands beside them are kept, and the region's headings and paragraphs.  An element with a name of that
-kind is kept if most of its text is content.
+of leaves and punctuation: text per leaf and punctuation per leaf are the path's ratios.  Ratios are smoothed along the page and fused by their
+geometric mean; a stated prior lowers them in elements whose tag, role, class or id tells of something else (PRIOR_*).  Leaves over a threshold, a share
+of the page's own spread, are content.  No element is looked for by name, <article> and <main> included: what the ratios choose is kept, and
+what stands beside it in the same container (short paragraphs, headings between long ones), and headings and paragraphs of the innermost element that holds nearly
+all of it.  An element under a prior goes unless most of its text is content by score.
 
 Pages are independent, so this is one map over Arrow batches; nothing is shuffled.
 """
@@ -19,47 +19,58 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Elements whose text is never shown, or is no article text.
+#: Elements whose text is never shown.
 UNSHOWN = {"script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "button", "title"}
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
+#: Elements that seldom hold article text, those of prose first; a prior on scores.
+ASIDE = {"header", "footer", "aside", "form", "dialog"}
+LISTS = {"nav", "menu"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 ONE_BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "td", "th", "tr", "tbody", "table", "dd", "dt", "dl", "figcaption", "figure"}
-#: Words in class names and ids of elements that are no article text.
-ASIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "form", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "related", "replies", "respond", "responses", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget"}
-ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|template)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Words in class names and ids of elements that hold prose which is no article text.
+ASIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "form", "header", "modal", "newsletter", "notice", "notices", "popup", "promo", "related", "replies", "respond", "responses", "sidebar", "signup", "sponsor", "sponsored", "subscribe", "widget"}
+#: The same of elements that hold short entries.
+LIST_NAMES = {"breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation", "pager", "pagination", "share", "sharing", "social", "tags", "toolbar"}
+ASIDE_ROLES = {"banner", "contentinfo", "complementary", "search", "dialog", "alert", "form"}
+LIST_ROLES = {"navigation", "menu"}
+
+# an attribute's value is quoted only right behind its =; possessive, so that no page makes it go back
+_ATTRIBUTES = r"(?>[^\s=<>]++|=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>]*+)|\s++)*+"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|template)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|<[!?/][^>]*>", re.S | re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-THRESHOLD = 0.5
-#: Names lower the score of the leaves in an element: by the first factor if a word is a whole name, by the second if it is a part of one.
-WHOLE_NAME, PART_NAME = 0.03, 0.3
+#: A leaf is content from this share of the mean score on, weighted by text and prior.
+THRESHOLD = 0.4
+#: What a path without punctuation has as its ratio of punctuation.
+PLAIN = 0.25
+#: The prior: what the score of a leaf is multiplied by in an element of ASIDE, with a role of ASIDE_ROLES or a class or id that is one of ASIDE_NAMES; with such
+#: a word as a part of its class or id; and in one of LISTS, LIST_ROLES or LIST_NAMES, which leaves the choice to the ratios.  The least factor around a leaf counts.
+PRIOR_WHOLE, PRIOR_PART, PRIOR_LIST = 0.03, 0.3, 0.5
 TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
-NAMES_SPARE = {"body", "html", "article", "main"} | TEXT_TAGS
+NAMES_SPARE = {"body", "html"} | TEXT_TAGS
 BLOCK_PARTS = INLINE | ONE_BLOCK
 #: The region may miss this share of the text of the leaves that pass.
 STRAY = 0.1
 
 
-def _aside(tag: str, attributes: str) -> tuple[bool, str, float]:
-    """(whether the element is no article text, its class names, the factor that its names put on scores)."""
-    names, out, factor = "", tag in UNSHOWN, 1.0
+def _prior(tag: str, attributes: str) -> tuple[bool, str, float]:
+    """(whether the element is never shown, its class names, the factor of the prior)."""
+    names, out, factor = "", tag in UNSHOWN, PRIOR_WHOLE if tag in ASIDE else PRIOR_LIST if tag in LISTS else 1.0
     if attributes and not attributes.isspace():
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in ASIDE_ROLES:
+            if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 out = True
+            elif key == "role":
+                factor = min(factor, PRIOR_WHOLE if value.lower() in ASIDE_ROLES else PRIOR_LIST if value.lower() in LIST_ROLES else 1.0)
             elif key in ("class", "id"):
                 names += "." + value if key == "class" else ""
                 if tag not in NAMES_SPARE:
                     for name in value.split():
-                        if name.lower() in ASIDE_NAMES:
-                            factor = WHOLE_NAME
-                        elif any(w.lower() in ASIDE_NAMES for w in _NAME_WORDS.findall(name)):
-                            factor = min(factor, PART_NAME)
+                        words = ASIDE_NAMES.intersection(w.lower() for w in _NAME_WORDS.findall(name))
+                        factor = min(factor, PRIOR_WHOLE if name.lower() in ASIDE_NAMES else PRIOR_LIST if name.lower() in LIST_NAMES else PRIOR_PART if words else 1.0)
     return out, names, factor
 
 
@@ -74,7 +85,7 @@ class Page:
         self.fit: list[bool] = []
         stack: list[tuple[str, str, int, bool]] = []  # tag, path, element, no article text
         self.tag: dict[int, str] = {}
-        self.named: dict[int, float] = {}  # elements whose names lower scores
+        self.named: dict[int, float] = {}  # elements under a prior
         block = element = at = 0
 
         def leaf(raw: str) -> None:
@@ -124,10 +135,9 @@ class Page:
                         break
             if tag in VOID or m[4].endswith("/") and tag not in CLOSES_P:
                 continue
-            out, names, factor = _aside(tag, m[4])
+            out, names, factor = _prior(tag, m[4])
             above = stack[-1] if stack else ("", "", 0, False)
-            in_article = any(s[0] == "article" for s in stack)
-            out = out or above[3] or tag in ASIDE or tag == "article" and in_article and "comment" in names
+            out = out or above[3]
             element += 1
             self.tag[element] = tag
             if factor < 1:
@@ -144,14 +154,15 @@ def content(page: Page, fit: list[int]) -> list[int]:
         size[p] = size.get(p, 0) + len(page.text[i])
         marks[p] = marks.get(p, 0) + len(_PUNCTUATION.findall(page.text[i]))
         count[p] = count.get(p, 0) + 1
-    ratio = np.array([[size[p] / count[p], 1 + marks[p] / count[p]] for p in (page.path[i] for i in fit)])
+    ratio = np.array([[size[p] / count[p], PLAIN + marks[p] / count[p]] for p in (page.path[i] for i in fit)])
     padded = np.concatenate([ratio[:1], ratio, ratio[-1:]])
     smooth = (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
     factor = np.array([min((page.named[e] for e in page.chain[i] if e in page.named), default=1.0) for i in fit])
     text = {i for i in fit if any(page.tag[e] in TEXT_TAGS for e in page.chain[i])}
     own = factor * np.sqrt(ratio[:, 0] * ratio[:, 1])
     fused = np.where(factor < 1, own, np.sqrt(smooth[:, 0] * smooth[:, 1]))
-    limit = min(THRESHOLD * fused.std(), fused.max())
+    weights = factor * np.array([len(page.text[i]) for i in fit])
+    limit = min(THRESHOLD * (fused * weights).sum() / weights.sum(), fused.max())
     # neighbours lift headings and paragraphs only, and none in a named element
     passing = [i for i, f, o in zip(fit, fused, own) if f >= limit and (i in text or o >= limit)] or [fit[int(own.argmax())]]
     weight, whole = {}, {}
@@ -166,10 +177,6 @@ def content(page: Page, fit: list[int]) -> list[int]:
     # the innermost element with nearly all of the chosen text, and what it is the article of; inner ones have greater numbers
     best = max((e for e, w in weight.items() if w >= (1 - STRAY) * total), default=0)
     around = next((page.chain[i][: page.chain[i].index(best) + 1] for i in passing if best in page.chain[i]), ())
-    for tag in ("article", "main"):
-        held = [e for e in around if page.tag[e] == tag]
-        if held:
-            return [i for i in fit if held[-1] in page.chain[i]]
     # one block is not the whole text: up to what holds its neighbours
     while around and page.tag[around[-1]] in BLOCK_PARTS:
         around = around[:-1]

@@ -380,3 +380,26 @@ def test_toxicity(spark):
     assert got[900].score == got[901].score and len(got) == 243
     none = toxicity(docs.where("false"), spark.createDataFrame([], "doc_id long, toxic int"))
     assert none.count() == 0
+
+
+def test_ratios_choose_the_text(monkeypatch):
+    """Menus go by their ratios alone, whatever they are called; text in elements with odd names stays."""
+    from ledgerline.llm import html_extraction
+
+    menu = "<div><ul>" + "".join(f"<li><a href=/{w}>{w}</a></li>" for w in ("Home", "News", "Sport", "About")) + "</ul></div>"
+    page = f"<body>{menu}<div><h1>Title</h1>{P % 1}<section class='share-price'>{P % 2}</section><div class='tags-note'>{P % 3}</div><p title=it's>{'Short, but text. ' * 3}</p></div></body>"
+    lines = main_text(page).split("\n")
+    assert lines[0] == "Title" and [x[-2] for x in lines[1:4]] == list("123") and lines[4] == ("Short, but text. " * 3).strip() and len(lines) == 5
+    monkeypatch.setattr(html_extraction, "THRESHOLD", 0.0)  # without the choice by score the menu comes in
+    assert "Home" in main_text(page)
+    for bad in ("<a " * 20000, '<a x="' * 20000, "<!--" * 20000, "<" * 20000):
+        main_text(bad)
+
+
+def test_main_text_of_odd_tables(spark):
+    long = "<article>" + "".join(P % i for i in range(10)) * 300 + "</article>"
+    rows = [(1, "u", long), (1, "u", long), (2, None, "<p>x</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = extract_main_text(df).collect()
+    assert sorted(r.page_id for r in got) == [1, 1, 2] and all(r.text.count("\n") == 2999 for r in got if r.page_id == 1)
+    assert extract_main_text(df.where("false")).count() == 0

@@ -1,15 +1,18 @@
 """Quality rules whose cutoffs follow the corpus.
 
-Counts come from whole texts.  For each of a few ratios a quantile sketch (KLL) is built per language and source, merged per language
-and over all; the quantiles of a group are blended with those of its language and of all rows, by a weight that grows with the group,
+Counts come from whole texts.  For each of a few ratios a quantile sketch is built per language and source, merged per language
+and over all: counts of values in buckets whose bounds grow by the factor GROWTH, so that sketches merge by adding counts, give the same result in any
+order, and each quantile is off by a relative (GROWTH - 1) / 2 at most.  The quantiles of a group are blended with those of its language and of all rows, by a weight that grows with the group,
 and turned to an upper and a lower fence, with which its rows are joined.  Sketches merge, so the aggregation combines before its shuffle, however large one source is.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._store import written
 from ._text import slices, split_words, window_hashes, run_hashes, _SPACE
@@ -25,7 +28,7 @@ OUTER, SPREAD, FAR = 0.9, 3.0, 0.99
 MARGIN = {"symbol_ratio": (0.02, 0.05), "dup_line_ratio": (0.1, 0.2), "repeat_ratio": (0.05, 0.2), "mean_chars": (1.0, 2.0)}
 #: So many rows of a group weigh as much as the next wider group.
 HALF_WEIGHT = 200
-SKETCH_K = 400
+GROWTH = 1.01
 
 
 def _counts(batches):
@@ -71,23 +74,32 @@ def quality_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(_counts, "doc long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
 
 
+def _sketch(sound: DataFrame, ratios: list[str]) -> DataFrame:
+    """lang, source, ratio, bucket, n: how many values of each ratio lie in each bucket; bucket null holds zeros."""
+    held = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.when(F.col(r) > 0, F.ceil(F.log(r) / F.lit(math.log(GROWTH)))).alias("bucket")) for r in ratios])).alias("s")
+    return sound.select("lang", "source", held).groupBy("lang", "source", "s.ratio", "s.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
 def fences(counts: DataFrame) -> DataFrame:
     """lang, source and for each ratio its lower and upper fence, from sketches over the rows that pass the base rules."""
     ratios = _ratios()
     sound = counts.where(~_base_failed()).select("lang", "source", *(r.alias(n) for n, r in ratios.items()))
-    fine = sound.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(n, F.lit(SKETCH_K)).alias(n) for n in ratios))
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(n, F.lit(SKETCH_K)).alias(n) for n in ratios)]
-    wide = fine.groupBy("lang").agg(*merged)
-    whole = fine.agg(*merged).where("n > 0")
-
+    sketch = _sketch(sound, list(ratios))
     places = {"low": 1 - OUTER, "mid": 0.5, "high": OUTER}
     far = {"far_low": 1 - FAR, "far_high": FAR}
 
-    def quantiles(table: DataFrame, mark: str, at: dict[str, float]) -> DataFrame:
-        found = [F.expr(f"kll_sketch_get_quantile_double({name}, {q}D)").alias(f"{mark}_{name}_{k}") for name in ratios for k, q in at.items()]
-        return table.select(*(c for c in ("lang", "source") if c in table.columns), F.col("n").alias(f"{mark}_n"), *found)
+    def quantiles(keys: list[str], mark: str, at: dict[str, float]) -> DataFrame:
+        """One row a group: its number of rows and the quantiles of each ratio; a group's buckets are few, whatever its size."""
+        merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
+        group = Window.partitionBy(*keys, "ratio")
+        ranked = merged.withColumns({"upto": F.sum("n").over(group.orderBy(F.asc_nulls_first("bucket"))), "total": F.sum("n").over(group)})
+        value = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bucket")) * (2 / (1 + GROWTH)))
+        picks = [F.min(F.when((F.col("ratio") == r) & (F.col("upto") >= q * F.col("total")), value)).alias(f"{mark}_{r}_{k}") for r in ratios for k, q in at.items()]
+        return ranked.groupBy(*keys).agg(F.max("total").alias(f"{mark}_n"), *picks)
 
-    joined = quantiles(fine, "fine", places).join(quantiles(wide, "wide", places).withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))).drop("l").crossJoin(quantiles(whole, "whole", places | far))  # one row
+    wide = quantiles(["lang"], "wide", places).withColumnRenamed("lang", "l")
+    whole = quantiles([], "whole", places | far).where("whole_n > 0")  # one row
+    joined = quantiles(["lang", "source"], "fine", places).join(wide, F.col("lang").eqNullSafe(F.col("l"))).drop("l").crossJoin(F.broadcast(whole))
 
     def blend(c: str) -> Column:
         out = F.col(f"whole_{c}")
@@ -120,7 +132,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged alike.  An empty table gives an empty result.  Other columns are ignored, whatever their names.
     """
     counts = written(quality_counts(docs, id_col, text_col, lang_col, source_col), "counts")
-    limits = fences(counts).withColumnsRenamed({"lang": "l", "source": "s"})
+    # written once: every row is judged by the same fences, also if an executor is lost
+    limits = written(fences(counts), "fences").withColumnsRenamed({"lang": "l", "source": "s"})
     inside = F.lit(True)
     for name, ratio in _ratios().items():
         inside = inside & ratio.between(F.col(f"{name}_lo"), F.col(f"{name}_hi"))

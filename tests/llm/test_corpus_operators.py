@@ -403,3 +403,77 @@ def test_main_text_of_odd_tables(spark):
     got = extract_main_text(df).collect()
     assert sorted(r.page_id for r in got) == [1, 1, 2] and all(r.text.count("\n") == 2999 for r in got if r.page_id == 1)
     assert extract_main_text(df.where("false")).count() == 0
+
+
+def test_kept_by_brute_force(spark):
+    """kept as quality_rules says it, with fences from sorted values in plain Python; values at a fence are left out of the comparison."""
+    from ledgerline.llm import quality_rules as Q
+
+    r = random.Random(12)
+    rows = []
+    for i in range(900):
+        w = ["w" * r.randint(1, 9 if i % 40 else 30) for _ in range(r.randint(30, 200))]
+        w = [x if r.random() > (0.3 if i % 37 == 0 else 0.01) else x + "#&" for x in w]
+        lines = [" ".join(w[k : k + 8]) + f" {i}-{k}" for k in range(0, len(w), 8)]
+        rows.append((i, "\n".join(lines + lines[: len(lines) // 4 if i % 31 == 0 else 0]), r.choice(["en", "fr", None]), "hot" if i % 3 else r.choice(["a", "b", None])))
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    stats, verdict = {}, {x.doc_id: x.kept for x in got}
+    for x in got:
+        text = rows[x.doc_id][1]
+        n_lines = sum(1 for t in text.split("\n") if words(t))
+        stats[x.doc_id] = None if x.base_failed else {"symbol_ratio": x.n_symbols / x.n_words, "dup_line_ratio": x.n_dup_lines / n_lines, "repeat_ratio": x.n_repeat_words / x.n_words, "mean_chars": x.word_chars / x.n_words}
+
+    def quantile(values, q):
+        return sorted(values)[max(0, int(np.ceil(q * len(values) - 1e-9)) - 1)]
+
+    checked = 0
+    for i, _, lang, source in rows:
+        if stats[i] is None:
+            assert not verdict[i]
+            continue
+        inside, near = True, False
+        for name in stats[i]:
+            levels = [[s[name] for (j, _, l, o), s in ((rows[k], stats[k]) for k in stats) if s and test(l, o)] for test in (lambda l, o: True, lambda l, o: l == lang, lambda l, o: (l, o) == (lang, source))]
+            q = {k: quantile(levels[0], p) for k, p in (("low", 0.1), ("mid", 0.5), ("high", 0.9))}
+            for level in levels[1:]:
+                w = len(level) / (len(level) + Q.HALF_WEIGHT)
+                q = {k: w * quantile(level, p) + (1 - w) * q[k] for k, p in (("low", 0.1), ("mid", 0.5), ("high", 0.9))}
+            least, most = Q.MARGIN[name]
+            down, up = (max(least, min(most, d)) for d in (quantile(levels[0], 0.5) - quantile(levels[0], 0.01), quantile(levels[0], 0.99) - quantile(levels[0], 0.5)))
+            lo, hi = q["low"] - max(3 * (q["mid"] - q["low"]), down), q["high"] + max(3 * (q["high"] - q["mid"]), up)
+            inside &= lo <= stats[i][name] <= hi
+            near |= min(abs(stats[i][name] - lo), abs(stats[i][name] - hi)) < 0.06 * max(hi, 0.01)
+        if not near:
+            checked += 1
+            assert verdict[i] == inside, (i, stats[i])
+    assert checked > 500 and 0 < sum(not v for i, v in verdict.items() if stats[i]) < 300
+    again = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)).collect()
+    assert {x.doc_id: x.kept for x in again} == verdict
+
+
+def test_network_forward_pass():
+    """Scores of the model against a plain loop over windows."""
+    from ledgerline.llm import toxicity as X
+
+    r = random.Random(2)
+    pool = ["tree", "river", "vile", "scum", "stone", "sun", "the", "der"]
+    texts = [" ".join(r.choice(pool) for _ in range(r.randint(0, 30))) for _ in range(80)]
+    model = X.Model([(t, int("vile" in t)) for t in texts])
+    net, odd = model.net, ["", "one", "never seen words here", "VILE, river!", "tree " * 3000]
+    for text in texts[:10] + odd:
+        data = np.frombuffer(text.encode() + b"\0" * 8, np.uint8).copy()
+        h, first, language = X.word_hashes(data, np.array([0, len(data) - 8]))
+        e = [net.p["e"][int(np.flatnonzero(net.words == x)[0]) + 1] if x in net.words else np.zeros(X.WIDTH) for x in h]
+        pooled = []
+        for w in X.WIDTHS:
+            seen = [sum(e[k + j] @ net.p[f"w{w}"][j] for j in range(w)) + net.p[f"b{w}"] for k in range(len(e) - w + 1)]
+            pooled.append(np.maximum(np.max(seen, axis=0), 0) if seen else np.zeros(X.FILTERS))
+        z = np.concatenate(pooled) @ net.p["v"] + net.p["c"][0] - model.cuts[language[0]] + np.log(0.7 / 0.3)
+        for tables in (None, net.tables()):
+            assert abs(model.score(data, np.array([0, len(data) - 8]), tables)[0] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-4
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(i, ("vile %d" if i % 2 else "fine %d") % i) for i in range(60)] + [(7, "another text"), (61, "word " * 200000), (62, "fine 2"), (62, "fine 2")]
+    got = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int")).collect()
+    assert len(got) == len(rows) and len({x.score for x in got if x.doc_id == 62}) == 1

@@ -7,11 +7,11 @@ from pyspark.sql import Column, functions as F
 
 def normalize_path(path: Column) -> Column:
     """Trimmed, one leading slash, every placeholder ({x}, :x, <t:x>) as {param}, one trailing slash less."""
-    p = F.trim(path)
+    p = F.regexp_replace(path, r"^\s+|\s+$", "")
     p = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
     p = F.regexp_replace(p, r"<(?:[^<>:]+:)?([^<>]+)>", "{$1}")
     p = F.regexp_replace(p, r":([A-Za-z_][A-Za-z0-9_]*)", "{$1}")
-    p = F.regexp_replace(p, r"\{[^{}]*\}", "{param}")
+    p = F.regexp_replace(p, r"\{[^}]+\}", "{param}")
     return F.when((F.length(p) > 1) & p.endswith("/"), F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)
 
 
@@ -67,24 +67,26 @@ def is_confined(path: Column) -> Column:
 
 def snippet(lines: Column) -> Column:
     """Lines without white space at their ends, joined."""
-    return F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"[ \t\r\f\x0B]+$", "")), "\n")
+    return F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", "")), "\n")
 
 
 def snippet_hash(lines: Column) -> Column:
     return F.sha2(snippet(lines), 256)
 
 
-def coarse_type(name: Column) -> Column:
-    """The coarse type of a declared one; unknown if it has none."""
-    known = {
-        "string": ["str", "string", "datetime", "date", "uuid", "char", "email", "slug", "url"],
-        "integer": ["int", "integer", "long"],
-        "number": ["float", "double", "decimal", "number", "bigdecimal"],
-        "boolean": ["bool", "boolean"],
-        "array": ["list", "array"],
-        "object": ["dict", "object", "map"],
-    }
-    out = F.when(name.endswith("[]"), F.lit("array"))
-    for kind, names in known.items():
-        out = out.when(F.lower(name).isin(names), F.lit(kind))
-    return out.otherwise(F.lit("unknown"))
+#: Coarse types of declared ones, by language; all others are unknown.
+PYTHON_TYPES = {"str": "string", "int": "integer", "float": "number", "bool": "boolean", "list": "array", "dict": "object", "datetime": "string", "date": "string", "uuid": "string", "decimal": "number"}
+SCRIPT_TYPES = {"string": "string", "number": "number", "boolean": "boolean", "any": "unknown", "date": "string"}
+
+
+def _looked_up(name: Column, known: dict[str, str]) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), name), F.lit("unknown"))
+
+
+def python_type(name: Column) -> Column:
+    return _looked_up(F.lower(F.trim(name)), PYTHON_TYPES)
+
+
+def script_type(name: Column) -> Column:
+    n = F.lower(F.trim(name))
+    return F.when(n.endswith("[]"), "array").otherwise(_looked_up(F.regexp_replace(n, r"[\[\]]+$", ""), SCRIPT_TYPES))

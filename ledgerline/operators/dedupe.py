@@ -18,8 +18,9 @@ def cap_per_key(df: DataFrame, keys: list[str], order: list[Column | str], most:
 
 
 def duplicate_keys(df: DataFrame, key: str, member: str) -> DataFrame:
-    """Keys that several members have, and these members in order."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(member)).alias("members")).where("n > 1")
+    """key, n, member: one row for each member of a key that several members have; one aggregate joined back, so that no list of a key's members is built."""
+    many = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return df.join(many, key).select(key, "n", member)
 
 
 def precedence_union(first: DataFrame, second: DataFrame, key: str, order: str) -> DataFrame:

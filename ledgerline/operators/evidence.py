@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.routes import snippet_hash
+from ..functions.routes import is_confined, snippet_hash
 
 #: Verdicts from best to worst.
 VERDICTS = ["verified", "stale", "unreadable", "confinement_violation", "fabricated"]
@@ -14,17 +14,34 @@ def rank(verdict: Column) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in VERDICTS]), verdict) - 1
 
 
-def audit(claims: DataFrame, files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """claims (file, line_start, line_end, snippet_sha256) with a verdict.
+def audit(claims: DataFrame, files: DataFrame, file: str = "file", text: str = "text", past: DataFrame | None = None) -> DataFrame:
+    """claims (file, line_start, line_end, snippet_sha256, perhaps symbol) with a verdict.
 
-    The span's lines come out of the file's own row by slicing, so claims join files on the file alone: no range join is needed.  A span past the
-    end is unreadable; one that runs over the end uses the lines that are there."""
-    lines = files.select(file, F.split(text, "\n").alias("_lines"))
+    confinement_violation: the file lies outside of the root.  unreadable: no such file, no such range, or the span doesn't hold the symbol.  verified: the
+    lines' hash is the cited one.  Otherwise it is fabricated only if past (file, line_start, line_end, past_sha256: the span's hash at the declared
+    commit) has the span with another hash; else stale, for nothing shows that it never was true.
+
+    The span's lines come out of the file's own row by slicing, so claims join files on the file alone: no range join is needed.  A span that runs over
+    the end uses the lines that are there."""
+    lines = files.select(file, F.split(F.regexp_replace(text, r"\n$", ""), "\n").alias("_lines"))
     joined = claims.join(lines, file, "left")
-    last = F.least(F.col("line_end"), F.size("_lines"))
-    there = F.slice("_lines", F.col("line_start"), F.greatest(last - F.col("line_start") + 1, F.lit(0)))
-    verdict = F.when(F.col("_lines").isNull() | (F.col("line_start") < 1) | (F.col("line_start") > F.size("_lines")), "unreadable").when(snippet_hash(there) == F.col("snippet_sha256"), "verified").otherwise("fabricated")
-    return joined.withColumn("verdict", verdict).drop("_lines")
+    if past is not None:
+        joined = joined.join(past.select(file, "line_start", "line_end", F.col("past_sha256").alias("_past")), [file, "line_start", "line_end"], "left")
+    start = F.greatest(F.col("line_start"), F.lit(1))
+    there = F.slice("_lines", start, F.greatest(F.least(F.col("line_end"), F.size("_lines")) - start + 1, F.lit(0)))
+    holds = (F.coalesce(F.col("symbol"), F.lit("")) == "") | F.exists(there, lambda x: F.contains(x, F.col("symbol"))) if "symbol" in claims.columns else F.lit(True)
+    now = (start <= F.size("_lines")) & (snippet_hash(there) == F.col("snippet_sha256"))
+    known = F.col("_past").isNotNull() & (F.col("_past") != F.col("snippet_sha256")) if past is not None else F.lit(False)
+    verdict = (
+        F.when(~is_confined(F.col(file).cast("string")), "confinement_violation").when(F.col("_lines").isNull() | (F.col("line_start") < 1) | (F.col("line_end") < F.col("line_start")), "unreadable")
+        .when(now, F.when(holds, "verified").otherwise("unreadable")).when(known, "fabricated").otherwise("stale")
+    )
+    return joined.select(*claims.columns, verdict.alias("verdict"))
+
+
+def fact_rollup(audited: DataFrame) -> DataFrame:
+    """id, evidenced, all_verified and n of all citations of a fact."""
+    return audited.groupBy("id").agg(F.lit(True).alias("evidenced"), F.bool_and(F.col("verdict") == "verified").alias("all_verified"), F.count(F.lit(1)).alias("n"))
 
 
 def worst(audited: DataFrame, key: str) -> DataFrame:

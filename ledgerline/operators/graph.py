@@ -1,42 +1,72 @@
-"""Recursive composition and inheritance, as recursive SQL."""
+"""Composition and inheritance over edges, in rounds of joins.
+
+A round joins the frontier with the edges; what it finds is new or the rounds end.  Rounds are as many as the longest chain has steps, each is
+written below the shared folder (spark.checkpoint.dir), so neither plans nor lineage grow, and no driver or task holds more than a partition."""
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame
+from .stores import written
 
 
-#: Chains end where they come back to a node; Spark's own limit of levels raises an error and is set out of the way.
-LEVELS = 1_000_000
+def mount_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, path: every chain of mounts from a root (node, path) over edges (parent, child, prefix); chains that come back are cut."""
+    front = written(roots.select("node", "path", F.array("node").alias("seen")), "walk")
+    out = [front]
+    while True:
+        step = front.join(edges, F.col("node") == F.col("parent")).where(~F.array_contains("seen", F.col("child")))
+        front = written(step.select(F.col("child").alias("node"), F.concat("path", "prefix").alias("path"), F.array_append("seen", F.col("child")).alias("seen")), "walk")
+        if front.isEmpty():
+            break
+        out.append(front)
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found.select("node", "path").distinct()
 
 
-def _view(df: DataFrame, name: str) -> str:
-    view = f"{name}_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(view)
-    return view
+def first_mounts(edges: DataFrame, nodes: DataFrame, root: str = "is_root") -> DataFrame:
+    """node, path, resolved over the first mount of each node (edges parent, child, prefix, ord; nodes node, prefix, is_root).
 
+    resolved: the chain ends at a root; where it ends elsewhere or comes back the node keeps its own prefix.  Pointers double in each round, so a chain of n
+    mounts takes log n joins."""
+    first = edges.groupBy("child").agg(F.min_by(F.struct("parent", "prefix"), "ord").alias("m")).select(F.col("child").alias("node"), F.col("m.parent").alias("up"), F.col("m.prefix").alias("mount"))
+    now = nodes.select("node", F.col("prefix").alias("own"), F.col(root).alias("is_root")).join(first, "node", "left")
+    now = written(now.select("node", "own", "is_root", F.when(~F.col("is_root"), F.col("up")).alias("up"), F.when(F.col("is_root"), F.col("own")).otherwise(F.concat(F.coalesce("mount", F.lit("")), "own")).alias("path"), F.col("is_root").alias("resolved")), "mounts")
+    for _ in range(64):
+        if now.where("up is not null").isEmpty():
+            break
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("u_up"), F.col("path").alias("u_path"), F.col("resolved").alias("u_resolved"), F.lit(True).alias("there"))
+        step = now.join(above, "up", "left")
+        # a pointer that comes back to its node is a ring: it ends here, unresolved
+        turned = F.col("u_up") == F.col("node")
+        after = step.select("node", "own", "is_root", F.when(~turned | turned.isNull(), F.col("u_up")).alias("_up"), F.when(F.col("there"), F.concat("u_path", "path")).otherwise(F.col("path")).alias("path"), F.coalesce("u_resolved", "resolved").alias("resolved"), F.col("up"))
+        now = written(after.select("node", "own", "is_root", F.when(F.col("up").isNotNull(), F.col("_up")).alias("up"), "path", "resolved"), "mounts")
+    return now.select("node", F.when(F.col("resolved"), F.col("path")).otherwise(F.col("own")).alias("path"), "resolved")
 
-def mount_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, path: every chain of mounts from a root (node, path) over edges (parent, child, prefix); chains that come back are cut."""
-    e, r = _view(edges, "edges"), _view(roots, "roots")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(node, path, visited, n) MAX RECURSION LEVEL {LEVELS} AS (
-          SELECT node, path, array(node), 0 FROM {r}
-          UNION ALL
-          SELECT e.child, concat(w.path, e.prefix), array_append(w.visited, e.child), w.n + 1
-          FROM walk w JOIN {e} e ON e.parent = w.node WHERE NOT array_contains(w.visited, e.child))
-        SELECT DISTINCT node, path FROM walk""")
+
+def ancestors(classes: DataFrame) -> DataFrame:
+    """cls, owner, depth: each class and all classes above it over (cls, base), with the least number of steps."""
+    up = classes.where("base is not null").select(F.col("cls").alias("owner"), F.col("base").alias("next")).distinct()
+    front = written(classes.select("cls", F.col("cls").alias("owner"), F.lit(0).alias("depth")).distinct(), "up")
+    found = front
+    for depth in range(1, 1_000_000):
+        step = front.select("cls", "owner").join(up, "owner").select("cls", F.col("next").alias("owner")).distinct()
+        front = written(step.join(found.select("cls", "owner"), ["cls", "owner"], "left_anti").withColumn("depth", F.lit(depth)), "up")
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
 
 
 def inherited_fields(classes: DataFrame, fields: DataFrame) -> DataFrame:
     """cls, field, owner, depth: own and inherited fields over classes (cls, base); of one name the nearest owner's, then the least owner."""
-    c, f = _view(classes, "classes"), _view(fields, "fields")
-    return classes.sparkSession.sql(f"""
-        WITH RECURSIVE up(cls, owner, visited, n) MAX RECURSION LEVEL {LEVELS} AS (
-          SELECT DISTINCT cls, cls, array(cls), 0 FROM {c}
-          UNION ALL
-          SELECT u.cls, c.base, array_append(u.visited, c.base), u.n + 1
-          FROM up u JOIN {c} c ON c.cls = u.owner WHERE c.base IS NOT NULL AND NOT array_contains(u.visited, c.base))
-        SELECT cls, field, min_by(owner, struct(n, owner)) AS owner, min(n) AS depth
-        FROM up JOIN {f} USING (owner) GROUP BY cls, field""")
+    held = ancestors(classes).join(fields, "owner")
+    return held.groupBy("cls", "field").agg(F.min_by("owner", F.struct("depth", "owner")).alias("owner"), F.min("depth").cast("int").alias("depth"))
+
+
+def resolved_classes(classes: DataFrame, inert: list) -> DataFrame:
+    """cls, fully_resolved: whether each base above a class is itself a class here, or one of the inert ones, which bring no fields."""
+    known = classes.select(F.col("cls").alias("base")).distinct().withColumn("_known", F.lit(True))
+    own = classes.join(known, "base", "left").groupBy(F.col("cls").alias("owner")).agg(F.bool_and(F.col("base").isNull() | F.col("_known").isNotNull() | F.col("base").isin(inert)).alias("_ok"))
+    return ancestors(classes).join(own, "owner").groupBy("cls").agg(F.bool_and("_ok").alias("fully_resolved"))

@@ -51,10 +51,9 @@ def route_inventory(spark, sf):
     return page_keys(spark, sf).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_KEYS_SQL} SELECT key, count(*) AS n, array_to_string(list_sort(list(page_id)), ',') AS members FROM keys GROUP BY key HAVING count(*) > 1")
+@query(f"WITH {_KEYS_SQL} SELECT key, c AS n, page_id FROM (SELECT key, page_id, count(*) OVER (PARTITION BY key) AS c FROM keys) WHERE c > 1")
 def duplicate_identity(spark, sf):
-    found = dedupe.duplicate_keys(page_keys(spark, sf), "key", "page_id")
-    return found.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    return dedupe.duplicate_keys(page_keys(spark, sf), "key", "page_id")
 
 
 @query(f"WITH {_KEYS_SQL} SELECT key, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM keys GROUP BY key")
@@ -77,15 +76,16 @@ def precedence_union(spark, sf):
     return dedupe.precedence_union(keys.where("page_id % 2 = 0"), keys.where("page_id % 2 = 1"), "key", "page_id")
 
 
-_SIDES = """built AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 5 <> 0),
- live AS (SELECT o_orderkey AS k, o_orderstatus AS s, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey % 3 <> 0),
+_SIDES = """built AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders),
+ live AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS k, o_orderstatus AS s, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE o_orderpriority END AS p FROM orders),
  changes AS (SELECT coalesce(b.k, l.k) AS k, CASE WHEN l.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'deprecated'
    WHEN b.s IS NOT DISTINCT FROM l.s AND b.p IS NOT DISTINCT FROM l.p THEN 'unchanged' ELSE 'modified' END AS change FROM built b FULL JOIN live l ON b.k = l.k)"""
 
 
 def order_sides(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
-    return o.where("k % 5 <> 0"), o.where("k % 3 <> 0").withColumn("p", F.when(F.col("k") % 7 == 0, "changed").otherwise(F.col("p")))
+    changed = o.withColumn("p", F.when(F.col("k") % 7 == 0, "changed").otherwise(F.col("p")))
+    return o, changed.withColumn("k", F.when(F.col("k") % 3 == 0, -F.col("k")).otherwise(F.col("k")))
 
 
 @query(f"WITH {_SIDES} SELECT k, change FROM changes")
@@ -108,19 +108,19 @@ def route_drift(spark, sf):
     return diff.summary(diff.classify(keys.where("page_id % 2 = 0"), keys.where("page_id % 2 = 1"), "key", "page_id", ["url"]))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT starts_with(c_name, '[DEPRECATED]')")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AND NOT starts_with(c_name, '[DEPRECATED]')")
 def deprecated_antijoin(spark, sf):
     c = table(spark, sf, "customer").where(~F.col("c_name").startswith("[DEPRECATED]"))
-    return c.join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return c.join(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query(
-    """WITH live AS (SELECT doc_id AS k, lang AS method, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'note ' || source END AS note FROM documents WHERE doc_id % 6 <> 0),
+    """WITH live AS (SELECT doc_id AS k, lang AS method, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'note ' || source END AS note FROM documents),
     built AS (SELECT doc_id AS k, 'q' || quality AS method, 'auto' AS note FROM labels)
     SELECT coalesce(l.k, b.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.method ELSE l.method END AS method, coalesce(nullif(l.note, ''), b.note) AS note FROM live l FULL JOIN built b ON l.k = b.k"""
 )
 def merge_ownership(spark, sf):
-    live = table(spark, sf, "documents").where("doc_id % 6 <> 0").select(F.col("doc_id").alias("k"), F.col("lang").alias("method"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("note "), "source")).alias("note"))
+    live = table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.col("lang").alias("method"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("note "), "source")).alias("note"))
     built = table(spark, sf, "labels").select(F.col("doc_id").alias("k"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("method"), F.lit("auto").alias("note"))
     return merge.owned_merge(live, built, "k", ["method"], ["note"])
 
@@ -148,7 +148,7 @@ def content_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-_RSTRIP = r"regexp_replace(x, '[ \t\r\f\x0B]+$', '')"
+_RSTRIP = r"regexp_replace(x, '\s+$', '')"
 _SNIP = "sha256(array_to_string(list_transform(list_slice(string_split({t}, chr(10)), {a}, {b}), lambda x: " + _RSTRIP + "), chr(10)))"
 
 
@@ -164,7 +164,7 @@ def line_explode(spark, sf):
 
 _CLAIMS_SQL = f"""claims AS (SELECT doc_id, kind, CASE kind WHEN 2 THEN 1000000 ELSE 1 END AS a, CASE kind WHEN 2 THEN 1000002 ELSE 2 END AS b,
    CASE kind WHEN 1 THEN 'tampered' ELSE {_SNIP.format(t='text', a=1, b=2)} END AS sha, text FROM documents, (VALUES (0), (1), (2)) k(kind)),
- audited AS (SELECT doc_id, kind, CASE WHEN a > len(string_split(text, chr(10))) THEN 'unreadable' WHEN {_SNIP.format(t='text', a='a', b='b')} = sha THEN 'verified' ELSE 'fabricated' END AS verdict FROM claims)"""
+ audited AS (SELECT doc_id, kind, CASE WHEN a <= len(string_split(text, chr(10))) AND {_SNIP.format(t='text', a='a', b='b')} = sha THEN 'verified' ELSE 'stale' END AS verdict FROM claims)"""
 
 
 def audited(spark, sf):
@@ -181,7 +181,7 @@ def evidence_audit(spark, sf):
     return audited(spark, sf).select(F.col("file").alias("doc_id"), "kind", "verdict")
 
 
-@query(f"WITH {_CLAIMS_SQL} SELECT doc_id, arg_max(verdict, CASE verdict WHEN 'verified' THEN 0 WHEN 'unreadable' THEN 2 ELSE 4 END) AS verdict, count(*) AS n FROM audited GROUP BY doc_id")
+@query(f"WITH {_CLAIMS_SQL} SELECT doc_id, arg_max(verdict, CASE verdict WHEN 'verified' THEN 0 ELSE 1 END) AS verdict, count(*) AS n FROM audited GROUP BY doc_id")
 def worst_verdict(spark, sf):
     return evidence.worst(audited(spark, sf), "file").withColumnRenamed("file", "doc_id")
 
@@ -351,18 +351,20 @@ def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-_SEGMENTS_SQL = f"seg AS (SELECT DISTINCT key, string_split(key, '/') AS s FROM keys)"
+_PART_KEYS_SQL = "keys AS (SELECT DISTINCT 'GET:/' || lower(p_brand) || '/' || CASE WHEN p_partkey % 5 = 0 THEN '{param}' ELSE 'i' || p_size END || CASE WHEN p_partkey % 3 = 0 THEN '/x' ELSE '' END AS key FROM part)"
 
 
 @query(
-    f"""WITH {_KEYS_SQL}, {_SEGMENTS_SQL}
+    f"""WITH {_PART_KEYS_SQL}, seg AS (SELECT key, string_split(key, '/') AS s FROM keys)
     SELECT a.key AS literal, b.key AS pattern FROM seg a JOIN seg b ON len(a.s) = len(b.s) AND a.key <> b.key
     WHERE len(list_filter(range(1, len(a.s) + 1), lambda i: a.s[i] <> b.s[i])) = 1 AND len(list_filter(range(1, len(a.s) + 1), lambda i: a.s[i] <> b.s[i] AND a.s[i] <> '{{param}}' AND b.s[i] = '{{param}}')) = 1"""
 )
 def shadow_pairs(spark, sf):
     """Keys that differ in one segment, a literal in one and a placeholder in the other: each literal segment in turn is replaced by a
     placeholder, and what comes out is looked up among the keys, so that no pairs are compared."""
-    keys = page_keys(spark, sf).select("key").distinct()
+    k = F.col("p_partkey")
+    last = F.when(k % 5 == 0, "{param}").otherwise(F.concat(F.lit("i"), "p_size"))
+    keys = table(spark, sf, "part").select(F.concat(F.lit("GET:/"), F.lower("p_brand"), F.lit("/"), last, F.when(k % 3 == 0, "/x").otherwise("")).alias("key")).distinct()
     parts = keys.select("key", F.split("key", "/").alias("s"))
     masked = parts.select("key", "s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("i")).where(F.element_at("s", F.col("i")) != "{param}")
     pattern = F.array_join(F.transform("s", lambda x, j: F.when(j + 1 == F.col("i"), "{param}").otherwise(x)), "/")
@@ -427,9 +429,9 @@ def name_resolution(spark, sf):
     return uses.select("s_suppkey").join(found, "s_suppkey", "left").select("s_suppkey", F.when(F.col("c") == 1, F.col("d")).alias("def"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'key|token|secret|password') THEN '***' ELSE left(text, 20) END AS shown FROM documents")
+@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'key|token|secret|password') THEN '***' ELSE text END AS shown FROM documents")
 def secret_mask(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.when(R.is_secret_name(F.col("text")), "***").otherwise(F.left("text", F.lit(20))).alias("shown"))
+    return table(spark, sf, "documents").select("doc_id", F.when(R.is_secret_name(F.col("text")), "***").otherwise(F.col("text")).alias("shown"))
 
 
 @query(
@@ -442,20 +444,21 @@ def example_lookup(spark, sf):
 
 
 @query(
-    """WITH m AS (SELECT o_orderkey AS k, o_orderkey % 50 AS h FROM orders WHERE o_orderkey % 4 <> 0), w AS (SELECT DISTINCT l_orderkey AS k, l_orderkey % 50 AS h FROM lineitem WHERE l_orderkey % 3 <> 0 AND l_linenumber = 1),
-    hit AS (SELECT m.k FROM m JOIN w USING (k)), rest AS (SELECT m.k, m.h FROM m WHERE k NOT IN (SELECT k FROM hit)), wr AS (SELECT h, max(k) AS wk FROM w GROUP BY h)
+    """WITH m AS (SELECT o_orderkey AS k, o_custkey AS h FROM orders), w AS (SELECT DISTINCT CASE WHEN l_linenumber > 1 THEN -l_orderkey ELSE l_orderkey + 3 * (l_orderkey % 2) END AS k, l_suppkey AS h FROM lineitem),
+    hit AS (SELECT m.k FROM m WHERE k IN (SELECT k FROM w)), rest AS (SELECT m.k, m.h FROM m WHERE k NOT IN (SELECT k FROM hit)), wr AS (SELECT h, max(k) AS wk FROM w GROUP BY h)
     SELECT k, 'agreed' AS state, k AS witness FROM hit UNION ALL SELECT rest.k, CASE WHEN wk IS NULL THEN 'model_only' ELSE 'handler' END, wk FROM rest LEFT JOIN wr USING (h)
-    UNION ALL SELECT w.k, 'witness_only', w.k FROM w WHERE k NOT IN (SELECT k FROM hit) AND k NOT IN (SELECT wk FROM rest JOIN wr USING (h))"""
+    UNION ALL SELECT DISTINCT w.k, 'witness_only', w.k FROM w WHERE k NOT IN (SELECT k FROM hit) AND k NOT IN (SELECT wk FROM rest JOIN wr USING (h))"""
 )
 def witness_crosscheck(spark, sf):
     """Model rows by identity, then by handler (the last route of a handler stands for it); witnesses that nothing used are omissions."""
-    m = table(spark, sf, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 50).alias("h"))
-    w = table(spark, sf, "lineitem").where("l_orderkey % 3 <> 0 and l_linenumber = 1").select(F.col("l_orderkey").alias("k"), (F.col("l_orderkey") % 50).alias("h")).distinct()
+    m = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("h"))
+    seen = F.when(F.col("l_linenumber") > 1, -F.col("l_orderkey")).otherwise(F.col("l_orderkey") + 3 * (F.col("l_orderkey") % 2))
+    w = table(spark, sf, "lineitem").select(seen.alias("k"), F.col("l_suppkey").alias("h")).distinct()
     hit = m.join(w.select("k"), "k", "left_semi").select("k")
     rest = m.join(w.select("k"), "k", "left_anti")
     placed = rest.join(w.groupBy("h").agg(F.max("k").alias("witness")), "h", "left").select("k", F.when(F.col("witness").isNull(), "model_only").otherwise("handler").alias("state"), "witness")
     used = hit.unionByName(placed.where("witness is not null").select(F.col("witness").alias("k"))).distinct()
-    omitted = w.join(used, "k", "left_anti").select("k", F.lit("witness_only").alias("state"), F.col("k").alias("witness"))
+    omitted = w.select("k").distinct().join(used, "k", "left_anti").select("k", F.lit("witness_only").alias("state"), F.col("k").alias("witness"))
     return hit.select("k", F.lit("agreed").alias("state"), F.col("k").alias("witness")).unionByName(placed).unionByName(omitted)
 
 
@@ -480,13 +483,13 @@ def changed_since(spark, sf):
 
 
 @query(
-    """WITH b AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'old' ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 11 <> 0)
+    """WITH b AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'old' ELSE sha256(text) END AS sha FROM documents), n AS (SELECT CASE WHEN doc_id % 11 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, sha256(text) AS sha FROM documents)
     SELECT coalesce(b.doc_id, n.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deleted' WHEN b.sha = n.sha THEN 'unchanged' ELSE 'modified' END AS state FROM b FULL JOIN n ON b.doc_id = n.doc_id"""
 )
 def incremental_refresh(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    before = d.where("doc_id % 10 <> 0").withColumn("sha", F.when(F.col("doc_id") % 9 == 0, "old").otherwise(F.col("sha")))
-    return incremental.refresh(before, d.where("doc_id % 11 <> 0"), "doc_id", "sha")
+    before = d.withColumn("sha", F.when(F.col("doc_id") % 9 == 0, "old").otherwise(F.col("sha")))
+    return incremental.refresh(before, d.withColumn("doc_id", F.when(F.col("doc_id") % 11 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id"))), "doc_id", "sha")
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
@@ -500,12 +503,13 @@ def audit_tail(spark, sf):
 
 
 @query(
-    """WITH c AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 <> 0), s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 6 <> 0)
+    """WITH c AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders), s AS (SELECT CASE WHEN o_orderkey % 6 = 0 THEN -o_orderkey ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders)
     SELECT k, action FROM (SELECT coalesce(c.k, s.k) AS k, CASE WHEN c.k IS NULL THEN 'restore' WHEN s.k IS NULL THEN 'remove' WHEN c.v IS DISTINCT FROM s.v THEN 'change' END AS action FROM c FULL JOIN s ON c.k = s.k) WHERE action IS NOT NULL"""
 )
 def rollback_diff(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
-    return diff.rollback(o.where("k % 5 <> 0"), o.where("k % 6 <> 0").withColumn("v", F.when(F.col("k") % 4 == 0, "X").otherwise(F.col("v"))), "k", "v")
+    before = o.withColumn("v", F.when(F.col("k") % 4 == 0, "X").otherwise(F.col("v"))).withColumn("k", F.when(F.col("k") % 6 == 0, -F.col("k")).otherwise(F.col("k")))
+    return diff.rollback(o, before, "k", "v")
 
 
 @query("SELECT o_orderkey, epoch_us(TIMESTAMP '1998-01-01 00:00:00') - epoch_us(o_orderdate) > 24 * 3600000000 AS expired FROM orders")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerline.plans import catalogue
+from ledgerline.plans import catalogue, verification  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,4 +24,5 @@ def test_same_as_sql(spark, name):
     df = catalogue.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     want = con.sql("select " + ", ".join(columns) + f" from ({catalogue.SQL[name]})").fetchall()
+    assert want, "no rows prove nothing"
     assert rows(df.select(*columns).collect()) == rows(want)

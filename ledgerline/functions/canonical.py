@@ -8,23 +8,28 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Keys that hold ids of a store and say nothing of the document.
-IDENTITY_KEYS = ("_postman_id", "id", "uid", "_postman_exported_using", "_exporter_id")
-#: Lists that are the same empty and absent.
-OPTIONAL_LISTS = ("header", "event", "response", "query", "variable")
+IDENTITY_KEYS = ("id", "_postman_id", "uid", "postmanId")
+#: Lists that are the same empty and absent; texts likewise.
+OPTIONAL_LISTS = ("event", "response", "header", "query", "variable")
+OPTIONAL_TEXTS = ("description",)
 
 
 def canonical_value(value, key: str = "", drop: tuple = IDENTITY_KEYS):
+    """Headers and responses hold objects only, headers in any order, responses by code and name; a body that is JSON text counts as what it says, and is not looked into."""
     if isinstance(value, dict):
         kept = {k: canonical_value(v, k, drop) for k, v in value.items() if k not in drop}
-        return {k: v for k, v in kept.items() if not (k in OPTIONAL_LISTS and v == []) and not (k == "description" and v in ("", None))}
+        return {k: v for k, v in kept.items() if not (k in OPTIONAL_LISTS and v == []) and not (k in OPTIONAL_TEXTS and v == "")}
     if isinstance(value, list):
-        items = [canonical_value(v, "", drop) for v in value]
-        return sorted(items, key=lambda v: json.dumps(v, sort_keys=True)) if key in ("header", "response") else items
+        items = [canonical_value(v, "", drop) for v in value if isinstance(v, dict) or key not in ("header", "response")]
+        if key == "header":
+            return sorted(items, key=lambda v: json.dumps(v, sort_keys=True))
+        return sorted(items, key=lambda v: (v.get("code") or 0, str(v.get("name") or ""))) if key == "response" else items
     if isinstance(value, str) and key in ("body", "raw"):
         try:
-            return json.loads(value)
+            parsed = json.loads(value)
         except ValueError:
-            return value.strip()
+            parsed = None
+        return value.strip() if parsed is None else parsed
     return value
 
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+LEAST = 500
+
+
 def fit(chunks: DataFrame, key: str, budget: int, overhead: int = 8) -> DataFrame:
-    """Kept chunks (key, ord, rank, cost) of each key: in order of rank, cost and ord, those that still fit; rank 0 always, and it counts.
+    """Kept chunks (key, ord, rank, length, cost) of each key: in order of rank, text length and ord, those that still fit; rank 0 always, and it counts; a budget is LEAST or more.
 
     The fold is over one key's chunks, a request's context, as an array: a later, smaller chunk may be kept after a larger one was left out."""
-    ordered = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "cost", "ord"))).alias("list"))
+    budget = max(budget, LEAST)
+    ordered = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "length", "ord", "cost"))).alias("list"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(state, x):

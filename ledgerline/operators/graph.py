@@ -5,7 +5,7 @@ written below the shared folder (spark.checkpoint.dir), so neither plans nor lin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .stores import written
 
@@ -30,20 +30,31 @@ def first_mounts(edges: DataFrame, nodes: DataFrame, root: str = "is_root") -> D
     """node, path, resolved over the first mount of each node (edges parent, child, prefix, ord; nodes node, prefix, is_root).
 
     resolved: the chain ends at a root; where it ends elsewhere or comes back the node keeps its own prefix.  Pointers double in each round, so a chain of n
-    mounts takes log n joins."""
+    mounts takes log n joins.  Which chains end at a root is found first, with pointers alone: what still points somewhere after log n rounds leads into a ring."""
     first = edges.groupBy("child").agg(F.min_by(F.struct("parent", "prefix"), "ord").alias("m")).select(F.col("child").alias("node"), F.col("m.parent").alias("up"), F.col("m.prefix").alias("mount"))
-    now = nodes.select("node", F.col("prefix").alias("own"), F.col(root).alias("is_root")).join(first, "node", "left")
-    now = written(now.select("node", "own", "is_root", F.when(~F.col("is_root"), F.col("up")).alias("up"), F.when(F.col("is_root"), F.col("own")).otherwise(F.concat(F.coalesce("mount", F.lit("")), "own")).alias("path"), F.col("is_root").alias("resolved")), "mounts")
-    for _ in range(64):
-        if now.where("up is not null").isEmpty():
+    linked = nodes.select("node", F.col("prefix").alias("own"), F.col(root).alias("is_root")).join(first, "node", "left")
+    path = F.when(F.col("is_root"), F.col("own")).otherwise(F.concat(F.coalesce("mount", F.lit("")), "own"))
+    linked = written(linked.select("node", "own", "is_root", F.when(~F.col("is_root"), F.col("up")).alias("up"), path.alias("path")), "mounts")
+
+    def doubled(now: DataFrame, carried: str, both: Column) -> DataFrame:
+        """Every pointer to where its goal points; carried: from the node's value (mine) and its goal's (theirs)."""
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col(carried).alias("theirs"))
+        step = now.withColumnRenamed(carried, "mine").join(above, "up", "left")
+        return written(step.select("node", F.col("further").alias("up"), both.alias(carried)), "mounts")
+
+    reach, rounds = linked.select("node", "up", F.col("is_root").alias("resolved")), linked.count().bit_length() + 1
+    for _ in range(rounds):
+        if reach.where("up is not null").isEmpty():
+            break
+        reach = doubled(reach, "resolved", F.coalesce("theirs", "mine"))
+    good = reach.where("up is null and resolved").select("node")
+    paths = linked.join(good, "node", "left_semi").select("node", "up", "path")
+    for _ in range(rounds):
+        if paths.where("up is not null").isEmpty():
             break
-        above = now.select(F.col("node").alias("up"), F.col("up").alias("u_up"), F.col("path").alias("u_path"), F.col("resolved").alias("u_resolved"), F.lit(True).alias("there"))
-        step = now.join(above, "up", "left")
-        # a pointer that comes back to its node is a ring: it ends here, unresolved
-        turned = F.col("u_up") == F.col("node")
-        after = step.select("node", "own", "is_root", F.when(~turned | turned.isNull(), F.col("u_up")).alias("_up"), F.when(F.col("there"), F.concat("u_path", "path")).otherwise(F.col("path")).alias("path"), F.coalesce("u_resolved", "resolved").alias("resolved"), F.col("up"))
-        now = written(after.select("node", "own", "is_root", F.when(F.col("up").isNotNull(), F.col("_up")).alias("up"), "path", "resolved"), "mounts")
-    return now.select("node", F.when(F.col("resolved"), F.col("path")).otherwise(F.col("own")).alias("path"), "resolved")
+        paths = doubled(paths, "path", F.concat(F.coalesce("theirs", F.lit("")), "mine"))
+    out = linked.select("node", "own").join(paths.select("node", "path"), "node", "left")
+    return out.select("node", F.coalesce("path", "own").alias("path"), F.col("path").isNotNull().alias("resolved"))
 
 
 def ancestors(classes: DataFrame) -> DataFrame:

@@ -324,15 +324,15 @@ def cap_per_group(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE c AS (SELECT conv_id, turn AS ord, CASE WHEN turn = 0 THEN 0 ELSE 1 + turn % 4 END AS rank, greatest(1, length(text) // 4) AS cost FROM conversations),
-    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY rank, cost, ord) AS i FROM c),
+    """WITH RECURSIVE c AS (SELECT conv_id, turn AS ord, CASE WHEN turn = 0 THEN 0 ELSE 1 + turn % 4 END AS rank, length(text) AS length, greatest(1, length(text) // 4) AS cost FROM conversations),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY rank, length, ord) AS i FROM c),
     w AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS used, []::BIGINT[] AS kept FROM (SELECT DISTINCT conv_id FROM c)
-      UNION ALL SELECT w.conv_id, o.i, CASE WHEN o.rank = 0 OR w.used + o.cost + 8 <= 200 THEN w.used + o.cost + 8 ELSE w.used END, CASE WHEN o.rank = 0 OR w.used + o.cost + 8 <= 200 THEN list_append(w.kept, o.ord) ELSE w.kept END
+      UNION ALL SELECT w.conv_id, o.i, CASE WHEN o.rank = 0 OR w.used + o.cost + 8 <= 500 THEN w.used + o.cost + 8 ELSE w.used END, CASE WHEN o.rank = 0 OR w.used + o.cost + 8 <= 500 THEN list_append(w.kept, o.ord) ELSE w.kept END
       FROM w JOIN o ON o.conv_id = w.conv_id AND o.i = w.i + 1)
     SELECT conv_id, used, len(kept)::BIGINT AS n_kept, array_to_string(list_sort(kept), ',') AS kept FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1"""
 )
 def budget_fit(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("ord"), F.when(F.col("turn") == 0, 0).otherwise(1 + F.col("turn") % 4).alias("rank"), R.estimate_tokens(F.coalesce("text", F.lit(""))).alias("cost"))
+    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("ord"), F.when(F.col("turn") == 0, 0).otherwise(1 + F.col("turn") % 4).alias("rank"), F.length("text").alias("length"), R.estimate_tokens(F.coalesce("text", F.lit(""))).alias("cost"))
     return budget.fit(c, "conv_id", 200)
 
 
@@ -434,15 +434,6 @@ def secret_mask(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when(R.is_secret_name(F.col("text")), "***").otherwise(F.col("text")).alias("shown"))
 
 
-@query(
-    """SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%age%' THEN '30' WHEN lower(p_name) LIKE '%id%' THEN '1' WHEN lower(p_name) LIKE '%name%' THEN 'Example' WHEN lower(p_name) LIKE '%a%' THEN 'alpha'
-    WHEN p_size % 2 = 0 THEN '0' ELSE 'string' END AS example FROM part"""
-)
-def example_lookup(spark, sf):
-    rules = [("age", "30"), ("id", "1"), ("name", "Example"), ("a", "alpha")]
-    return table(spark, sf, "part").select("p_partkey", mining.first_rule(F.col("p_name"), rules, F.when(F.col("p_size") % 2 == 0, "0").otherwise("string")).alias("example"))
-
-
 @query(
     """WITH m AS (SELECT o_orderkey AS k, o_custkey AS h FROM orders), w AS (SELECT DISTINCT CASE WHEN l_linenumber > 1 THEN -l_orderkey ELSE l_orderkey + 3 * (l_orderkey % 2) END AS k, l_suppkey AS h FROM lineitem),
     hit AS (SELECT m.k FROM m WHERE k IN (SELECT k FROM w)), rest AS (SELECT m.k, m.h FROM m WHERE k NOT IN (SELECT k FROM hit)), wr AS (SELECT h, max(k) AS wk FROM w GROUP BY h)

@@ -34,12 +34,21 @@ def request_lines(files: DataFrame, file: str, text: str, most: int = 40) -> Dat
     return found.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy("line"))).where(F.col("_n") <= most).drop("_n")
 
 
-def candidate_lines(files: DataFrame, file: str, text: str, most: int = 60) -> DataFrame:
-    """file, line, method (empty if unknown), path of lines that look like route definitions: a call or annotation named by a method, else by route or path."""
-    verb = r"(?i)[.@](get|post|put|patch|delete|head|options)(?:Mapping)?\s*\(\s*[\"'`](/?[^\"'`]*)[\"'`]"
-    general = r"(?i)[.@](?:route|path|RequestMapping|url)\s*\(\s*[\"'`](/?[^\"'`]*)[\"'`]"
-    rows = lines(files, file, text).select(file, "line", F.upper(F.regexp_extract("text", verb, 1)).alias("method"), F.when(F.regexp_extract("text", verb, 1) != "", F.regexp_extract("text", verb, 2)).when(F.col("text").rlike(general), F.regexp_extract("text", general, 1)).alias("path"))
-    rows = rows.where("path is not null").withColumn("path", F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit("/"), "path")))
+#: Route definitions by shape: a verb called with a path, a verb and "mapping", a general routing word; and the most of a file.
+_PATH = r"""["']([A-Za-z0-9_\-{}<>:./]*)["']"""
+VERB_CALL = r"(?i)\b(get|post|put|patch|delete)\b\s*\(\s*" + _PATH
+VERB_MAPPING = r"""(?i)\b(get|post|put|patch|delete)mapping\b[^\n"']{0,40}""" + _PATH
+ROUTING_WORD = r"""(?i)(?:\b(?:route|api_view|re_path|url|path)\b|\w*mapping\b)[^\n"']{0,40}""" + _PATH
+MOST_CANDIDATES = 60
+
+
+def candidate_lines(files: DataFrame, file: str, text: str, most: int = MOST_CANDIDATES) -> DataFrame:
+    """file, line, method (empty if unknown), path, quote of lines that look like route definitions, by the first shape that fits; the first ones of each file."""
+    t = F.col("text")
+    method = F.when(t.rlike(VERB_CALL), F.upper(F.regexp_extract(t, VERB_CALL, 1))).when(t.rlike(VERB_MAPPING), F.upper(F.regexp_extract(t, VERB_MAPPING, 1))).otherwise("")
+    path = F.when(t.rlike(VERB_CALL), F.regexp_extract(t, VERB_CALL, 2)).when(t.rlike(VERB_MAPPING), F.regexp_extract(t, VERB_MAPPING, 2)).when(t.rlike(ROUTING_WORD), F.regexp_extract(t, ROUTING_WORD, 1))
+    rows = lines(files, file, text).select(file, "line", method.alias("method"), path.alias("path"), F.left(F.trim("text"), F.lit(200)).alias("quote")).where("path is not null")
+    rows = rows.withColumn("path", F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit("/"), "path")))
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy("line"))).where(F.col("_n") <= most).drop("_n")
 
 

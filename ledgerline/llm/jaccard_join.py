@@ -1,10 +1,13 @@
 """Jaccard join of word-shingle sets by PartEnum signatures.
 
 Set sizes are cut into bands, a factor BAND wide.  Scheme b finds pairs whose larger set lies in band b: the domain of shingle
-hashes is cut into m ranges, and a set's signature for a range is the combined hash of its shingles in it.  Sets r, s with Jaccard
-similarity >= t differ in at most k = (1-t)/(1+t) * (|r|+|s|) shingles, so they agree on all ranges but k.  Of its non-empty ranges, in
-order, a set needs to sign the first k+1 only: the first non-empty range on which both agree is among them for either set.  A set with
-no more than k non-empty ranges signs all of them and one common mark besides, so nothing is lost on very small sets.
+hashes is cut into m ranges, and each range into SECOND parts.  A set signs a range once for every subset of all its parts but one: the combined hash of its
+shingles in that subset.  Sets r, s with Jaccard similarity >= t differ in at most k = (1-t)/(1+t) * (|r|+|s|) shingles, so if each range costs two of them, they agree but for one shingle on some range, and
+there on all parts but that shingle's.
+
+Of its non-empty ranges, in order, a set needs to sign only the first ones: a range in which the sets share no signature costs at least two shingles, or one where the set fills a
+single part; once these costs pass k, a shared signature has come before, for either set.  A set whose ranges all together cost no more than k signs all of them and one common mark
+besides, so nothing is lost on very small sets.
 
 Signatures meet in one shuffle.  Candidates are checked exactly, first as stars: each holder of a signature against the least id with it.
 Only where the holders of a signature end up in different components are the remaining pairs across those components looked at, once for
@@ -27,6 +30,8 @@ from ._store import forget, written
 from ._text import mix, slices, split_words, window_hashes
 
 BAND = 1.5
+#: Parts of a range; subsets leave out one of them.
+SECOND = 3
 SKETCH = 1024
 #: The ids of candidates go to all tasks, to thin the texts before their shuffle, if there are no more than this (a few MB).
 MOST_BROADCAST = 300_000
@@ -125,7 +130,7 @@ class Bands:
             lo = tops[-1] + 1
         self.tops = np.array(tops)
         k = self.differ(2 * self.tops)
-        self.ranges = np.maximum(np.ceil(1.1 * (k + 1)).astype(np.int64) + 2, np.minimum(4 * self.tops, 64))
+        self.ranges = np.maximum(np.ceil(0.6 * (k + 1)).astype(np.int64) + 2, np.minimum(4 * self.tops, 64))
 
     def differ(self, both):
         """The most shingles in which two similar sets of these sizes together can differ."""
@@ -155,15 +160,25 @@ def signatures(doc, s, rows: int, bands: Bands):
             continue
         part = ((x >> _U(32)) * m[d].astype(_U)) >> _U(32)
         new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (part[1:] != part[:-1])])
+        size = np.diff(np.r_[new, len(d)])
         total = np.add.reduceat(v, new)
+        second = ((x & _U(0xFFFFFFFF)) * _U(SECOND)) >> _U(32)
         d, part = d[new], part[new]
-        filled = np.bincount(d, minlength=rows)
-        rank = np.arange(len(d)) - (np.cumsum(filled) - filled)[d]
+        inside = [np.add.reduceat(np.where(second == j, v, _U(0)), new) for j in range(SECOND)]
+        held = [np.add.reduceat((second == j).astype(np.int64), new) for j in range(SECOND)]
+        cost = 1 + (sum((h > 0).astype(np.int64) for h in held) > 1)
+        upto = np.cumsum(cost)
+        spent = np.bincount(d, weights=cost, minlength=rows).astype(np.int64)
+        before = upto - cost - (np.cumsum(spent) - spent)[d]
         salt = mix(band.astype(_U) + _U(0x1234567))
-        take = rank <= k[d]
-        out_doc.append(d[take])
-        out_sig.append(mix(total[take] ^ salt[d[take]] + part[take] * _U(0x9E3779B97F4A7C15)))
-        few = np.flatnonzero(here & (filled <= k))
+        take = before <= k[d]
+        whole = np.zeros(len(d), bool)  # whether a subset that leaves out nothing is signed already
+        for j in range(SECOND):
+            here_too = take & (size > held[j]) & ~((held[j] == 0) & whole)
+            whole |= held[j] == 0
+            out_doc.append(d[here_too])
+            out_sig.append(mix((total - inside[j])[here_too] ^ salt[d[here_too]] + part[here_too] * _U(0x9E3779B97F4A7C15)))
+        few = np.flatnonzero(here & (spent <= k))
         out_doc.append(few)
         out_sig.append(mix(salt[few] + _U(1)))
     return np.concatenate(out_doc or [np.zeros(0, int)]), np.concatenate(out_sig or [np.zeros(0, _U)])

@@ -477,3 +477,26 @@ def test_toxicity_of_odd_rows(spark):
     rows = [(i, ("vile %d" if i % 2 else "fine %d") % i) for i in range(60)] + [(7, "another text"), (61, "word " * 200000), (62, "fine 2"), (62, "fine 2")]
     got = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int")).collect()
     assert len(got) == len(rows) and len({x.score for x in got if x.doc_id == 62}) == 1
+
+
+def test_similar_sets_share_a_signature():
+    """Random pairs of sets at and above the bound, of all sizes, always have a signature in common."""
+    from ledgerline.llm.jaccard_join import Bands, signatures
+
+    r, bands, pairs = np.random.default_rng(1), Bands(80, 1 << 40), 0
+    for _ in range(1500):
+        size = int(r.choice([1, 2, 3, 4, 5, 6, 8, 9, 10, 12, 15, 20, 30, 50, 90, 200, 700]))
+        one = set(r.integers(0, 2**63, size).tolist())
+        two = set(one)
+        for _ in range(int(r.integers(0, max(2, size // 4 + 1)))):
+            if r.random() < 0.5 and len(two) > 1:
+                two.discard(next(iter(two)))
+            else:
+                two.add(int(r.integers(0, 2**63)))
+        if 100 * len(one & two) < 80 * len(one | two):
+            continue
+        pairs += 1
+        both = np.concatenate([np.array(sorted(s), np.uint64) for s in (one, two)])
+        doc, sig = signatures(np.r_[np.zeros(len(one), int), np.ones(len(two), int)], both, 2, bands)
+        assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist())
+    assert pairs > 1000

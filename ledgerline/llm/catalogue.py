@@ -22,5 +22,22 @@ def queries() -> dict[str, Callable]:
     }
 
 
+_VECTORS = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM v),
+ link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) / a.size / b.size >= 0.93)"""
+_REACH = "reach AS (SELECT DISTINCT a AS x, a AS y FROM link UNION SELECT reach.x, link.b FROM reach JOIN link ON link.a = reach.y), least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)"
+_WORDS = r"list_filter(string_split_regex(coalesce({t}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_SHINGLES = f"""w AS (SELECT doc_id, {_WORDS.format(t="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, i, i + 4), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ meet AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2), half AS (SELECT a, b FROM meet JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * k >= 80 * (ca.n + cb.n - k)), link AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half)"""
+_PASSAGES = f"""w AS (SELECT doc_id, {_WORDS.format(t="text")} AS w FROM documents), win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 19), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+ late AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM late),
+ g AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id), kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS t FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w) x ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY x.doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL over whole tables, for the tables' small sizes."""
+    return {
+        "op1_embedding_dedup": f"WITH RECURSIVE {_VECTORS}, {_REACH} SELECT e.vec_id, coalesce(k.n, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id, coalesce(component_id, e.vec_id) = e.vec_id AS kept FROM embeddings e LEFT JOIN least ON x = e.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) k ON k.a = e.vec_id",
+        "op2_substring_dedup": f"WITH {_PASSAGES} SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN g ON g.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id",
+        "op6_jaccard_join": f"WITH RECURSIVE {_SHINGLES}, {_REACH} SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN least ON x = d.doc_id",
+    }

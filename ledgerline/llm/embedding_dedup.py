@@ -160,7 +160,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     are one node with a number of copies.
 
     A row with a null id links with nothing and is not kept apart from others: n_links 0, component null, kept null.  Rows that repeat an
-    id with the same label and vector are one vector.  An empty table gives an empty result.  Other columns are ignored, whatever
+    id with the same label and vector are one vector; an id with several vectors is one node of the components, and its n_links is the greatest of theirs.  An empty table gives an empty result.  Other columns are ignored, whatever
     their names.
     """
     spark = vectors.sparkSession
@@ -191,7 +191,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     links = local.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
     edges = local.select("id", F.col("root").alias("to")).unionByName(placed.select("id", F.col("rep").alias("to")))
     component = connected_components(edges, "id", "to").withColumnRenamed("node", "id")
-    counted = placed.select("id", "rep", "copies").dropDuplicates(["id"]).join(links, "rep", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    counted = placed.select("id", "rep", "copies").distinct().join(links, "rep", "left").groupBy("id").agg(F.max(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = base.select("id").join(counted, "id", "left").join(component, "id", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))

@@ -253,6 +253,22 @@ def test_packing(docs, empty):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = Counter(len(tok.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in corpus())
     assert Counter(r.doc_tokens for r in rows if r.start == 0) == want
+    # every id of every document lies in one piece, and the pieces' digests are those of its ids
+    got, ids = Counter(), Counter()
+    for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id, r.start)):
+        got[(r.doc_id, r.start, r.length, r.ids_crc32)] += 1
+    for i, text in ((r[0], r[1]) for r in corpus()):
+        all_ids = np.array(tok.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        for start, length in {(k[1], k[2]) for k in got if k[0] == i and k[1] + k[2] <= len(all_ids)}:
+            ids[(i, start, length, zlib.crc32(all_ids[start : start + length].tobytes()))] += 1
+    assert all(k in ids for k in got)
+    ends = {}
+    for r in rows:
+        if r.doc_id is not None and r.doc_id != 3:  # 3 is there twice
+            ends.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.start + r.length))
+    for (_, n), spans in ends.items():
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     held = {}
     for r in rows:
         held.setdefault(r.sequence_id, []).append((r.offset, r.length))

@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages, each written and reread: toxicity, line dedup, near duplicates, substring dedup, packing."""
+"""A corpus pipeline of five stages, each written and reread: toxicity, line dedup, near duplicates, substring dedup, packing.
+
+For all stages: null text counts as empty; an empty table gives an empty one; columns beside those of documents are left out, whatever their names.  A row
+without an id is scored for toxicity like any other, and passes the stages that compare documents, which know them by id, as it is.  Rows that share
+an id but not the text are documents of their own (row_key); rows that repeat id and text alike share one decision.
+"""
 
 from __future__ import annotations
 
@@ -38,31 +43,32 @@ def _with_text(keyed: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the classifier doesn't predict toxic, with or without an id."""
+    """Rows whose text the classifier doesn't predict toxic, with or without an id; repeated rows all stay or all go.  Without labels of both classes the
+    network stays as it began."""
     found = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("text", "lang", "source", "n_chars"))
     return found.where("predicted = 0").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that come earlier."""
+    """Documents without runs of lines that come earlier.  Rows that repeat an id, text, language and source count once; a document may become empty, and stays."""
     keyed = _keyed(docs)
     return _with_text(keyed, line_dedup(keyed, "row_key").select("row_key", "kept_text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates."""
+    """The document with the least id of each group of near duplicates.  Empty texts are near duplicates of nothing and stay; rows that repeat an id and text stay together."""
     keyed = _keyed(docs)
     return _kept_rows(keyed, jaccard_components(keyed, "row_key").where("row_key = component_id"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of passages that start earlier."""
+    """Documents without the words of passages that start earlier; the words left are joined by one space.  Rows that repeat an id, text, language and source count once."""
     keyed = _keyed(docs)
     return _with_text(keyed, substring_dedup(keyed, "row_key").select("row_key", "kept_text"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences; every row is packed, also repeated ones and those without an id."""
     return pack(docs)
 
 

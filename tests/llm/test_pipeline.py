@@ -44,3 +44,9 @@ def test_each_row_has_its_own_verdict_and_text(spark, tmp_path):
     last = found["substring_dedup"]
     assert (6, other[0], "fr") in last and (6, clean[6], "en") in last and (-1, "no id", "en") in last
     assert sum(t == clean[8] for _, t, _ in last) == 1
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

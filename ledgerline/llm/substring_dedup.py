@@ -7,7 +7,8 @@ extensions match as a whole, and where an anchor has several extensions, the win
 Overlapping matches are merged to maximal repeats.
 
 A passage in a third of all documents costs one row per occurrence and anchor: first occurrences come from aggregates that
-combine before the shuffle, occurrences are never paired with each other, and joins on a hot anchor have one row a key on the other side.
+combine before the shuffle, occurrences are never paired with each other, and joins have one row a key on the other side, repeated for
+the salts over which the occurrences of hot anchors and extensions are dealt.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._store import written
+from ._skew import salted_join
+from ._store import forget, written
 from ._text import mix, slices, split_words, strings, window_hashes, _powers
 
 SEED = 5
@@ -145,12 +147,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
     known = base.where("doc is not null")
     seeds = known.mapInArrow(_seeds(min_words), "anchor long, extent long, doc long, at int, n short")
-    repeated = seeds.groupBy("anchor").count().where("count > 1").select("anchor")
-    found = written(seeds.join(repeated, "anchor", "left_semi"), "seeds")
+    repeated = written(seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "anchors")
+    found = written(salted_join(seeds, repeated, ["anchor"], ["doc", "at"], "left_semi"), "seeds")
+    forget(repeated)
 
     # extensions: all but the first of equal ones are repeats as a whole
-    first = found.groupBy("anchor", "extent").agg(F.min(F.struct("doc", "at")).alias("f"), F.max("n").alias("n"))
-    whole = found.join(first.select("anchor", "extent", "f"), ["anchor", "extent"]).where("doc <> f.doc or at <> f.at")
+    first = written(found.groupBy("anchor", "extent").agg(F.min(F.struct("doc", "at")).alias("f"), F.max("n").alias("n"), F.count(F.lit(1)).alias("c")), "extents")
+    again = first.where("c > 1").select("anchor", "extent", "f", "c")
+    whole = salted_join(found, again, ["anchor", "extent"], ["doc", "at"]).where("doc <> f.doc or at <> f.at")
     ranges = whole.select("doc", F.col("at").alias("a"), (F.col("at") + F.col("n") + (min_words - 1)).alias("b"))
 
     # anchors with several extensions: their windows one by one, a copy of each extension

@@ -3,7 +3,7 @@
 A chunk is the least repeat that counts: two neighbouring lines that hold a word, with the blank lines between them.  Each such pair is a chunk, so
 chunks overlap, their bounds depend on their own lines only, and every repeated run of lines is the union of its chunks.  Chunks are grouped by
 the hashes of their two parts; that no two parts share a hash is checked byte by byte, and chunks whose parts do are grouped by their bytes.
-All but the first of equal chunks are removed.
+All but the first of equal chunks are removed.  A chunk that a large share of all places holds is dealt over salts where places meet the first one.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._skew import salted_join
 from ._store import written
 from ._text import run_hashes, slices, strings, _SPACE
 from .substring_dedup import _lists
@@ -112,12 +113,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     clash = [r.part for r in parts.groupBy("part").count().where("count > 1").select("part").collect()]  # none, but by chance of 64 bits
     if clash:
         key, fields = ["a", "b", "body"], fields + ", body binary"
-    chunks = written(known.mapInArrow(_hashed(hash_bits, clash or None), fields), "chunks")
-    first = chunks.groupBy(key).agg(F.min(F.struct("doc", "at")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").withColumnsRenamed({k: f"f_{k}" for k in key})
-    same = F.lit(True)
-    for k in key:
-        same = same & (F.col(k).eqNullSafe(F.col(f"f_{k}")) if k == "body" else F.col(k) == F.col(f"f_{k}"))
-    later = chunks.join(first, same).where("doc <> f.doc or at <> f.at")
+    chunks = known.mapInArrow(_hashed(hash_bits, clash or None), fields)
+    if clash:
+        chunks = chunks.withColumn("body", F.coalesce("body", F.lit(b"")))  # no chunk is empty
+    chunks = written(chunks, "chunks")
+    first = written(chunks.groupBy(key).agg(F.min(F.struct("doc", "at")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1"), "first")
+    later = salted_join(chunks, first, key, ["doc", "at"]).where("doc <> f.doc or at <> f.at")
     gone = later.groupBy("doc").agg(F.collect_set(F.struct("at", "n")).alias("list"))
     none = F.lit(None).cast("array<struct<at:int,n:int>>")
     both = known.join(gone, "doc", "left").select("doc", "body", "list").unionByName(base.where("doc is null").select("doc", "body", none.alias("list")))

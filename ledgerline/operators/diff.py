@@ -34,3 +34,18 @@ def accuracy(expected: DataFrame, found: DataFrame, key: list[str]) -> DataFrame
     precision = F.when(F.col("n_found") == 0, 1.0).otherwise(F.col("n_common") / F.col("n_found"))
     n = n.select("*", recall.alias("recall"), precision.alias("precision"))
     return n.withColumn("f1", F.when(F.col("recall") + F.col("precision") == 0, 0.0).otherwise(2 * F.col("recall") * F.col("precision") / (F.col("recall") + F.col("precision"))))
+
+
+def field_accuracy(expected: DataFrame, actual: DataFrame, key: str, exact: str, dims: list[str]) -> DataFrame:
+    """dim, rate: the share of equal values of ``exact``, and for each set column the lesser of recall and precision of its summed sizes.
+
+    A key that actual lacks misses in every dimension; keys that expected lacks don't count.  Without anything to find a rate is 1."""
+    found = actual.select(key, F.col(exact).alias("_exact"), *(F.array_distinct(d).alias(f"_{d}") for d in dims))
+    both = expected.select(key, exact, *(F.array_distinct(d).alias(d) for d in dims)).join(found, key, "left")
+    size = lambda c: F.coalesce(F.sum(F.when(c.isNotNull(), F.size(c))), F.lit(0))
+    sums = [F.count(F.lit(1)).alias("total"), F.count_if(F.col("_exact") == F.col(exact)).alias("right")]
+    for d in dims:
+        sums += [size(F.array_intersect(d, f"_{d}")).alias(f"m_{d}"), size(F.col(d)).alias(f"e_{d}"), size(F.col(f"_{d}")).alias(f"x_{d}")]
+    share = lambda a, b: F.when(F.col(b) == 0, 1.0).otherwise(F.try_divide(F.col(a), F.col(b)))
+    rows = [F.struct(F.lit(exact).alias("dim"), share("right", "total").alias("rate"))] + [F.struct(F.lit(d).alias("dim"), F.least(share(f"m_{d}", f"e_{d}"), share(f"m_{d}", f"x_{d}")).alias("rate")) for d in dims]
+    return both.agg(*sums).select(F.inline(F.array(*rows)))

@@ -323,14 +323,17 @@ def test_piece_codec_on_odd_texts():
         assert ids[:-1].decode() == ",".join(map(str, want)) and raw[1:].decode("utf-8", "replace") == codec.library.decode(want) == codec.decode(want)
 
 
-def test_embedding_dedup(spark):
+@pytest.mark.parametrize("kind, piece, side, share", [("float", 512, 16, 10_000), ("double", 4, 2, 10_000), ("float", 4, 2, 1)])
+def test_embedding_dedup(spark, monkeypatch, kind, piece, side, share):
+    for name, value in (("PIECE", piece), ("SIDE", side), ("SHARE", share)):
+        monkeypatch.setattr(f"ledgerline.llm.embedding_dedup.{name}", value)
     r = np.random.default_rng(4)
-    x = r.normal(size=(150, 24)).astype(np.float32)
+    x = r.normal(size=(150, 24)).astype(np.float32 if kind == "float" else np.float64)
     x[50:90] = x[3] + r.normal(size=(40, 24)) * 0.25
     x[90:100] = x[4]
     rows = [(i, x[i].tolist(), int(i % 2)) for i in range(150)]
     odd = [(200, None, 0), (201, [0.0] * 24, 0), (202, [float("nan")] + [1.0] * 23, 0), (203, [None] + [1.0] * 23, 0), (204, x[4].tolist(), None), (205, [1.0, 2.0], 0), (206, [], 1), (207, x[4].tolist(), 0), rows[7], (None, x[4].tolist(), 0)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit("clash"))
+    df = spark.createDataFrame(rows + odd, f"vec_id long, embedding array<{kind}>, label int").withColumn("id", F.lit("clash"))
     valid = {i: (np.array(v, float), l) for i, v, l in rows + [odd[5], odd[7]]}
     link = {i: {j for j, (w, m) in valid.items() if i != j and l == m and len(v) == len(w) and (v * w).sum() / np.sqrt((v * v).sum()) / np.sqrt((w * w).sum()) >= 0.93} for i, (v, l) in valid.items()}
     top = {i: i for i in link}

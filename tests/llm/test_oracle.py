@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels", "pages"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = catalogue.queries()[name](spark, SF)
     columns = sorted(df.columns)

@@ -11,6 +11,7 @@ import io
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,7 +30,7 @@ def _lattice(column: pa.Array):
     """(rows, matrix of longs) for each length of the vectors of column; those that are null or hold null or non-finite entries are left out.
 
     An entry c becomes floor(256 * c); what is beyond a long becomes the nearest one."""
-    size = pa.compute.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
+    size = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
     flat = column.flatten()
     entry = flat.is_valid().to_numpy(zero_copy_only=False)
     value = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)

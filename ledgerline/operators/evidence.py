@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.routes import is_confined, snippet_hash
+from .intervals import overlapping
+from .temporal import as_of
 
 #: Verdicts from best to worst.
 VERDICTS = ["verified", "stale", "unreadable", "confinement_violation", "fabricated"]
@@ -39,6 +41,41 @@ def audit(claims: DataFrame, files: DataFrame, file: str = "file", text: str = "
     return joined.select(*claims.columns, verdict.alias("verdict"))
 
 
+def history(claims: DataFrame, versions: DataFrame, commits: DataFrame, width: int = 1_000) -> DataFrame:
+    """claims (file, commit) with ``_then``: the lines of the file as it was at the commit; null without a commit, for an unknown one, and for a file that wasn't there then.
+
+    versions: file, at, text (null where the file was deleted); commits: commit, at.  The last version at or before the commit counts."""
+    dated = claims.join(commits.select("commit", F.col("at").alias("_moment")), "commit", "left")
+    placed = as_of(dated, versions.select("file", F.col("at").alias("_version_at")), "file", "_moment", "_version_at", width)
+    texts = versions.select("file", F.col("at").cast("long").alias("_version_at"), F.split(F.regexp_replace("text", r"\n$", ""), "\n").alias("_then"))
+    return placed.join(texts, ["file", "_version_at"], "left").select(*claims.columns, "_then")
+
+
+def audit_at_commit(claims: DataFrame, files: DataFrame, versions: DataFrame, commits: DataFrame) -> DataFrame:
+    """claims (file, commit, line_start, line_end, snippet_sha256, symbol) with a verdict, as audit() gives it, where the past is the file at the claim's commit.
+
+    Lines that differ now are stale if they were so at the commit, or if that can't be seen: no commit, an unknown one, or no such file then.  They are
+    fabricated if the file was there with other lines, or without as many."""
+    dated = history(claims, versions, commits)
+    span = F.slice("_then", F.greatest("line_start", F.lit(1)), F.greatest(F.col("line_end") - F.greatest("line_start", F.lit(1)) + 1, F.lit(0)))
+    same = (F.col("line_end") <= F.size("_then")) & (snippet_hash(span) == F.col("snippet_sha256"))
+    marked = dated.withColumn("_false", F.when(F.col("_then").isNotNull(), ~same).otherwise(F.lit(False))).drop("_then")
+    now = audit(marked, files)
+    return now.withColumn("verdict", F.when((F.col("verdict") == "stale") & F.col("_false"), "fabricated").otherwise(F.col("verdict"))).drop("_false")
+
+
+def cited_classes(citations: DataFrame, symbols: DataFrame, width: int = 64) -> DataFrame:
+    """id, cls: the class that each id's citations (id, ord, file, line_start, line_end, symbol) mean; ids of which none lies on a class are left out.
+
+    symbols: cls, ord, file, kind, name, line_start, line_end.  The first citation, by ord, that overlaps a class decides: the first class of the cited name among those it
+    overlaps, else the shortest one, of equal ones the first.  Citations and classes meet in bins of ``width`` lines of a file, and one aggregate keeps the best."""
+    spans = citations.select("id", F.col("ord").alias("turn"), "file", "symbol", F.col("line_start").alias("a_lo"), F.col("line_end").alias("a_hi")).where("a_lo <= a_hi")
+    classes = symbols.where("kind = 'class' and line_start <= line_end").select("cls", "ord", "file", "name", F.col("line_start").alias("b_lo"), F.col("line_end").alias("b_hi"))
+    named = (F.coalesce("symbol", F.lit("")) != "") & (F.col("symbol") == F.col("name"))
+    order = F.struct("turn", F.when(named, 0).otherwise(1), F.when(named, 0).otherwise(F.col("b_hi") - F.col("b_lo")), "ord")
+    return overlapping(spans, classes, "file", width).groupBy("id").agg(F.min_by("cls", order).alias("cls"))
+
+
 def fact_rollup(audited: DataFrame) -> DataFrame:
     """id, evidenced, all_verified and n of all citations of a fact."""
     return audited.groupBy("id").agg(F.lit(True).alias("evidenced"), F.bool_and(F.col("verdict") == "verified").alias("all_verified"), F.count(F.lit(1)).alias("n"))

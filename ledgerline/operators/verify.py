@@ -40,24 +40,31 @@ def has_signal(quote: Column) -> Column:
     return F.exists(F.array(*[F.lit(s) for s in SIGNALS]), lambda s: F.contains(quote, s))
 
 
-def endpoint_findings(endpoints: DataFrame, services: list[str]) -> DataFrame:
-    """V-02, V-03 and V-09 of endpoints (id, uid, service, method, path, declared array, n_evidence, unproven array of fact names, has_body)."""
+def recomputed(endpoints: DataFrame) -> DataFrame:
+    """endpoints with the computed uid in place of the claimed one, which all rules but the first use."""
+    return endpoints.withColumn("uid", uid(F.col("service"), F.col("method"), F.col("path")))
+
+
+def endpoint_findings(endpoints: DataFrame, services: list[str], claimed: str = "uid") -> DataFrame:
+    """V-02, V-03 and V-09 of endpoints (id, service, method, path, declared array, n_evidence, unproven array of fact names, has_body).
+
+    The V-02 that tells of a wrong uid stands under the claimed one, all others under the computed one."""
     named = R.placeholder_names(F.col("path"))
     missing, extra = F.array_sort(F.array_except(named, "declared")), F.array_sort(F.array_except("declared", named))
     twice = F.array_sort(F.array_distinct(F.filter(named, lambda x: F.size(F.filter(named, lambda y: y == x)) > 1)))
-    own = uid(F.col("service"), F.col("method"), F.col("path"))
+    wrong = recomputed(endpoints.withColumn("_claimed", F.col(claimed))).where("_claimed <> uid").select("id", F.col("_claimed").alias("uid"), F.lit("V-02").alias("rule"), F.lit("info").alias("severity"), F.col("uid").alias("detail"))
+    endpoints = recomputed(endpoints)
     listed = lambda c: F.array_join(c, ",")
     rules = [
-        (own != F.col("uid"), _finding("V-02", "info", own)),
         (~F.upper("method").isin(HTTP_METHODS), _finding("V-02", "reject", F.col("method"))),
         (~F.col("service").isin(services), _finding("V-02", "reject", F.col("service"))),
         ((F.size(missing) > 0) | (F.size(extra) > 0), _finding("V-02", "reject", F.concat_ws("/", listed(missing), listed(extra)))),
         (F.col("n_evidence") == 0, _finding("V-03", "reject", "identity")),
-        (F.size("unproven") > 0, _finding("V-03", "warn", listed(F.array_sort("unproven")))),
         (F.col("has_body") & F.upper("method").isin("GET", "HEAD"), _finding("V-09", "warn", F.upper("method"))),
         (F.size(twice) > 0, _finding("V-09", "reject", listed(twice))),
     ]
-    return _rows(endpoints, rules)
+    unproven = endpoints.select("id", "uid", F.explode("unproven").alias("detail"))
+    return wrong.unionByName(_rows(endpoints, rules)).unionByName(unproven.select("id", "uid", F.lit("V-03").alias("rule"), F.lit("warn").alias("severity"), "detail"))
 
 
 def ingest(models: DataFrame) -> DataFrame:
@@ -156,11 +163,3 @@ def grounding_findings(grounded: DataFrame) -> DataFrame:
 def grounded_ratio(grounded: DataFrame) -> DataFrame:
     return grounded.groupBy("id").agg(F.avg(F.when(F.col("state") == "ungrounded", 0.0).otherwise(1.0)).alias("ratio"))
 
-
-def verdicts(endpoints: DataFrame, findings: DataFrame) -> DataFrame:
-    """id, verdict (reject, stale, warn, verified) and how many findings of each severity; one aggregate over findings, one join."""
-    of = lambda s: F.count_if(F.col("severity") == s)
-    found = findings.where("id is not null").groupBy("id").agg(of("reject").alias("rejects"), of("warn").alias("warns"), of("info").alias("infos"), F.count_if(F.col("detail").endswith(":stale")).alias("stale"))
-    out = endpoints.select("id").distinct().join(found, "id", "left").fillna(0, ["rejects", "warns", "infos", "stale"])
-    verdict = F.when(F.col("rejects") > 0, "reject").when(F.col("stale") > 0, "stale").when(F.col("warns") > 0, "warn").otherwise("verified")
-    return out.select("id", verdict.alias("verdict"), "rejects", "warns", "infos")

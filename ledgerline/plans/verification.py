@@ -37,7 +37,7 @@ def norm_sql(x: str) -> str:
     return f"(CASE WHEN length({p}) > 1 AND right({p}, 1) = '/' THEN left({p}, length({p}) - 1) ELSE {p} END)"
 
 
-_E = f"e0 AS ({duck(ENDPOINTS)}), e AS (SELECT *, service || ':' || upper(method) || ':' || {norm_sql('path')} AS own, service || ':' || method || ':' || {norm_sql('path')} AS uid FROM e0)"
+_E = f"e0 AS ({duck(ENDPOINTS)}), e AS (SELECT *, service || ':' || upper(method) || ':' || {norm_sql('path')} AS own, service || ':' || method || ':' || {norm_sql('path')} AS uid FROM e0), o AS (SELECT * REPLACE (own AS uid) FROM e)"
 _NAMED = r"list_concat(list_concat(regexp_extract_all(path, '\{([^{}:]+)', 1), regexp_extract_all(path, '[^A-Za-z0-9_]:([A-Za-z_][A-Za-z0-9_]*)', 1)), regexp_extract_all(path, '<(?:[^<>:]+:)?([^<>]+)>', 1))"
 _EF = f"ef AS (SELECT *, {_NAMED} AS named, CASE WHEN params = '' THEN []::VARCHAR[] ELSE string_split(params, ',') END AS declared, CASE WHEN facts = '' THEN []::VARCHAR[] ELSE string_split(facts, ',') END AS unproven FROM e)"
 _EF = f"{_EF}, eg AS (SELECT *, list_sort(list_distinct(list_filter(named, lambda x: NOT list_contains(declared, x)))) AS missing, list_sort(list_distinct(list_filter(declared, lambda x: NOT list_contains(named, x)))) AS extra, list_sort(list_distinct(list_filter(named, lambda x: len(list_filter(named, lambda y: y = x)) > 1))) AS twice FROM ef)"
@@ -63,10 +63,10 @@ def _of(spark, sf, *checks):
     return verify.endpoint_findings(endpoints(spark, sf), ["s0", "s1"]).where(F.col("rule").isin(*checks))
 
 
-_V02 = f"""SELECT id, uid, 'V-02' AS rule, 'info' AS severity, own AS detail FROM eg WHERE own <> uid UNION ALL SELECT id, uid, 'V-02', 'reject', method FROM eg WHERE upper(method) NOT IN ('GET','POST','PUT','PATCH','DELETE','HEAD','OPTIONS')
- UNION ALL SELECT id, uid, 'V-02', 'reject', service FROM eg WHERE service NOT IN ('s0', 's1') UNION ALL SELECT id, uid, 'V-02', 'reject', array_to_string(missing, ',') || '/' || array_to_string(extra, ',') FROM eg WHERE len(missing) + len(extra) > 0"""
-_V03 = """SELECT id, uid, 'V-03' AS rule, 'reject' AS severity, 'identity' AS detail FROM eg WHERE n_evidence = 0 UNION ALL SELECT id, uid, 'V-03', 'warn', array_to_string(list_sort(unproven), ',') FROM eg WHERE len(unproven) > 0"""
-_V09 = """SELECT id, uid, 'V-09' AS rule, 'warn' AS severity, upper(method) AS detail FROM eg WHERE has_body AND upper(method) IN ('GET', 'HEAD') UNION ALL SELECT id, uid, 'V-09', 'reject', array_to_string(twice, ',') FROM eg WHERE len(twice) > 0"""
+_V02 = f"""SELECT id, uid, 'V-02' AS rule, 'info' AS severity, own AS detail FROM eg WHERE own <> uid UNION ALL SELECT id, own, 'V-02', 'reject', method FROM eg WHERE upper(method) NOT IN ('GET','POST','PUT','PATCH','DELETE','HEAD','OPTIONS')
+ UNION ALL SELECT id, own, 'V-02', 'reject', service FROM eg WHERE service NOT IN ('s0', 's1') UNION ALL SELECT id, own, 'V-02', 'reject', array_to_string(missing, ',') || '/' || array_to_string(extra, ',') FROM eg WHERE len(missing) + len(extra) > 0"""
+_V03 = """SELECT id, own AS uid, 'V-03' AS rule, 'reject' AS severity, 'identity' AS detail FROM eg WHERE n_evidence = 0 UNION ALL SELECT id, own, 'V-03', 'warn', unnest(unproven) FROM eg"""
+_V09 = """SELECT id, own AS uid, 'V-09' AS rule, 'warn' AS severity, upper(method) AS detail FROM eg WHERE has_body AND upper(method) IN ('GET', 'HEAD') UNION ALL SELECT id, own, 'V-09', 'reject', array_to_string(twice, ',') FROM eg WHERE len(twice) > 0"""
 
 
 @query(f"WITH {_E}, {_EF} {_V02}")
@@ -94,26 +94,26 @@ def v01_ingest(spark, sf):
     return verify.ingest(table(spark, sf, "nation").select(k.cast("long").alias("id"), F.col("n_name").alias("uid"), version.alias("version"), (k * 900).alias("n_endpoints"), (k * 4).alias("most_evidence"), (k % 6 != 1).alias("valid")))
 
 
-@query(f"""WITH {_E} SELECT id, uid, 'V-05' AS rule, 'reject' AS severity, CAST(n - 1 AS VARCHAR) AS detail FROM (SELECT id, uid, count(*) OVER (PARTITION BY uid) AS n FROM e) WHERE n > 1""")
+@query(f"""WITH {_E} SELECT id, uid, 'V-05' AS rule, 'reject' AS severity, CAST(n - 1 AS VARCHAR) AS detail FROM (SELECT id, uid, count(*) OVER (PARTITION BY uid) AS n FROM o) WHERE n > 1""")
 def v05_duplicates(spark, sf):
-    return verify.duplicates(endpoints(spark, sf).select("id", "uid"))
+    return verify.duplicates(verify.recomputed(endpoints(spark, sf)).select("id", "uid"))
 
 
-_V06 = """s AS (SELECT id, uid, file, upper(method) AS m, list_filter(string_split(trim(trim(path), '/'), '/'), lambda x: x <> '') AS s FROM e WHERE n_evidence > 0),
+_V06 = """s AS (SELECT id, uid, file, upper(method) AS m, list_filter(string_split(trim(trim(path), '/'), '/'), lambda x: x <> '') AS s FROM o WHERE n_evidence > 0),
  pairs AS (SELECT a.id, a.uid, list_filter(range(1, len(a.s) + 1), lambda i: a.s[i] <> b.s[i]) AS d, a.s AS sa, b.s AS sb FROM s a JOIN s b ON a.file = b.file AND a.m = b.m AND a.id <> b.id AND len(a.s) = len(b.s)),
  v06 AS (SELECT id, uid, 'V-06' AS rule, 'warn' AS severity, CAST(count(*) AS VARCHAR) AS detail FROM pairs WHERE len(d) = 1 AND regexp_matches(sa[d[1]], '^[{:<]') <> regexp_matches(sb[d[1]], '^[{:<]') GROUP BY id, uid)"""
 
 
 @query(f"WITH {_E}, {_V06} SELECT * FROM v06")
 def v06_shadowing(spark, sf):
-    return verify.shadowing(endpoints(spark, sf).withColumn("path", F.trim("path")))
+    return verify.shadowing(verify.recomputed(endpoints(spark, sf)).withColumn("path", F.trim("path")))
 
 
 _SIGNAL_SQL = "(contains(quote, '@app.get(') OR contains(quote, 'setGlobalPrefix('))"
 _W = f"""w AS (SELECT ord, service || ':' || method || ':' || {norm_sql('path')} AS uid, method, path, file, auth FROM ({duck(WITNESS)})), lw AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ord DESC) = 1),
  h AS (SELECT * FROM lw QUALIFY row_number() OVER (PARTITION BY method, file ORDER BY ord DESC) = 1),
  c AS (SELECT e.id, e.uid, e.path, e.auth, CASE WHEN lw.uid IS NOT NULL THEN 'agreed' WHEN h.uid IS NOT NULL THEN 'handler' WHEN clean AND {_SIGNAL_SQL} THEN 'unseen' ELSE 'invented' END AS state, coalesce(lw.uid, h.uid) AS used, coalesce(lw.path, h.path) AS seen_path, coalesce(lw.auth, h.auth) AS seen_auth
-  FROM e LEFT JOIN lw ON lw.uid = e.uid LEFT JOIN h ON lw.uid IS NULL AND h.method = upper(e.method) AND h.file = e.file),
+  FROM o e LEFT JOIN lw ON lw.uid = e.uid LEFT JOIN h ON lw.uid IS NULL AND h.method = upper(e.method) AND h.file = e.file),
  vw AS (SELECT id, uid, 'V-07' AS rule, CASE state WHEN 'invented' THEN 'reject' ELSE 'info' END AS severity, 'no witness' AS detail FROM c WHERE state IN ('invented', 'unseen')
   UNION ALL SELECT id, uid, 'V-12', 'warn', seen_path FROM c WHERE state = 'handler' AND {norm_sql('seen_path')} <> {norm_sql('path')} UNION ALL SELECT id, uid, 'V-13', 'warn', CAST(seen_auth AS VARCHAR) FROM c WHERE state = 'agreed' AND seen_auth <> auth
   UNION ALL SELECT NULL, '__omitted__:' || uid, 'V-08', 'warn', 'omitted' FROM lw WHERE uid NOT IN (SELECT used FROM c WHERE used IS NOT NULL))"""
@@ -121,14 +121,14 @@ _W = f"""w AS (SELECT ord, service || ':' || method || ':' || {norm_sql('path')}
 
 @query(f"WITH {_E}, {_W} SELECT state, count(*) AS n, count(DISTINCT used) AS n_used FROM c GROUP BY state")
 def witness_states(spark, sf):
-    found = verify.crosscheck(endpoints(spark, sf), witnesses(spark, sf))
+    found = verify.crosscheck(verify.recomputed(endpoints(spark, sf)), witnesses(spark, sf))
     return found.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("used").alias("n_used"))
 
 
 @query(f"WITH {_E}, {_W} SELECT * FROM vw")
 def v07_v13_witness(spark, sf):
     w = witnesses(spark, sf)
-    return verify.witness_findings(verify.crosscheck(endpoints(spark, sf), w), w)
+    return verify.witness_findings(verify.crosscheck(verify.recomputed(endpoints(spark, sf)), w), w)
 
 
 @query("""SELECT id, uid, 'V-10' AS rule, 'reject' AS severity, name AS detail FROM (SELECT p_partkey AS id, p_brand AS uid, unnest(list_distinct(['N' || p_size, 'N' || (p_partkey % 30)])) AS name FROM part) WHERE name NOT IN (SELECT 'N' || n_nationkey FROM nation)""")
@@ -190,18 +190,6 @@ def fact_rollup(spark, sf):
     return evidence.fact_rollup(audited_citations(spark, sf))
 
 
-@query(
-    f"""WITH {_E}, {_EF}, {_V06}, {_W}, f AS (SELECT id, severity FROM ({_V02}) UNION ALL SELECT id, severity FROM ({_V03}) UNION ALL SELECT id, severity FROM ({_V09}) UNION ALL SELECT id, severity FROM v06 UNION ALL SELECT id, severity FROM vw
-    UNION ALL SELECT id, 'reject' FROM (SELECT id, count(*) OVER (PARTITION BY uid) AS n FROM e) WHERE n > 1),
-    g AS (SELECT id, count_if(severity = 'reject') AS rejects, count_if(severity = 'warn') AS warns, count_if(severity = 'info') AS infos FROM f WHERE id IS NOT NULL GROUP BY id)
-    SELECT id, CASE WHEN rejects > 0 THEN 'reject' WHEN warns > 0 THEN 'warn' ELSE 'verified' END AS verdict, rejects, warns, infos FROM (SELECT e.id, coalesce(rejects, 0) AS rejects, coalesce(warns, 0) AS warns, coalesce(infos, 0) AS infos FROM e LEFT JOIN g ON g.id = e.id)"""
-)
-def verification_report(spark, sf):
-    e, w = endpoints(spark, sf), witnesses(spark, sf)
-    found = verify.endpoint_findings(e, ["s0", "s1"]).unionByName(verify.duplicates(e)).unionByName(verify.shadowing(e.withColumn("path", F.trim("path")))).unionByName(verify.witness_findings(verify.crosscheck(e, w), w))
-    return verify.verdicts(e, found)
-
-
 _CLASSES = "SELECT p_partkey AS cls, CASE WHEN p_partkey > 10 THEN CAST(floor(p_partkey / 3) AS BIGINT) WHEN p_partkey % 2 = 0 THEN -1 WHEN p_partkey % 3 = 0 THEN -2 END AS base FROM {part}"
 _GROUND_SQL = f"""RECURSIVE k AS ({duck(_CLASSES)}), fl AS (SELECT p_partkey AS owner, p_brand AS field FROM part UNION SELECT p_partkey, p_type FROM part),
  up AS (SELECT cls, cls AS owner FROM k UNION SELECT up.cls, k.base FROM up JOIN k ON k.cls = up.owner WHERE k.base > 0),

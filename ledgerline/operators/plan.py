@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scoring import gate_action, gate_score
+from .versions import Conflict, Version, publish
 
 
 def compile_entries(scope: DataFrame, endpoints: DataFrame, verdicts: DataFrame, live: DataFrame) -> DataFrame:
@@ -19,15 +22,39 @@ def compile_entries(scope: DataFrame, endpoints: DataFrame, verdicts: DataFrame,
     return rows.select("uid", outcome.alias("outcome"), action.alias("action"), change.alias("change"))
 
 
+#: Hashes of a node of the tree, and hexadecimal digits that one level takes off.
+LEAVES, STEP = 1_024, 2
+
+
 def state_hash(rows: DataFrame, content: str) -> DataFrame:
-    """One row, hash: the same for the same rows in any order; sums of row hashes, so no sort and no list."""
-    h = F.xxhash64(content).cast("decimal(38,0)")
-    g = F.crc32(F.coalesce(F.col(content), F.lit("")).cast("binary")).cast("decimal(38,0)")
-    return rows.agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)), F.sum(h), F.sum(g)), 256).alias("hash"))
+    """One row, hash: the same for the same rows in any order, over SHA-256 alone.
+
+    Equal rows are counted first, then a tree is built over the hashes of the different ones: nodes hold those with the same first digits, so many digits that a node has about LEAVES
+    of them; nodes are hashed in order, then STEP digits at a time are taken off up to the root.  No task holds more than a node."""
+    row = F.coalesce(F.sha2(content, 256), F.lit("-"))
+    nodes = rows.groupBy(row.alias("h")).agg(F.count(F.lit(1)).alias("n")).select("h", F.concat_ws(":", "h", "n").alias("v"))
+    digits = max(0, math.ceil(math.log(max(nodes.count(), 1) / LEAVES, 16)))
+    joined = F.sha2(F.array_join(F.array_sort(F.collect_list("v")), "|"), 256)
+    while digits > 0:
+        nodes = nodes.groupBy(F.substring("h", 1, digits).alias("h")).agg(joined.alias("v")).select("h", F.concat_ws(":", "h", "v").alias("v"))
+        digits = max(0, digits - STEP)
+    return nodes.agg(joined.alias("hash"))
+
+
+def guarded_apply(now: Version, plan: dict, change, content: str, folder: str, form: int, hours: float, at: float) -> int:
+    """Publishes change(rows) as the next version, if the state is the one that plan (base, hash, created) was made from, and returns its number.
+
+    Refused before anything is written: a plan older than hours (at: now, both in seconds), another version, other rows.  Another writer that is faster between
+    the check and the write takes the number, and this one gets Conflict as well."""
+    if at - plan["created"] > hours * 3600:
+        raise Conflict("the plan is too old")
+    if now.number != plan["base"] or now.last != plan["base"] or state_hash(now.rows, content).first().hash != plan["hash"]:
+        raise Conflict("the state has changed since the plan was made")
+    return publish(change(now.rows), folder, plan["base"], form, plan=plan["hash"])
 
 
 def checked_apply(entries: DataFrame, planned_hash: str, now: DataFrame, content: str) -> DataFrame:
-    """The entries, if the state is still the one they were planned on; else an error, before anything is written."""
+    """The entries, if the state is still the one they were planned on; else an error, before anything is written.  guarded_apply() also guards the write."""
     found = state_hash(now, content).first().hash  # one row
     if found != planned_hash:
         raise RuntimeError("the state has changed since the plan was made")

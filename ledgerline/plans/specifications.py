@@ -36,7 +36,7 @@ _ENDS = """{n}_first AS (SELECT file, root, start, w.ref AS ref, min(w.place) AS
 _KINDS = "('string', 'integer', 'number', 'boolean', 'array', 'object')"
 _NO_WAY = "CAST([] AS INTEGER[]) AS place, CAST([] AS STRUCT(ref VARCHAR, place INTEGER[])[]) AS way, false AS merged"
 _SCHEMAS_SQL = f"""WITH RECURSIVE docs AS (SELECT file, CAST(text AS JSON) AS d FROM ({duck(SPECS)})), parts AS (SELECT file, '#/components/schemas/' || name AS ref, name, json_extract(d, '$.components.schemas."' || name || '"') AS node FROM (SELECT *, unnest(json_keys(d, '$.components.schemas')) AS name FROM docs)),
- t0 AS (SELECT file, name AS root, '' AS start, {_NO_WAY}, node FROM parts), t_v AS ({_CLOSURE.format(first="t0", v="t_v", seen="[]::VARCHAR[]")}), {_ENDS.format(n="t")},
+ t0 AS (SELECT file, name AS root, '' AS start, {_NO_WAY}, node FROM parts UNION ALL SELECT file, '&' || name, '', {_NO_WAY}, CAST(json_object('$ref', ref) AS JSON) FROM parts), t_v AS ({_CLOSURE.format(first="t0", v="t_v", seen="[]::VARCHAR[]")}), {_ENDS.format(n="t")},
  seen AS (SELECT file, root, coalesce(map_keys(firsts), []) AS seen FROM t0 LEFT JOIN t_firsts USING (file, root)),
  s0 AS (SELECT seen.file, seen.root, r.ref AS start, {_NO_WAY}, CAST(json_object('$ref', r.ref) AS JSON) AS node FROM seen JOIN (SELECT file, ref FROM parts UNION ALL SELECT file, 'other.yaml#/X' FROM docs) r ON r.file = seen.file),
  s_v AS ({_CLOSURE.format(first="s0", v="s_v", seen="(SELECT seen FROM seen z WHERE z.file = v.file AND z.root = v.root)")}), {_ENDS.format(n="s")},
@@ -51,5 +51,9 @@ _SCHEMAS_SQL = f"""WITH RECURSIVE docs AS (SELECT file, CAST(text AS JSON) AS d
 
 @query(_SCHEMAS_SQL)
 def resolved_schemas(spark, sf):
+    """Fields of each component, as it stands there and as a reference to it has them."""
     parts = schemas.components(derived(spark, sf, SPECS), "file", "text")
-    return schemas.resolved_schemas(parts.select("file", F.element_at(F.split("ref", "/"), -1).alias("root"), "node"), parts)
+    name = F.element_at(F.split("ref", "/"), -1)
+    there = parts.select("file", name.alias("root"), "node")
+    meant = parts.select("file", F.concat(F.lit("&"), name).alias("root"), F.parse_json(F.concat(F.lit('{"$ref": "'), "ref", F.lit('"}'))).alias("node"))
+    return schemas.resolved_schemas(there.unionByName(meant), parts)

@@ -33,6 +33,27 @@ def components(specs: DataFrame, file: str, text: str) -> DataFrame:
     return new.unionByName(old).select("file", F.concat_ws("/", "at", "name").alias("ref"), "node")
 
 
+def _ref(node: Column) -> Column:
+    """What a node refers to; null if it is a schema itself."""
+    return F.nullif(_get(node, "$['$ref']", "string"), F.lit(""))
+
+
+def _split(front: DataFrame) -> DataFrame:
+    """Elements of allOf in place of their schema, with what they refer to (ref) and whether they have elements of their own (parted); an empty allOf leaves one empty element."""
+    parted = F.when(_ref(F.col("node")).isNull(), _get(F.col("node"), "$.allOf", "array<variant>"))
+    whole = F.array(F.struct("node", "place", "merged"))
+    parts = F.transform(parted, lambda x, i: F.struct(x.alias("node"), F.array_append("place", i).alias("place"), F.lit(True).alias("merged")))
+    none = F.array(F.struct(F.lit(None).cast("variant").alias("node"), F.col("place"), F.lit(True).alias("merged")))
+    rows = front.withColumn("parts", F.when(parted.isNull(), whole).when(F.size(parted) == 0, none).otherwise(parts)).drop("node", "place", "merged")
+    rows = rows.select("*", F.inline("parts")).drop("parts")
+    ref = _ref(F.col("node"))
+    return rows.withColumns({"ref": ref, "parted": F.when(ref.isNull() & _get(F.col("node"), "$.allOf", "array<variant>").isNotNull(), F.lit(True))})
+
+
+def _facts(node: Column) -> list[Column]:
+    return [_get(node, "$.type", "string").alias("type"), _get(node, "$.description", "string").alias("description"), _get(node, "$.items", "variant").alias("items"), _get(node, "$.properties", "map<string,variant>").alias("properties"), _get(node, "$.required", "array<string>").alias("required")]
+
+
 def dereferenced(tasks: DataFrame, parts: DataFrame) -> DataFrame:
     """tasks (file, root, path, node, seen: references that lead nowhere) with what each node comes to: type, description, items, properties, required, followed.
 
@@ -44,15 +65,11 @@ def dereferenced(tasks: DataFrame, parts: DataFrame) -> DataFrame:
     front = tasks.select(*_KEY, "node", "seen", F.array().cast("array<int>").alias("place"), F.array().cast("array<struct<ref:string,place:array<int>>>").alias("way"), F.lit(False).alias("merged"))
     met, ends = None, None
     while True:
-        ref, parted = _get(F.col("node"), "$['$ref']", "string"), _get(F.col("node"), "$.allOf", "array<variant>")
-        state = written(front.withColumns({"ref": F.when(ref != "", ref), "parted": F.when(ref.isNull() | (ref == ""), parted)}), "schemas")
+        state = written(_split(front), "schemas")
         done = state.where("ref is null and parted is null").select(*_KEY, "node", "place", "way", "merged")
-        empty = state.where("size(parted) = 0").select(*_KEY, F.lit(None).cast("variant").alias("node"), "place", "way", F.lit(True).alias("merged"))
-        ends = done.unionByName(empty) if ends is None else ends.unionByName(done).unionByName(empty)
-        if state.where("ref is not null or size(parted) > 0").isEmpty():
+        ends = done if ends is None else ends.unionByName(done)
+        if state.where("ref is not null or parted is not null").isEmpty():
             break
-        split = state.where("parted is not null").select(*_KEY, "seen", "place", "way", F.posexplode("parted").alias("i", "node"))
-        split = split.select(*_KEY, "node", "seen", F.array_append("place", F.col("i")).alias("place"), "way", F.lit(True).alias("merged"))
         here = state.where("ref is not null")
         blocked = F.array_contains("seen", F.col("ref")) | F.exists("way", lambda w: w["ref"] == F.col("ref"))
         known = here.where(~blocked).select(*_KEY, "ref", "place")
@@ -62,15 +79,14 @@ def dereferenced(tasks: DataFrame, parts: DataFrame) -> DataFrame:
         led = fresh.join(parts.withColumnRenamed("node", "to"), ["file", "ref"], "left")
         way = F.when(F.col("leads"), F.array_append("way", F.struct("ref", "place"))).otherwise(F.col("way"))
         led = led.select(*_KEY, F.when(F.col("leads"), F.col("to")).alias("node"), "seen", "place", way.alias("way"), "merged")
-        front = split.unionByName(led)
+        front = led.unionByName(state.where("parted is not null").select(*led.columns))
     if met is None:
         counted = ends.withColumn("followed", F.array().cast("array<string>"))
     else:
         least = met.groupBy(*_KEY, "ref").agg(F.min("place").alias("place"))
         firsts = least.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct("ref", "place"))).alias("firsts"))  # as many as the file has components
         counted = ends.join(firsts, _KEY, "left").where(F.forall("way", lambda w: F.try_element_at("firsts", w["ref"]) == w["place"])).withColumn("followed", F.coalesce(F.map_keys("firsts"), F.array().cast("array<string>"))).drop("firsts")
-    node = F.col("node")
-    leaf = counted.select(*_KEY, "place", "merged", "followed", _get(node, "$.type", "string").alias("type"), _get(node, "$.description", "string").alias("description"), _get(node, "$.items", "variant").alias("items"), _get(node, "$.properties", "map<string,variant>").alias("properties"), _get(node, "$.required", "array<string>").alias("required"))
+    leaf = counted.select(*_KEY, "place", "merged", "followed", *_facts(F.col("node")))
     one = leaf.where("not merged").drop("merged", "place")
     # the lists hold what one author wrote down in one specification
     lists = leaf.where("merged").groupBy(*_KEY).agg(F.first("followed").alias("followed"), F.flatten(F.collect_list(F.coalesce("required", F.array().cast("array<string>")))).alias("required"))
@@ -90,13 +106,27 @@ def resolved_schemas(schemas: DataFrame, parts: DataFrame) -> DataFrame:
     tops = written(dereferenced(schemas.select("file", "root", F.lit("").alias("path"), "node", nothing.alias("seen")), parts), "schemas")
     kind = F.when(F.col("type").isin(TYPES), F.col("type")).otherwise("unknown")
     wanted = lambda rows, path: rows.where("properties is not null").select("file", "root", "seen", "required", F.col("path").alias("above"), F.explode("properties").alias("name", "node")).select("file", "root", F.concat("above", path, _plain(F.col("name"))).alias("path"), "node", "seen", "name", F.coalesce(F.array_contains("required", F.col("name")), F.lit(False)).alias("needed"))
-    tasks, found = wanted(tops.withColumn("seen", F.col("followed")), F.lit("")), []
+    tasks, found, memo = wanted(tops.withColumn("seen", F.col("followed")), F.lit("")), [], None
+    columns = ["type", "description", "items", "properties", "required"]
     for depth in range(MOST_DEPTH + 1):
-        tasks = written(tasks, "schemas")
-        state = dereferenced(tasks.select(*_KEY, "node", "seen"), parts).join(tasks.select(*_KEY, "seen", "name", "needed"), _KEY)
-        state = written(state.withColumns({"depth": F.lit(depth), "type": kind}), "schemas")
+        tasks = written(tasks.withColumns({"ref": _ref(F.col("node")), "parted": _get(F.col("node"), "$.allOf", "array<variant>").isNotNull()}), "schemas")
+        kept = [*_KEY, "seen", "name", "needed"]
+        resolved = tasks.where("ref is null and not parted").select(*kept, *_facts(F.col("node")))
+        # a reference comes to the same wherever a schema has it: each is followed once
+        asked = tasks.where("ref is not null").select("file", "root", F.col("ref").alias("path"), "seen").distinct()
+        fresh = asked if memo is None else asked.join(memo.select(*_KEY), _KEY, "left_anti")
+        if not fresh.isEmpty():
+            as_node = F.parse_json(F.to_json(F.create_map(F.lit("$ref"), F.col("path"))))
+            more = written(dereferenced(fresh.withColumn("node", as_node), parts), "schemas")
+            memo = more if memo is None else memo.unionByName(more)
+        if memo is not None:
+            resolved = resolved.unionByName(tasks.where("ref is not null").join(memo.select("file", "root", F.col("path").alias("ref"), *columns), ["file", "root", "ref"]).select(*kept, *columns))
+        inline = tasks.where("ref is null and parted")
+        if not inline.isEmpty():
+            resolved = resolved.unionByName(dereferenced(inline.select(*_KEY, "node", "seen"), parts).join(inline.select(*kept), _KEY).select(*kept, *columns))
+        state = written(resolved.withColumns({"depth": F.lit(depth), "type": kind}), "schemas")
         found.append(state.select(*_KEY, "depth", "name", "type", F.col("needed").alias("required"), "description"))
-        if depth == MOST_DEPTH or state.isEmpty():
+        if depth == MOST_DEPTH:
             break
         elements = state.where("type = 'array'").select("file", "root", F.concat("path", F.lit("[]")).alias("path"), F.col("items").alias("node"), "seen", F.lit("item").alias("name"), F.lit(True).alias("needed"))
         tasks = wanted(state.where("type = 'object'"), F.lit(".")).unionByName(elements)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import composed_variants
 from ..functions.routes import normalize_path, wildcard
+from .intervals import tightest
 from .matching import best_tier
+from .stores import written
 
 MOST_WITNESSES, MOST_FILES = 12, 40
 
@@ -32,10 +34,13 @@ def called(symbols: DataFrame) -> DataFrame:
 
 
 def prefix_hints(lines: DataFrame, imports: DataFrame) -> DataFrame:
-    """file, own, outer: prefixes that a file names itself, and those on lines of its importers (imports src, dst, token) that hold the token; arrays, distinct and in order."""
+    """file, own, outer: prefixes that a file names itself, and those on lines of its importers (imports src, dst, token) that hold the token; arrays, distinct and in order.
+
+    On lines of importers the first text in parentheses before a comma counts as a prefix, too."""
     kw = F.regexp_extract_all("text", F.lit(r"""prefix\s*=\s*["']([^"']*)["']"""), 1)
+    first = F.regexp_extract_all("text", F.lit(r"""\(\s*["']([^"']*)["']\s*,"""), 1)
     mine = lines.select("file", F.explode(kw).alias("p")).groupBy("file").agg(F.array_sort(F.collect_set("p")).alias("own"))
-    from_importers = lines.withColumnRenamed("file", "src").join(imports, "src").where(F.contains("text", F.col("token"))).select(F.col("dst").alias("file"), F.explode(kw).alias("p"))
+    from_importers = lines.withColumnRenamed("file", "src").join(imports, "src").where(F.contains("text", F.col("token"))).select(F.col("dst").alias("file"), F.explode(F.concat(kw, first)).alias("p"))
     theirs = from_importers.groupBy("file").agg(F.array_sort(F.collect_set("p")).alias("outer"))
     none = F.array().cast("array<string>")
     return mine.join(theirs, "file", "full").select("file", F.coalesce("own", none).alias("own"), F.coalesce("outer", none).alias("outer"))
@@ -48,6 +53,110 @@ def composed_candidates(candidates: DataFrame, hints: DataFrame) -> DataFrame:
     return rows.groupBy(F.upper("method").alias("method"), normalize_path(F.col("path")).alias("path")).agg(F.min("id").alias("id"))
 
 
+def graph_witness(candidates: DataFrame, hints: DataFrame, symbols: DataFrame, width: int = 64) -> DataFrame:
+    """ord, method, path, code_ref: each candidate (ord, method, path, file, line) under all hints of its file, with the tightest symbol around its line.
+
+    Candidates without a method say too little and are left out.  Of routes alike in method and normal path the first candidate's is kept, and of its own variants the least.
+    symbols: s_id, qualname, file, s_lo, s_hi."""
+    none = F.array().cast("array<string>")
+    rows = candidates.where("method <> ''").join(hints, "file", "left")
+    paths = rows.select("ord", F.upper("method").alias("method"), "file", "line", F.explode(composed_variants(F.col("path"), F.coalesce("own", none), F.coalesce("outer", none))).alias("path"))
+    first = paths.groupBy("method", normalize_path(F.col("path")).alias("key")).agg(F.min(F.struct("ord", "path", "file", "line")).alias("r")).select("method", "key", "r.*")
+    points = first.select("file", F.col("ord").alias("p_id"), F.col("line").alias("p_at")).distinct()
+    around = tightest(points, symbols.select("file", "s_id", "s_lo", "s_hi"), "file", width)
+    named = around.join(symbols.select("s_id", "qualname"), "s_id", "left").select(F.col("p_id").alias("ord"), "qualname")
+    code = F.when(F.col("qualname").isNull(), F.col("file")).otherwise(F.concat_ws("::", "file", "qualname"))
+    return first.join(named, "ord", "left").select("ord", "method", "path", "key", code.alias("code_ref"))
+
+
+def compared(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """key, side (agreed, first_only, second_only) of two engines' results, each key once."""
+    a, b = one.select(key).distinct().withColumn("_a", F.lit(True)), two.select(key).distinct().withColumn("_b", F.lit(True))
+    side = F.when(F.col("_a") & F.col("_b"), "agreed").when(F.col("_a"), "first_only").otherwise("second_only")
+    return a.join(b, key, "full").select(key, side.alias("side"))
+
+
+def _trimmed(path: Column) -> Column:
+    p = F.regexp_replace(path, "/+$", "")
+    return F.when(p == "", "/").otherwise(p)
+
+
+def _ends(text: Column) -> Column:
+    """All non-empty ends of a text."""
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.length(text)))
+
+
+def _pieces(text: Column) -> Column:
+    """All pieces of a text of two characters or more."""
+    starts = F.when(F.length(text) > 1, F.sequence(F.lit(1), F.length(text) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.length(text) - i + 1), lambda n: F.substring(text, i, n))))
+
+
+#: A target that is a method and a path, and the last name before a call's end.
+_METHOD_PATH = r"(?i)^(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/\S*)$"
+_HANDLER = r",\s*([A-Za-z_]\w*)\s*\)\s*;?\s*$"
+
+
+def seeds(targets: DataFrame, symbols: DataFrame, hints: DataFrame, candidates: DataFrame) -> DataFrame:
+    """target, tier, sid, file, lo, hi: where a look-up begins, for targets of all forms; each tier sees the targets that earlier ones left.
+
+    ``METHOD /path``: symbols with a decorator whose quoted path, under the file's hints, is the target's (exact), or is how it ends (suffix), or is in it (fuzzy); placeholders
+    count as * but for the last.  Where none has, candidates of that method whose path is the target's or one is the end of the other (candidate), with three lines around each, and the symbols of
+    the handler that their line ends with (handler).  ``file::name``: symbols of that name (named).  A path with / or an ending: its decorated symbols (decorated), else those at its top (top).
+    Other targets: symbols of that name at the top of a file (name), else any (nested).
+
+    symbols: sid, file, name, parent, decorators; hints: file, own, outer; candidates: file, line, method, path, quote, total (the file's lines).  Paths meet in equi-joins on ends and pieces, of the targets' paths for decorators, and
+    of both for candidates, so that the work grows with the lengths of paths, not with targets times symbols."""
+    t = targets.select(F.col("target"), F.trim("target").alias("t")).distinct()
+    t = t.withColumns({"method": F.upper(F.regexp_extract("t", _METHOD_PATH, 1)), "path": _trimmed(F.regexp_extract("t", _METHOD_PATH, 2))})
+    routed, other = t.where("method <> ''"), t.where("method = ''")
+    none = F.array().cast("array<string>")
+    quoted = symbols.select("sid", "file", F.explode("decorators").alias("d")).select("sid", "file", F.explode(F.regexp_extract_all("d", F.lit(r"""["']([^"']*)["']"""), 1)).alias("lit"))
+    paths = quoted.join(hints, "file", "left").select("sid", F.explode(composed_variants(F.col("lit"), F.coalesce("own", none), F.coalesce("outer", none))).alias("p")).distinct()
+    paths = paths.withColumn("w", wildcard(F.col("p")))
+    wanted = routed.select("target", "path", wildcard(F.col("path")).alias("wild"))
+
+    def met(asked: DataFrame, keys: Column, tier: int, both: bool = True) -> DataFrame:
+        plain = asked.select("target", F.explode(keys(F.col("path"))).alias("k")).join(paths, F.col("k") == F.col("p"))
+        found = plain.select("target", "sid")
+        if both:
+            found = found.unionByName(asked.select("target", F.explode(keys(F.col("wild"))).alias("k")).join(paths, F.col("k") == F.col("w")).select("target", "sid"))
+        return found.distinct().withColumn("tier", F.lit(tier))
+
+    left = lambda asked, found: asked.join(found.select("target").distinct(), "target", "left_anti")
+    exact = written(met(wanted, lambda p: F.array(p), 1), "seeds")
+    rest = left(wanted, exact)
+    suffix = written(met(rest, _ends, 2), "seeds")
+    rest = left(rest, suffix)
+    fuzzy = written(met(rest, _pieces, 3, both=False), "seeds")
+    rest = left(rest, fuzzy).join(routed.select("target", "method"), "target")
+    c = candidates.withColumns({"p": _trimmed(F.col("path")), "k": F.monotonically_increasing_id()}).withColumn("w", wildcard(F.col("p"))).drop("path")
+    c = written(c, "candidates")
+    keys = [("path", "p"), ("wild", "w")]
+    same = [rest.join(c.withColumnRenamed("method", "m"), F.col(a) == F.col(b)) for a, b in keys]
+    longer = rest.withColumn("e", F.explode(_ends(F.col("path")))).join(c.withColumnRenamed("method", "m"), F.col("e") == F.col("p"))
+    shorter = rest.join(c.withColumn("e", F.explode(_ends(F.col("p")))).withColumnRenamed("method", "m"), F.col("path") == F.col("e"))
+    pick = lambda df: df.where("m = '' or m = method").select("target", "k")
+    hits = pick(same[0]).unionByName(pick(same[1])).unionByName(pick(longer)).unionByName(pick(shorter)).distinct().join(c, "k")
+    hits = written(hits.select("target", "file", "line", "total", F.regexp_extract("quote", _HANDLER, 1).alias("handler")), "seeds")
+    blank = lambda kind: F.lit(None).cast(kind)
+    lines = hits.select("target", F.lit("candidate").alias("tier"), blank("long").alias("sid"), "file", F.greatest(F.lit(1), F.col("line") - 3).alias("lo"), F.least("total", F.col("line") + 3).alias("hi")).distinct()
+
+    named = other.where(F.contains("t", F.lit("::"))).select("target", F.replace(F.substring_index("t", "::", 1), F.lit("\\"), F.lit("/")).alias("file"), F.regexp_replace("t", r"^.*?::", "").alias("name"))
+    plain = other.where(~F.contains("t", F.lit("::")))
+    is_file = F.col("t").rlike(r"[/\\]|[^.]\.[^.]+$")
+    of_file = plain.where(is_file).select("target", F.replace("t", F.lit("\\"), F.lit("/")).alias("file"))
+    of_name = plain.where(~is_file).select("target", F.col("t").alias("name"))
+    s = symbols.select(F.col("sid").cast("long").alias("sid"), "file", "name", "parent", (F.size("decorators") > 0).alias("decorated"))
+    tiers = {1: "exact", 2: "suffix", 3: "fuzzy", 4: "handler", 5: "named", 6: "decorated", 7: "top", 8: "name", 9: "nested"}
+    by_file = best_tier(of_file.join(s, "file").select("target", "sid", F.when(F.col("decorated"), 6).when(F.col("parent") == "", 7).alias("tier")).where("tier is not null"), by=["target"])
+    by_name = best_tier(of_name.join(s, "name").select("target", "sid", F.when(F.col("parent") == "", 8).otherwise(9).alias("tier")), by=["target"])
+    handlers = hits.where("handler <> ''").select("target", F.col("handler").alias("name")).distinct().join(s, "name").select("target", "sid", F.lit(4).alias("tier"))
+    found = exact.unionByName(suffix).unionByName(fuzzy).unionByName(handlers).unionByName(named.join(s, ["file", "name"]).select("target", "sid", F.lit(5).alias("tier"))).unionByName(by_file).unionByName(by_name)
+    name = F.element_at(F.create_map(*[F.lit(x) for pair in tiers.items() for x in pair]), F.col("tier"))
+    return found.distinct().join(s, "sid").select("target", name.alias("tier"), "sid", "file", blank("int").alias("lo"), blank("int").alias("hi")).unionByName(lines)
+
+
 def importers(imports: DataFrame, files: DataFrame) -> DataFrame:
     """dst, n: how many files import each file, none included."""
     n = imports.select("src", "dst").distinct().groupBy("dst").agg(F.count(F.lit(1)).alias("n"))

@@ -11,8 +11,6 @@ from ..functions import routes as R
 #: The methods that an endpoint may have, and where the claims of a model end.
 HTTP_METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
 MODEL_METHODS = ["ai_inferred", "weak_inference"]
-#: Most endpoints of a model, most citations of a fact, the major version.
-MOST_ENDPOINTS, MOST_EVIDENCE, MAJOR = 10_000, 32, 1
 #: Texts that show where a route is registered.
 SIGNALS = [
     "@app.get(", "@app.post(", "@app.put(", "@app.patch(", "@app.delete(", "@router.get(", "@router.post(", "@router.put(", "@router.patch(", "@router.delete(", "router.get(", "router.post(", "router.put(",
@@ -67,13 +65,6 @@ def endpoint_findings(endpoints: DataFrame, services: list[str], claimed: str =
     return wrong.unionByName(_rows(endpoints, rules)).unionByName(unproven.select("id", "uid", F.lit("V-03").alias("rule"), F.lit("warn").alias("severity"), "detail"))
 
 
-def ingest(models: DataFrame) -> DataFrame:
-    """V-01: models (id, uid, version, n_endpoints, most_evidence, valid) that may not come in, with the first reason."""
-    major = F.expr("try_cast(split_part(version, '.', 1) AS int)")
-    reason = F.when(~F.col("valid"), "no JSON").when(major.isNull() | (major != MAJOR), "version").when(F.col("n_endpoints") > MOST_ENDPOINTS, "endpoints").when(F.col("most_evidence") > MOST_EVIDENCE, "evidence")
-    return models.select("id", "uid", F.lit("V-01").alias("rule"), F.lit("block").alias("severity"), reason.alias("detail")).where("detail is not null")
-
-
 def audit_findings(audited: DataFrame) -> DataFrame:
     """V-04 and, beyond the root, V-10 of citations (id, uid, kind, verdict): reject only where the endpoint's identity hangs on it."""
     check = F.when(F.col("verdict") == "confinement_violation", "V-10").otherwise("V-04")

@@ -222,41 +222,72 @@ def test_scripts(spark, sf):
     return rows.select("l_orderkey", F.regexp_extract(script, r"eq\((\d+)\)", 1).cast("int").alias("status"), F.size(F.regexp_extract_all(script, F.lit(r"data\)\.has"), 0)).cast("long").alias("n_checks"))
 
 
-_LIVE_SQL = """b AS (SELECT p_partkey AS key, 'POST' AS method, p_brand AS url, NULL AS variable, CASE WHEN p_size % 3 = 0 THEN p_type END AS body, 'made' AS description, '["t"]' AS event, p_name AS name FROM part),
- v AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN -p_partkey ELSE p_partkey END AS key, CASE WHEN p_size % 2 = 0 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN p_size % 4 = 0 THEN 'old' ELSE p_brand END AS url, '[v]' AS variable, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_type END AS body, CASE WHEN p_size % 7 = 0 THEN '' ELSE 'kept' END AS description, CASE WHEN p_size % 6 = 0 THEN '[]' ELSE '["own"]' END AS event, CASE WHEN p_size % 8 = 0 THEN '' ELSE 'live' END AS name FROM part)"""
+#: Items as built from routes, and as they are live, some under other keys.
+BUILT = """SELECT p_partkey AS key, 'POST' AS method, p_brand AS url, CAST(NULL AS STRING) AS variable, CASE WHEN p_size % 4 <> 1 THEN concat('[{{"key":"h', p_size % 3, '"}}]') END AS header, CASE WHEN p_size % 3 = 0 THEN concat('{{"t":"', p_type, '"}}') END AS body, CASE WHEN p_size % 9 = 0 THEN '{{"type":"bearer"}}' END AS auth,
+ 'made' AS description, '["t"]' AS event, '[200]' AS response, p_name AS name FROM {part}"""
+LIVE = """SELECT CASE WHEN p_partkey % 10 = 0 THEN -p_partkey ELSE p_partkey END AS key, CASE WHEN p_size % 2 = 0 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN p_size % 4 = 0 THEN 'old' ELSE p_brand END AS url, '[v]' AS variable, CASE WHEN p_size % 7 < 5 THEN '[{{"key":"h1"}}]' END AS header, CASE WHEN p_size % 5 <> 0 THEN concat('{{"t":"', p_type, '"}}') END AS body, CASE WHEN p_size % 2 = 0 THEN '{{"type":"bearer"}}' END AS auth,
+ CASE WHEN p_size % 7 = 0 THEN '' ELSE 'kept' END AS description, CASE WHEN p_size % 6 = 0 THEN '[]' ELSE '["own"]' END AS event, CASE WHEN p_size % 11 = 0 THEN '[]' ELSE '[201]' END AS response, CASE WHEN p_size % 8 = 0 THEN '' ELSE 'live' END AS name FROM {part}"""
+_LIVE_SQL = f"b AS ({duck(BUILT)}), v AS ({duck(LIVE)})"
 
 
 def item_sides(spark, sf):
-    k = F.col("p_partkey")
-    s, p = F.col("p_size"), part(spark, sf)
-    built = p.select(k.alias("key"), F.lit("POST").alias("method"), F.col("p_brand").alias("url"), F.lit(None).cast("string").alias("variable"), F.when(s % 3 == 0, F.col("p_type")).alias("body"), F.lit("made").alias("description"), F.lit('["t"]').alias("event"), F.col("p_name").alias("name"))
-    live = p.select(F.when(k % 10 == 0, -k).otherwise(k).alias("key"), F.when(s % 2 == 0, "POST").otherwise("GET").alias("method"), F.when(s % 4 == 0, "old").otherwise(F.col("p_brand")).alias("url"), F.lit("[v]").alias("variable"), F.when(s % 5 != 0, F.col("p_type")).alias("body"),
-                    F.when(s % 7 == 0, "").otherwise("kept").alias("description"), F.when(s % 6 == 0, "[]").otherwise('["own"]').alias("event"), F.when(s % 8 == 0, "").otherwise("live").alias("name"))
-    return live, built
+    return derived(spark, sf, LIVE), derived(spark, sf, BUILT)
 
 
 @query(
-    f"""WITH {_LIVE_SQL} SELECT coalesce(b.key, v.key) AS key, coalesce(b.method, v.method) AS method, coalesce(b.url, v.url) AS url, v.variable, CASE WHEN b.key IS NOT NULL THEN b.body ELSE v.body END AS body, coalesce(nullif(v.description, ''), b.description) AS description,
-    coalesce(nullif(v.event, '[]'), b.event) AS event, coalesce(nullif(v.name, ''), b.name) AS name FROM b FULL JOIN v ON b.key = v.key"""
+    f"""WITH {_LIVE_SQL} SELECT coalesce(b.key, v.key) AS key, coalesce(b.method, v.method) AS method, coalesce(b.url, v.url) AS url, v.variable, coalesce(b.header, v.header) AS header, CASE WHEN b.key IS NOT NULL THEN b.body ELSE v.body END AS body, CASE WHEN b.key IS NOT NULL THEN b.auth ELSE v.auth END AS auth,
+    coalesce(nullif(v.description, ''), b.description) AS description, coalesce(nullif(v.event, '[]'), b.event) AS event, coalesce(nullif(v.response, '[]'), b.response) AS response, coalesce(nullif(v.name, ''), b.name) AS name FROM b FULL JOIN v ON b.key = v.key"""
 )
 def merged_items(spark, sf):
     return items.merged_items(*item_sides(spark, sf))
 
 
 @query(
-    f"""WITH {_LIVE_SQL} SELECT b.key, array_to_string(list_filter([CASE WHEN b.method <> v.method THEN 'method' END, CASE WHEN b.url <> v.url THEN 'url' END, CASE WHEN b.body IS DISTINCT FROM v.body THEN 'body' END], lambda x: x IS NOT NULL), ',') AS lines,
-    array_to_string(list_filter([CASE WHEN v.description <> '' THEN 'description' END, CASE WHEN v.event <> '[]' THEN 'event' END], lambda x: x IS NOT NULL), ',') AS preserved FROM b JOIN v ON b.key = v.key"""
+    f"""WITH {_LIVE_SQL} SELECT b.key, array_to_string(list_filter([CASE WHEN b.method <> v.method THEN 'method' END, CASE WHEN b.url <> v.url THEN 'url' END, CASE WHEN b.body IS DISTINCT FROM v.body THEN 'body' END, CASE WHEN b.auth IS DISTINCT FROM v.auth THEN 'auth' END, CASE WHEN b.header IS NOT NULL AND b.header IS DISTINCT FROM v.header THEN 'header' END], lambda x: x IS NOT NULL), ',') AS lines,
+    array_to_string(list_filter([CASE WHEN v.description <> '' THEN 'description' END, CASE WHEN v.event <> '[]' THEN 'event' END, CASE WHEN v.response <> '[]' THEN 'response' END], lambda x: x IS NOT NULL), ',') AS preserved FROM b JOIN v ON b.key = v.key"""
 )
 def change_lines(spark, sf):
     return items.change_lines(*item_sides(spark, sf)).select("key", F.array_join("lines", ",").alias("lines"), F.array_join("preserved", ",").alias("preserved"))
 
 
-@query(f"WITH {_LIVE_SQL}, m AS (SELECT b.key FROM b) SELECT count(*) AS n_again FROM m WHERE false")
+#: Several routes of a key, each line item one of its order's.
+ROUTES = """SELECT l_orderkey AS key, l_linenumber AS ord, CASE WHEN l_linenumber % 2 = 0 THEN 'PUT' ELSE 'POST' END AS method, concat('u', l_suppkey % 3) AS url, CASE WHEN l_linenumber % 3 = 0 THEN concat('[v', l_linenumber, ']') END AS variable, CASE WHEN l_suppkey % 4 = 0 THEN '[{{"key":"a"}},{{"key":"b"}}]' WHEN l_suppkey % 4 = 1 THEN '[{{"key":"b"}},{{"key":"a"}}]' END AS header,
+ CASE WHEN l_suppkey % 5 < 2 THEN '{{"x":1,"y":2}}' WHEN l_suppkey % 5 = 2 THEN '{{"y":2,"x":1}}' END AS body, CASE WHEN l_suppkey % 7 = 0 THEN 'bearer' END AS auth, CASE WHEN l_linenumber > 1 THEN concat('d', l_linenumber) ELSE '' END AS description, CASE WHEN l_linenumber = 2 THEN '["t"]' ELSE '[]' END AS event, CAST(NULL AS STRING) AS response, concat('n', l_linenumber) AS name FROM (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS l_linenumber FROM {lineitem})"""
+#: Every third order is a live item.
+HELD = """SELECT o_orderkey AS key, 'POST' AS method, concat('u', o_custkey % 3) AS url, '[own]' AS variable, '[{{"key":"a"}},{{"key":"b"}}]' AS header, '{{"x":1,"y":2}}' AS body, CAST(NULL AS STRING) AS auth, CASE WHEN o_custkey % 2 = 0 THEN 'mine' ELSE '' END AS description, '["own"]' AS event, '[200]' AS response, CASE WHEN o_custkey % 3 = 0 THEN 'live' ELSE '' END AS name FROM {orders} WHERE o_orderkey % 3 = 0"""
+_FOLD = f"""r AS ({duck(ROUTES)}), h AS ({duck(HELD)}), x AS (SELECT r.*, true AS route FROM r UNION ALL SELECT key, -1, method, url, variable, header, body, auth, description, event, response, name, false FROM h),
+ st AS (SELECT key, ord, route, method, url, last_value(variable IGNORE NULLS) OVER w AS variable, last_value(header IGNORE NULLS) OVER w AS header, body, auth, first_value(nullif(description, '') IGNORE NULLS) OVER w AS description, first_value(nullif(event, '[]') IGNORE NULLS) OVER w AS event, first_value(response IGNORE NULLS) OVER w AS response, first_value(nullif(name, '') IGNORE NULLS) OVER w AS name FROM x WINDOW w AS (PARTITION BY key ORDER BY ord)),
+ cn AS (SELECT *, concat_ws('~', method, url, coalesce(variable, '-'), coalesce(replace(header, '[{{"key":"b"}},{{"key":"a"}}]', '[{{"key":"a"}},{{"key":"b"}}]'), '-'), coalesce(replace(body, '{{"y":2,"x":1}}', '{{"x":1,"y":2}}'), '-'), coalesce(auth, '-'), coalesce(description, '-'), coalesce(event, '-'), coalesce(response, '-'), coalesce(name, '-')) AS c FROM st),
+ ch AS (SELECT *, CASE WHEN lag(c) OVER (PARTITION BY key ORDER BY ord) IS NULL THEN 'new' WHEN lag(c) OVER (PARTITION BY key ORDER BY ord) = c THEN 'unchanged' ELSE 'modified' END AS change FROM cn)"""
+
+
+@query(f"WITH {_FOLD} SELECT key, ord, change, method, url, variable, header, body, auth, description, event, response, name FROM ch WHERE route")
+def applied_routes(spark, sf):
+    return items.applied(derived(spark, sf, HELD), derived(spark, sf, ROUTES)).withColumn("ord", F.col("ord").cast("int"))
+
+
+@query(f"WITH {_FOLD}, fin AS (SELECT key FROM ch WHERE route GROUP BY key) SELECT key, 'unchanged' AS change FROM fin")
 def reapplied_changes(spark, sf):
-    """A merge applied once more changes nothing: no line of method, url or body differs."""
-    live, built = item_sides(spark, sf)
-    again = items.merged_items(items.merged_items(live, built), built)
-    return items.change_lines(again, built).where("size(lines) > 0").agg(F.count(F.lit(1)).alias("n_again"))
+    """The last route of each key, applied once more to what all of them left, changes nothing."""
+    routes = derived(spark, sf, ROUTES)
+    done = items.applied(derived(spark, sf, HELD), routes)
+    last = done.groupBy("key").agg(F.max_by(F.struct(*items.PARTS), "ord").alias("i")).select("key", "i.*")
+    again = routes.groupBy("key").agg(F.max_by(F.struct(*items.PARTS), "ord").alias("i")).select("key", F.lit(1).alias("ord"), "i.*")
+    return items.applied(last, again).select("key", "change")
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey AS id, list({'status': 198 + l_linenumber * 2, 'description': CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END, 'n': CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END} ORDER BY l_linenumber) AS rs, bool_or(l_linenumber = 5) AS auth FROM lineitem GROUP BY 1),
+    e AS (SELECT unnest([400, 401, 403, 404, 422, 500]) AS code, unnest(['Bad Request', 'Unauthorized', 'Forbidden', 'Not Found', 'Unprocessable Entity', 'Internal Server Error']) AS name),
+    d AS (SELECT id, u.status AS code, u.description AS description, u.n AS n FROM (SELECT id, unnest(rs) AS u FROM r)),
+    a AS (SELECT id, CAST(code AS INTEGER) AS code, coalesce(description, CAST(code AS VARCHAR)) AS status, n FROM d UNION ALL SELECT id, CAST(e.code AS INTEGER), e.name, 0 FROM r, e WHERE e.code NOT IN (401, 403) OR auth)
+    SELECT id, code, code || ' ' || status AS name, status, CASE WHEN n = 1 THEN '{"id": 1}' WHEN code BETWEEN 200 AND 299 THEN '{}' ELSE '{"detail": "' || status || '"}' END AS body FROM a"""
+)
+def saved_responses(spark, sf):
+    n = F.col("l_linenumber")
+    fields = F.when(n == 3, F.array(F.struct(F.lit("id").alias("name"), F.lit("integer").alias("type")))).otherwise(F.array().cast("array<struct<name:string,type:string>>"))
+    found = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(n, F.struct((198 + n * 2).alias("status"), F.when(n % 2 == 0, F.col("l_returnflag")).alias("description"), fields.alias("fields")).alias("r")))), lambda x: x["r"]).alias("responses"), F.bool_or(n == 5).alias("auth"))
+    return items.saved_responses(found.withColumn("method", F.lit("get")), "full").drop("n")
 
 
 @query("SELECT DISTINCT array_to_string(list_slice(p, 1, i), '/') AS folder, CAST(i AS INTEGER) AS depth FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT DISTINCT [lower(p_brand), 's' || (p_size % 5), p_type] AS p FROM part))")

@@ -1,12 +1,12 @@
-"""Queries of whole specifications: schemas over references, rings and allOf, each with its DuckDB counterpart."""
+"""Queries of whole specifications and models: schemas over references, rings and allOf, models that may come in and their facts, each with its DuckDB counterpart."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import schemas
+from ..sources import apim, schemas
 from .catalogue import query
-from .verification import derived, duck
+from .verification import derived, duck, norm_sql
 
 #: One specification a supplier: chains of references, rings, one within one, allOf of allOf with a part met twice, nested arrays, references to nothing and to another file.
 SPECS = """SELECT s_suppkey AS file, concat('{{"openapi": "3.0.0", "components": {{"schemas": {{
@@ -57,3 +57,36 @@ def resolved_schemas(spark, sf):
     there = parts.select("file", name.alias("root"), "node")
     meant = parts.select("file", F.concat(F.lit("&"), name).alias("root"), F.parse_json(F.concat(F.lit('{"$ref": "'), "ref", F.lit('"}'))).alias("node"))
     return schemas.resolved_schemas(there.unionByName(meant), parts)
+
+
+#: One model a supplier: such as can't come in, for each reason but size, and sound ones.
+MODELS = """SELECT s_suppkey AS id, CASE s_suppkey % 11 WHEN 0 THEN '{"endpoints": [' WHEN 1 THEN '[1, 2]' WHEN 2 THEN '{"apim_version": "2.0", "endpoints": []}' WHEN 3 THEN '{"apim_version": "x.1", "endpoints": [{"uid": "u", "method": "GET"}]}'
+ WHEN 4 THEN CASE WHEN s_suppkey < 20 THEN concat('{"endpoints": [', repeat('{"uid":"u","method":"GET","path":"/p"},', 10000), '{"uid":"u","method":"GET","path":"/p"}]}') ELSE '{"apim_version": "1", "endpoints": 7}' END
+ WHEN 5 THEN concat('{"endpoints": [{"uid": "u", "method": "GET", "path": "/p", "summary": {"value": 1, "evidence": [', repeat('{},', 32), '{}]}}]}') WHEN 6 THEN concat('{"endpoints": [{"uid": "u", "method": "GET", "path": "/p", "responses": [{}, {"evidence": [', repeat('{},', 32), '{}]}]}]}') WHEN 7 THEN '{"apim_version": "1.9"}'
+ ELSE concat('{"apim_version": "1.2", "endpoints": [{"uid": "default:GET:/a/{param}", "method": "get", "path": "/a', s_nationkey, '/{id}", "identity_evidence": [{"file": "f"}], "summary": {"value": "s", "evidence": [{"extraction_method": "ast_verified"}, {}]}, "tags": {"value": []}, "description": null, "auth": {"value": {}, "evidence": [', CASE WHEN s_suppkey % 2 = 0 THEN '{"extraction_method": "weak_inference"}' ELSE '' END,
+  ']}, "path_params": [{"value": {}, "evidence": [{}]}, {"value": {}}], "responses": [{"value": {"status": 200}, "evidence": [{}, {}]}], "deprecated": {"value": true}}, {"uid": "x", "service": "s1", "method": "POST", "path": "b"}]}') END AS text FROM <supplier>""".replace("{", "{{").replace("}", "}}").replace("<", "{").replace(">", "}").replace("s_suppkey { 20", "s_suppkey < 20")
+_MODELS = f"""mo AS ({duck(MODELS)}), ok AS (SELECT id, text, json_valid(text) AS valid, CASE WHEN json_valid(text) AND json_type(CAST(CASE WHEN json_valid(text) THEN text ELSE 'null' END AS JSON)) = 'OBJECT' THEN text ELSE '{{}}' END AS doc FROM mo),
+ en AS (SELECT id, unnest(CAST(json_extract(doc, '$.endpoints') AS JSON[])) AS e FROM ok WHERE json_type(doc, '$.endpoints') = 'ARRAY'), fc AS (SELECT id, e->>'$.uid' AS uid, coalesce(e->>'$.service', 'default') AS service, e->>'$.method' AS method, e->>'$.path' AS path, 'identity' AS fact, json_extract(e, '$.identity_evidence') AS ev FROM en
+  UNION ALL SELECT id, e->>'$.uid', coalesce(e->>'$.service', 'default'), e->>'$.method', e->>'$.path', f, json_extract(e, '$.' || f || '.evidence') FROM en, (SELECT unnest({apim.FACTS}) AS f) WHERE coalesce(json_type(e, '$.' || f), 'NULL') <> 'NULL'
+  UNION ALL SELECT id, uid, service, method, path, f, json_extract(x, '$.evidence') FROM (SELECT id, e->>'$.uid' AS uid, coalesce(e->>'$.service', 'default') AS service, e->>'$.method' AS method, e->>'$.path' AS path, f, unnest(CAST(json_extract(e, '$.' || f) AS JSON[])) AS x FROM en, (SELECT unnest({apim.LISTS}) AS f) WHERE json_type(e, '$.' || f) = 'ARRAY')),
+ fn AS (SELECT id, uid, service, method, path, fact, CASE WHEN json_type(ev) = 'ARRAY' THEN CAST(json_array_length(ev) AS INTEGER) ELSE 0 END AS n_evidence, list_transform(CASE WHEN json_type(ev) = 'ARRAY' THEN CAST(ev AS JSON[]) ELSE [] END, lambda x: coalesce(x->>'$.extraction_method', 'ai_inferred')) AS methods FROM fc),
+ rj AS (SELECT * FROM (SELECT ok.id, 'V-01' AS rule, 'block' AS severity, CASE WHEN NOT valid THEN 'no JSON' WHEN try_cast(split_part(coalesce(doc->>'$.apim_version', '1'), '.', 1) AS INTEGER) <> 1 THEN 'version' WHEN json_type(CAST(text AS JSON)) <> 'OBJECT' OR coalesce(json_type(doc, '$.endpoints'), 'ARRAY') <> 'ARRAY' OR ok.id IN (SELECT id FROM en WHERE e->>'$.uid' IS NULL OR e->>'$.method' IS NULL OR e->>'$.path' IS NULL) THEN 'schema'
+   WHEN (SELECT count(*) FROM en WHERE en.id = ok.id) > 10000 THEN 'endpoints' WHEN (SELECT max(n_evidence) FROM fn WHERE fn.id = ok.id) > 32 THEN 'evidence' END AS detail FROM ok) WHERE detail IS NOT NULL)"""
+
+
+@query(f"WITH {_MODELS} SELECT * FROM rj")
+def v01_ingest(spark, sf):
+    return apim.rejected(derived(spark, sf, MODELS))
+
+
+@query(f"WITH {_MODELS} SELECT id, uid, service, method, path, fact, n_evidence, array_to_string(methods, ',') AS methods FROM fn")
+def model_facts(spark, sf):
+    return apim.facts(derived(spark, sf, MODELS)).select("id", "uid", "service", "method", "path", "fact", "n_evidence", F.array_join("methods", ",").alias("methods"))
+
+
+@query(
+    f"""WITH {_MODELS}, kn AS (SELECT id, service || ':' || upper(method) || ':' || {norm_sql('path')} AS uid, fact, n_evidence, methods FROM fn WHERE id NOT IN (SELECT id FROM rj) AND fact NOT IN ('deprecated', 'path_params', 'query_params', 'headers', 'responses'))
+    SELECT id, uid, 'V-03' AS rule, CASE fact WHEN 'identity' THEN 'reject' ELSE 'warn' END AS severity, fact AS detail FROM kn WHERE n_evidence = 0 UNION ALL SELECT id, uid, 'V-11', 'info', fact || ':' || m FROM (SELECT id, uid, fact, unnest(methods) AS m FROM kn WHERE fact <> 'identity') WHERE m NOT IN ('ai_inferred', 'weak_inference')"""
+)
+def parsed_fact_findings(spark, sf):
+    return apim.fact_findings(derived(spark, sf, MODELS))

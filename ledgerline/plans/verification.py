@@ -21,12 +21,12 @@ WITNESS = """SELECT p_partkey AS ord, concat('s', p_size % 3) AS service, CASE W
 
 
 def derived(spark, sf: str, sql: str) -> DataFrame:
-    names = [t for t in ("part", "nation", "supplier", "customer", "documents", "orders", "events") if "{" + t + "}" in sql]
+    names = [t for t in ("part", "nation", "supplier", "customer", "documents", "orders", "events", "lineitem") if "{" + t + "}" in sql]
     return spark.sql(sql, **{t: table(spark, sf, t) for t in names})
 
 
 def duck(sql: str) -> str:
-    return sql.format(part="part", nation="nation", supplier="supplier", customer="customer", documents="documents", orders="orders", events="events")
+    return sql.format(part="part", nation="nation", supplier="supplier", customer="customer", documents="documents", orders="orders", events="events", lineitem="lineitem")
 
 
 def norm_sql(x: str) -> str:
@@ -84,16 +84,6 @@ def v09_plausibility(spark, sf):
     return _of(spark, sf, "V-09")
 
 
-@query(
-    """SELECT id, uid, 'V-01' AS rule, 'block' AS severity, detail FROM (SELECT n_nationkey AS id, n_name AS uid, CASE WHEN n_nationkey % 6 = 1 THEN 'no JSON' WHEN n_nationkey % 5 = 0 OR n_nationkey % 7 = 2 THEN 'version'
-    WHEN n_nationkey * 900 > 10000 THEN 'endpoints' WHEN n_nationkey * 4 > 32 THEN 'evidence' END AS detail FROM nation) WHERE detail IS NOT NULL"""
-)
-def v01_ingest(spark, sf):
-    k = F.col("n_nationkey")
-    version = F.when(k % 5 == 0, "2.0").when(k % 7 == 2, "x.1").otherwise("1.4")
-    return verify.ingest(table(spark, sf, "nation").select(k.cast("long").alias("id"), F.col("n_name").alias("uid"), version.alias("version"), (k * 900).alias("n_endpoints"), (k * 4).alias("most_evidence"), (k % 6 != 1).alias("valid")))
-
-
 @query(f"""WITH {_E} SELECT id, uid, 'V-05' AS rule, 'reject' AS severity, CAST(n - 1 AS VARCHAR) AS detail FROM (SELECT id, uid, count(*) OVER (PARTITION BY uid) AS n FROM o) WHERE n > 1""")
 def v05_duplicates(spark, sf):
     return verify.duplicates(verify.recomputed(endpoints(spark, sf)).select("id", "uid"))

@@ -10,20 +10,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .stores import written
 
 
-def mount_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, path: every chain of mounts from a root (node, path) over edges (parent, child, prefix); chains that come back are cut."""
-    front = written(roots.select("node", "path", F.array("node").alias("seen")), "walk")
-    out = [front]
+def ring_nodes(edges: DataFrame) -> DataFrame:
+    """node: nodes on rings of edges (parent, child), or on the way from one ring to another.
+
+    Edges are peeled: those from nodes that nothing leads to, and those to nodes that lead nowhere, until none goes.  Peeled edges are gone, so rounds get smaller."""
+    left, n = written(edges.select("parent", "child").distinct(), "edges"), -1
     while True:
-        step = front.join(edges, F.col("node") == F.col("parent")).where(~F.array_contains("seen", F.col("child")))
-        front = written(step.select(F.col("child").alias("node"), F.concat("path", "prefix").alias("path"), F.array_append("seen", F.col("child")).alias("seen")), "walk")
-        if front.isEmpty():
-            break
-        out.append(front)
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found.select("node", "path").distinct()
+        now = left.count()
+        if now in (0, n):
+            return left.select(F.col("parent").alias("node")).unionByName(left.select(F.col("child").alias("node"))).distinct()
+        n = now
+        inner = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        left = written(inner.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"), "edges")
+
+
+def mount_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, path: every chain of mounts from a root (node, path) over edges (parent, child, prefix); chains that come back are cut.
+
+    A round keeps each node and path once, however many chains lead there; what a chain has seen is carried for nodes of rings alone, since only those can be met again."""
+    rings = written(ring_nodes(edges).withColumn("ring", F.lit(True)), "rings")
+    none = F.array().cast(f"array<{edges.schema['child'].dataType.simpleString()}>")
+    mounts = written(edges.select("parent", "child", "prefix").distinct().join(rings.withColumnRenamed("node", "child"), "child", "left"), "mounts")
+    begun = roots.select("node", "path").distinct().join(rings, "node", "left")
+    front = written(begun.select("node", "path", F.when(F.col("ring"), F.array("node")).otherwise(none).alias("seen")), "walk")
+    found = front.select("node", "path")
+    while not front.isEmpty():
+        step = front.join(mounts, F.col("node") == F.col("parent")).where(~F.array_contains("seen", F.col("child")))
+        seen = F.when(F.col("ring"), F.array_sort(F.array_append("seen", F.col("child")))).otherwise(F.col("seen"))
+        front = written(step.select(F.col("child").alias("node"), F.concat("path", "prefix").alias("path"), seen.alias("seen")).distinct(), "walk")
+        found = found.unionByName(front.select("node", "path"))
+    return found.distinct()
 
 
 def first_mounts(edges: DataFrame, nodes: DataFrame, root: str = "is_root") -> DataFrame:
@@ -58,26 +74,61 @@ def first_mounts(edges: DataFrame, nodes: DataFrame, root: str = "is_root") -> D
 
 
 def ancestors(classes: DataFrame) -> DataFrame:
-    """cls, owner, depth: each class and all classes above it over (cls, base), with the least number of steps."""
+    """cls, owner, depth: each class and all classes above it over (cls, base), with the least number of steps.
+
+    The whole closure, for those who ask for it; fields and resolution go without."""
     up = classes.where("base is not null").select(F.col("cls").alias("owner"), F.col("base").alias("next")).distinct()
     front = written(classes.select("cls", F.col("cls").alias("owner"), F.lit(0).alias("depth")).distinct(), "up")
-    found = front
-    for depth in range(1, 1_000_000):
+    found, depth = front, 0
+    while not front.isEmpty():
+        depth += 1
         step = front.select("cls", "owner").join(up, "owner").select("cls", F.col("next").alias("owner")).distinct()
         front = written(step.join(found.select("cls", "owner"), ["cls", "owner"], "left_anti").withColumn("depth", F.lit(depth)), "up")
-        if front.isEmpty():
-            return found
         found = found.unionByName(front)
+    return found
 
 
 def inherited_fields(classes: DataFrame, fields: DataFrame) -> DataFrame:
-    """cls, field, owner, depth: own and inherited fields over classes (cls, base); of one name the nearest owner's, then the least owner."""
-    held = ancestors(classes).join(fields, "owner")
-    return held.groupBy("cls", "field").agg(F.min_by("owner", F.struct("depth", "owner")).alias("owner"), F.min("depth").cast("int").alias("depth"))
+    """cls, field, owner, depth: own and inherited fields over classes (cls, base); of one name the nearest owner's, then the least owner.
+
+    A round hands the fields that classes got in the round before to the classes below, which take those that they don't have: each class and field is written once, and what
+    a nearer owner hides goes no further."""
+    below = classes.where("base is not null").select(F.col("base").alias("cls"), F.col("cls").alias("sub")).distinct()
+    known = classes.select("cls").distinct()
+    own = fields.select(F.col("owner").alias("cls"), "field", "owner").join(known, "cls", "left_semi").distinct()
+    # classes that are only named as a base hand on fields, too, but aren't in the result
+    outside = fields.select(F.col("owner").alias("cls"), "field", "owner").distinct().join(below.select("cls").distinct(), "cls", "left_semi").join(known, "cls", "left_anti")
+    front = written(own.unionByName(outside).withColumn("depth", F.lit(0)), "fields")
+    found, depth = front, 0
+    while not front.isEmpty():
+        depth += 1
+        step = front.join(below, "cls").groupBy(F.col("sub").alias("cls"), "field").agg(F.min("owner").alias("owner"))
+        front = written(step.join(found.select("cls", "field"), ["cls", "field"], "left_anti").withColumn("depth", F.lit(depth)), "fields")
+        found = found.unionByName(front)
+    return found.join(known, "cls", "left_semi")
 
 
 def resolved_classes(classes: DataFrame, inert: list) -> DataFrame:
-    """cls, fully_resolved: whether each base above a class is itself a class here, or one of the inert ones, which bring no fields."""
+    """cls, fully_resolved: whether each base above a class is itself a class here, or one of the inert ones, which bring no fields.
+
+    Chains of classes with one base are first shortened to where they end, a class with several bases, in rounds that double their reach; then what is unresolved spreads downwards over those that
+    are left, a round a step.  A chain of n classes takes log n rounds; one that runs in a ring is resolved if all around it are."""
     known = classes.select(F.col("cls").alias("base")).distinct().withColumn("_known", F.lit(True))
-    own = classes.join(known, "base", "left").groupBy(F.col("cls").alias("owner")).agg(F.bool_and(F.col("base").isNull() | F.col("_known").isNotNull() | F.col("base").isin(inert)).alias("_ok"))
-    return ancestors(classes).join(own, "owner").groupBy("cls").agg(F.bool_and("_ok").alias("fully_resolved"))
+    steps = written(classes.distinct().join(known, "base", "left").select("cls", F.when(F.col("_known"), F.col("base")).alias("base"), (F.col("base").isNull() | F.col("_known").isNotNull() | F.col("base").isin(inert)).alias("ok")), "classes")
+    shape = written(steps.groupBy("cls").agg(F.bool_and("ok").alias("ok"), F.count_distinct("base").alias("n"), F.min("base").alias("base")), "classes")
+    many = shape.where("n > 1").select("cls")
+    ways = written(shape.select("cls", "ok", F.when(F.col("n") == 1, F.col("base")).alias("up"), F.col("cls").alias("top")), "classes")
+    for _ in range(max(1, shape.count()).bit_length() + 1):
+        if ways.where("up is not null").isEmpty():
+            break
+        above = ways.select(F.col("cls").alias("up"), F.col("ok").alias("_ok"), F.col("up").alias("_up"), F.col("top").alias("_top"))
+        both = ways.join(above, "up", "left")
+        ways = written(both.select("cls", (F.col("ok") & F.coalesce("_ok", F.lit(True))).alias("ok"), F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top")), "classes")
+    links = steps.join(many, "cls", "left_semi").where("base is not null").select(F.col("cls").alias("sub"), F.col("base").alias("cls")).join(ways.select("cls", "ok", "top"), "cls")
+    over = written(links.select("sub", F.col("top").alias("cls"), "ok").join(many, "cls", "left_semi").select("sub", "cls").distinct(), "links")
+    bad = written(links.where("not ok").select(F.col("sub").alias("cls")).unionByName(shape.where("n > 1 and not ok").select("cls")).distinct(), "bad")
+    front = bad
+    while not front.isEmpty():
+        front = written(front.join(over, "cls").select(F.col("sub").alias("cls")).distinct().join(bad, "cls", "left_anti"), "bad")
+        bad = bad.unionByName(front)
+    return ways.join(bad.distinct().select(F.col("cls").alias("top"), F.lit(True).alias("_bad")), "top", "left").select("cls", (F.col("ok") & F.col("_bad").isNull()).alias("fully_resolved"))

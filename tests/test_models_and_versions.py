@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import evidence, plan, temporal, versions
+from ledgerline.operators import evidence, graph, items, names, plan, temporal, versions
 from ledgerline.sources import schemas
 
 
@@ -108,3 +108,96 @@ def test_state_hash(spark):
     many = [str(i % 4000) for i in range(6000)]
     assert of(many) == of(list(reversed(many))) != of(many[1:])
     assert len({of(v) for v in ([], [None], [""], ["a"], ["a", "a"], ["a", None], many)}) == 7
+
+
+def brute_classes(edges, fields, inert):
+    bases = {}
+    for c, b in edges:
+        bases.setdefault(c, set()).add(b)
+    got, whole = {}, {}
+    for c in bases:
+        level, seen, depth, ok = {c}, {c}, 0, True
+        while level:
+            for f, o in sorted({(f, o) for o, f in fields if o in level}, key=lambda x: x[1]):
+                got.setdefault((c, f), (o, depth))
+            up = {b for x in level for b in bases.get(x, ()) if b is not None}
+            ok = ok and all(b in bases or b in inert for b in up)
+            level, depth = up - seen, depth + 1
+            seen |= up
+        whole[c] = ok
+    return got, whole
+
+
+def test_inheritance(spark):
+    r = random.Random(9)
+    for n, rings in ((40, False), (40, True), (6, True)):
+        edges = [(c, None) for c in range(n)] + [(c, r.randrange(n) if rings else r.randrange(c)) for c in range(1, n) for _ in range(r.choice([0, 1, 1, 2]))] + [(c, r.choice([-1, -2])) for c in r.sample(range(n), 3)]
+        fields = [(r.randrange(-2, n), r.choice("abcdef")) for _ in range(n)]
+        table, held = spark.createDataFrame(edges, "cls int, base int"), spark.createDataFrame(fields, "owner int, field string")
+        want, whole = brute_classes(edges, fields, [-1])
+        assert {(x.cls, x.field): (x.owner, x.depth) for x in graph.inherited_fields(table, held).collect()} == want
+        assert {x.cls: x.fully_resolved for x in graph.resolved_classes(table, [-1]).collect()} == whole
+
+
+def test_long_chain_of_classes(spark):
+    n = 100_000
+    chain = spark.range(n).select(F.col("id").alias("cls"), F.when(F.col("id") > 0, F.col("id") - 1).otherwise(-2).alias("base"))
+    found = graph.resolved_classes(chain, [-1])
+    assert found.count() == n and found.where("fully_resolved").count() == 0
+    assert graph.resolved_classes(chain, [-2]).where("fully_resolved").count() == n
+
+
+def test_mounts_in_layers_and_rings(spark):
+    layers = [(f"{i}{a}", f"{i + 1}{b}", f"/{i}") for i in range(14) for a in "xyz" for b in "xyz"]  # 3 ** 14 chains, 43 results
+    found = graph.mount_paths(spark.createDataFrame(layers, "parent string, child string, prefix string"), spark.createDataFrame([("0x", "")], "node string, path string"))
+    assert found.count() == 1 + 3 * 14
+    r = random.Random(2)
+    edges = [(r.randrange(7), r.randrange(7), r.choice(["/a", "/b", ""])) for _ in range(12)]
+    want = set()
+
+    def walk(node, path, seen):
+        want.add((node, path))
+        for p, c, x in edges:
+            if p == node and c not in seen:
+                walk(c, path + x, seen | {c})
+
+    walk(0, "", {0})
+    walk(3, "/r", {3})
+    got = graph.mount_paths(spark.createDataFrame(edges, "parent int, child int, prefix string"), spark.createDataFrame([(0, ""), (3, "/r")], "node int, path string"))
+    assert {tuple(x) for x in got.collect()} == want
+
+
+def test_routes_applied_in_order(spark):
+    r = random.Random(6)
+    pick = lambda *v: r.choice(v)
+    item = lambda: (pick("GET", "PUT"), pick("u", "v"), pick(None, "[]", "[a]", "[b]"), pick(None, '[{"key":"a"},{"key":"b"}]', '[{"key":"b"},{"key":"a"}]'), pick(None, '{"x":1}', '{ "x": 1 }'), pick(None, "k"), pick(None, "", "d", "e"), pick(None, "[]", "[t]"), pick(None, "[r]"), pick("", "n"))
+    live, routes = [(k, *item()) for k in range(0, 30, 2)], [(k, o, *item()) for k in range(30) for o in r.sample(range(-50, 50), r.randint(0, 6))]
+    kinds = ", ".join(f"{p} string" for p in items.PARTS)
+    from ledgerline.functions.canonical import canonical_value
+
+    def same(a, b):
+        norm = lambda x: [canonical_value(json.loads(v), p) if p in ("header", "body") and v else v for p, v in zip(items.PARTS, x)]
+        return norm(a) == norm(b)
+
+    tidy = lambda x: tuple(None if v in ("", "[]") and p in ("variable", "description", "event", "response", "name") else v for p, v in zip(items.PARTS, x))
+    state, want = {k: tidy(i) for k, *i in live}, {}
+    for k, o, *new in sorted(routes, key=lambda x: x[:2]):
+        new, old = tidy(new), state.get(k)
+        if old is None:
+            state[k] = new
+        else:
+            now = dict(zip(items.PARTS, old)) | {p: v for p, v in zip(items.PARTS, new) if p in ("method", "url", "body", "auth") or p in ("header", "variable") and v is not None}
+            state[k] = tuple(now[p] if p not in ("description", "event", "response", "name") or now[p] is not None else v for p, v in zip(items.PARTS, new))
+        want[k, o] = ("new" if old is None else "unchanged" if same(old, state[k]) else "modified", *state[k])
+    for width in (10, 1000):
+        got = items.applied(spark.createDataFrame(live, f"key int, {kinds}"), spark.createDataFrame(routes, f"key int, ord int, {kinds}"), width).collect()
+        assert {(x.key, x.ord): (x.change, *(x[p] for p in items.PARTS)) for x in got} == want
+
+
+def test_names_of_a_file(spark):
+    symbols = spark.createDataFrame([(1, 1, "a", "T", "class", "", "U V"), (2, 2, "b", "T", "class", "", ""), (3, 3, "b", "U", "class", "", "Own"), (4, 4, "c", "U", "class", "", ""), (5, 5, "c", "V", "class", "In", ""), (6, 6, "d", "Own", "class", "", "Own")], "sid int, ord int, file string, name string, kind string, parent string, text string")
+    imports = spark.createDataFrame([("a", "c", 2, []), ("a", "b", 1, []), ("d", "c", 1, ["U"])], "src string, dst string, ord int, names array<string>")
+    asked = spark.createDataFrame([("T", "a"), ("U", "a"), ("U", "d"), ("V", "a"), ("T", "x"), ("Own", "x"), ("None", "a"), (None, "a")], "name string, file string")
+    got = {(x.name, x.file): (x.sid, x.tier) for x in names.resolved(asked, symbols, imports).collect()}
+    assert got == {("T", "a"): (1, 1), ("U", "a"): (3, 3), ("U", "d"): (4, 2), ("Own", "x"): (6, 4)}
+    assert names.expanded_types(symbols.select(F.col("sid").alias("seed"), "sid"), symbols.limit(0), imports).collect() == []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.paths import metadata_key
 from ..functions.routes import is_confined, snippet_hash
 from .intervals import overlapping
 from .temporal import as_of
@@ -76,9 +77,25 @@ def cited_classes(citations: DataFrame, symbols: DataFrame, width: int = 64) ->
     return overlapping(spans, classes, "file", width).groupBy("id").agg(F.min_by("cls", order).alias("cls"))
 
 
-def fact_rollup(audited: DataFrame) -> DataFrame:
-    """id, evidenced, all_verified and n of all citations of a fact."""
-    return audited.groupBy("id").agg(F.lit(True).alias("evidenced"), F.bool_and(F.col("verdict") == "verified").alias("all_verified"), F.count(F.lit(1)).alias("n"))
+def fact_rollup(audited: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """id, evidenced, all_verified and n of all citations of a fact; with facts (id) also of those that nothing cites, which aren't evidenced and have no wrong citation."""
+    found = audited.groupBy("id").agg(F.bool_and(F.col("verdict") == "verified").alias("all_verified"), F.count(F.lit(1)).alias("n"))
+    every = found if facts is None else facts.select("id").distinct().join(found, "id", "left")
+    n = F.coalesce("n", F.lit(0))
+    return every.select("id", (n > 0).alias("evidenced"), F.coalesce("all_verified", F.lit(True)).alias("all_verified"), n.alias("n"))
+
+
+def artifact_status(requests: DataFrame, metadata: DataFrame, audited: DataFrame) -> DataFrame:
+    """key, status, cite, n of each distinct key of requests (key): how the citations of its metadata hold.
+
+    metadata: entry, ord, key as written by hand; of entries whose keys are alike in normal form the last one counts.  audited: entry, ord, file, line_start, verdict.  status: unverified without
+    metadata or citations, verified, stale if nothing worse, else fabricated, as unreadable and unconfined citations count, too.  cite: file and line of the first verified citation."""
+    last = metadata.groupBy(metadata_key(F.col("key")).alias("key")).agg(F.max_by("entry", "ord").alias("entry"))
+    place = F.concat_ws(":", "file", "line_start")
+    held = audited.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.max(rank(F.col("verdict"))).alias("worst"), F.min_by(F.when(F.col("verdict") == "verified", place), F.when(F.col("verdict") == "verified", F.col("ord"))).alias("cite"))
+    rows = requests.where("key is not null").select("key").distinct().join(last, "key", "left").join(held, "entry", "left")
+    status = F.when(F.col("n").isNull(), "unverified").when(F.col("worst") == 0, "verified").when(F.col("worst") == 1, "stale").otherwise("fabricated")
+    return rows.select("key", status.alias("status"), "cite", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def worst(audited: DataFrame, key: str) -> DataFrame:

@@ -17,21 +17,21 @@ def mentions(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 
 def of_changed_files(routes: DataFrame, ref: str, changed: DataFrame, file: str) -> DataFrame:
-    """Routes whose reference and one of the changed files lie in each other; all routes, if none does and no reference names a file.
-
-    Changed files are met on the parts of the reference's path and its beginnings and ends, not by comparing all with all: a changed file lies in a reference as a run of
-    whole path parts, and a reference in a changed file likewise."""
-    def runs(c: Column) -> Column:
-        parts = F.filter(F.split(F.lower(c), "[/:]+"), lambda p: p != "")
-        at = F.sequence(F.lit(1), F.size(parts))
-        return F.when(F.size(parts) > 0, F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(i, F.size(parts)), lambda j: F.array_join(F.slice(parts, i, j - i + 1), "/")))))).otherwise(F.array().cast("array<string>"))
-
-    whole = lambda c: F.array_join(F.filter(F.split(F.lower(c), "[/:]+"), lambda p: p != ""), "/")
-    rows = routes.withColumn("_whole", whole(F.col(ref)))
-    files = changed.select(whole(F.col(file)).alias("_f"), runs(F.col(file)).alias("_runs"))
-    inside = rows.where("_whole <> ''").join(files.select(F.explode("_runs").alias("_whole")).distinct(), "_whole", "left_semi").select(ref).distinct()
-    holds = rows.select(ref, F.explode(runs(F.col(ref))).alias("_f")).join(files.select("_f").distinct(), "_f", "left_semi").select(ref).distinct()
-    hit = routes.join(inside.unionByName(holds).distinct(), ref, "left_semi")
+    """Routes whose reference holds one of the changed files, or is held by one, as text; all routes, if none does and no reference names a file.
+
+    All pieces of either text that are as long as some text of the other side are met in equi-joins, so the work grows with the lengths of paths, not with references times files."""
+    tidy = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "/+", "/")
+    refs = routes.select(F.col(ref).alias("_ref"), tidy(F.col(ref)).alias("_r")).distinct().where("_r <> ''")
+    files = changed.select(tidy(F.col(file)).alias("_f")).distinct().where("_f <> ''")
+
+    def pieces(text: str, others: DataFrame, other: str) -> Column:
+        sizes = sorted(r[0] for r in others.select(F.length(other)).distinct().collect())  # no more than the longest path has characters
+        runs = F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length(text)), lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n)))
+        return F.explode(F.array_distinct(F.flatten(runs))) if sizes else F.explode(F.array().cast("array<string>"))
+
+    holds = refs.select("_ref", pieces("_r", files, "_f").alias("_f")).join(files, "_f", "left_semi").select("_ref")
+    held = refs.join(files.select(pieces("_f", refs, "_r").alias("_r")).distinct(), "_r", "left_semi").select("_ref")
+    hit = routes.join(holds.unionByName(held).distinct(), F.col(ref) == F.col("_ref"), "left_semi")
     # one row tells whether the whole answer is empty and no reference looks like a file
     state = hit.agg((F.count(F.lit(1)) == 0).alias("_none")).crossJoin(routes.agg(F.coalesce(F.bool_and(F.coalesce(~F.contains(ref, F.lit("/")), F.lit(True))), F.lit(True)).alias("_bare")))
     return hit.unionByName(routes.crossJoin(F.broadcast(state)).where("_none and _bare").select(*routes.columns))

@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.canonical import canonical_json, content_id
 from .scoring import gate_action, gate_score
-from .versions import Conflict, Version, publish
+from .versions import Conflict, Version, newest, publish
 
 
 def compile_entries(scope: DataFrame, endpoints: DataFrame, verdicts: DataFrame, live: DataFrame) -> DataFrame:
@@ -84,3 +85,35 @@ def stamp(at: Column) -> Column:
 def compact_stamp(at: Column) -> Column:
     """UTC with microseconds; the order of texts is the order of times."""
     return F.date_format(at, "yyyyMMdd'T'HHmmssSSSSSS'Z'")
+
+
+def offset_stamp(at: Column) -> Column:
+    """With microseconds and the offset from UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+
+
+def document(entries: DataFrame, items: DataFrame, live: DataFrame, model_id: str, state: str, into: str, version: str) -> DataFrame:
+    """plan_id, uid, outcome, action, change, item of a plan: compile_entries()'s rows with what would be written (items: uid, item) and how it differs from what is live (live: uid, item).
+
+    change: new, modified or unchanged, by the items' canonical form; null for what isn't planned.  Blocked entries keep no item.  The id binds the plan to the model, the state's hash, the
+    scope in order, the folder and the version of the engine."""
+    scope = entries.agg(F.array_join(F.array_sort(F.collect_list(F.col("uid").cast("string"))), ",").alias("scope"))  # one row, as the plan's own header has it
+    raw = F.concat_ws("|", F.lit(model_id), F.lit(state), "scope", F.lit(into), F.lit(version))
+    known = entries.drop("change").join(items.select("uid", "item"), "uid", "left").join(live.select("uid", F.col("item").alias("_live")), "uid", "left")
+    writes = (F.col("outcome") == "planned") & (F.col("action") != "blocked")
+    same = canonical_json(F.col("item")) == canonical_json(F.col("_live"))
+    change = F.when(writes, F.when(F.col("_live").isNull(), "new").when(same, "unchanged").otherwise("modified"))
+    rows = known.select("uid", "outcome", "action", change.alias("change"), F.when(writes, F.col("item")).alias("item"))
+    return rows.crossJoin(F.broadcast(scope.select(content_id(raw).alias("plan_id")))).select("plan_id", *rows.columns)
+
+
+def save_plan(plan: DataFrame, folder: str, form: int = 1) -> int:
+    """Writes the plan as the next version below folder; newest() of versions reads it back."""
+    return publish(plan, folder, newest(plan.sparkSession, folder, form).last, form)
+
+
+def confirmed(spark, folder: str, form: int, change, confirm: bool):
+    """Two phases: change(rows) of the newest version, as rows to look at; with confirm it is computed once more, on what is the newest version then, and published.  Returns (rows, number)."""
+    now = newest(spark, folder, form)
+    rows = change(now.rows)
+    return (rows, publish(rows, folder, now.last, form)) if confirm else (rows, now.number)

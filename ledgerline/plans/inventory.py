@@ -121,10 +121,13 @@ def mentions_target(spark, sf):
 _REFS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('src/m', p_size, '/v', p_partkey % 7, '.py::f', p_partkey) END AS ref FROM {part}"
 
 
-@query(f"SELECT id FROM ({duck(_REFS)}) WHERE contains(ref, '/') AND (CAST(regexp_extract(ref, 'm([0-9]+)', 1) AS INTEGER) IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0) AND regexp_extract(ref, 'v([0-9]+)', 1) = '3')")
+#: Whole files, bare pieces of paths, and one that lies around references.
+_CHANGED = "SELECT CASE WHEN n_nationkey % 3 = 0 THEN concat('SRC/m', n_nationkey, '/v3.py') WHEN n_nationkey % 3 = 1 THEN concat('m', n_nationkey, '/v', n_nationkey % 7) ELSE concat('old//src/m', n_nationkey, '/v1.py::f', n_nationkey * 7, '.bak') END AS file FROM {nation}"
+
+
+@query(f"SELECT id FROM ({duck(_REFS)}) r WHERE EXISTS (SELECT 1 FROM (SELECT lower(replace(file, '//', '/')) AS f FROM ({duck(_CHANGED)})) WHERE contains(ref, f) OR (ref <> '' AND contains(f, ref)))")
 def changed_file_routes(spark, sf):
-    changed = table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("SRC/m"), "n_nationkey", F.lit("/v3.py")).alias("file"))
-    return filters.of_changed_files(derived(spark, sf, _REFS), "ref", changed, "file").select("id")
+    return filters.of_changed_files(derived(spark, sf, _REFS), "ref", derived(spark, sf, _CHANGED), "file").select("id")
 
 
 @query(
@@ -447,12 +450,12 @@ def plan_entries(spark, sf):
     return plan.compile_entries(scope, p.select(k.alias("uid")), verdicts, p.where("p_partkey % 2 = 0").select(k.alias("uid")))
 
 
-_TREE = """SELECT kind, CASE WHEN d = 0 THEN sha256(string_agg(v, '|' ORDER BY v)) ELSE (SELECT sha256(string_agg(w, '|' ORDER BY w)) FROM (SELECT left(i.h, t.d) || ':' || sha256(string_agg(i.v, '|' ORDER BY i.v)) AS w FROM t i WHERE i.kind = t.kind GROUP BY left(i.h, t.d))) END AS hash FROM t GROUP BY kind, d"""
+_HASH_TREE = """SELECT kind, CASE WHEN d = 0 THEN sha256(string_agg(v, '|' ORDER BY v)) ELSE (SELECT sha256(string_agg(w, '|' ORDER BY w)) FROM (SELECT left(i.h, t.d) || ':' || sha256(string_agg(i.v, '|' ORDER BY i.v)) AS w FROM t i WHERE i.kind = t.kind GROUP BY left(i.h, t.d))) END AS hash FROM t GROUP BY kind, d"""
 
 
 @query(
     f"""WITH s AS (SELECT unnest(['planned', 'reversed', 'changed']) AS kind, o_orderkey, o_orderstatus FROM orders), r AS (SELECT kind, sha256(CASE WHEN kind = 'changed' AND o_orderkey = 7 THEN 'x' ELSE o_orderkey || '|' || o_orderstatus END) AS h FROM s),
-    g AS (SELECT kind, h, h || ':' || count(*) AS v FROM r GROUP BY kind, h), t AS (SELECT *, greatest(0, CAST(ceil(ln((count(*) OVER (PARTITION BY kind)) / 1024.0) / ln(16)) AS INTEGER)) AS d FROM g), one AS ({_TREE}) SELECT kind, hash FROM one"""
+    g AS (SELECT kind, h, h || ':' || count(*) AS v FROM r GROUP BY kind, h), t AS (SELECT *, greatest(0, CAST(ceil(ln((count(*) OVER (PARTITION BY kind)) / 1024.0) / ln(16)) AS INTEGER)) AS d FROM g), one AS ({_HASH_TREE}) SELECT kind, hash FROM one"""
 )
 def state_hashes(spark, sf):
     """The state's hash is the same in another order of rows, and another one after one change."""
@@ -469,9 +472,9 @@ def inferred_variables(spark, sf):
     return plan.environment(part(spark, sf).select(name.alias("name"), k.alias("ord")), "name").select("name", "secret")
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamped, strftime(ts, '%Y%m%dT%H%M%S%fZ') AS compact FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamped, strftime(ts, '%Y%m%dT%H%M%S%fZ') AS compact, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS full_stamp FROM events")
 def time_stamps(spark, sf):
-    return table(spark, sf, "events").select("event_id", plan.stamp(F.col("ts")).alias("stamped"), plan.compact_stamp(F.col("ts")).alias("compact"))
+    return table(spark, sf, "events").select("event_id", plan.stamp(F.col("ts")).alias("stamped"), plan.compact_stamp(F.col("ts")).alias("compact"), plan.offset_stamp(F.col("ts")).alias("full_stamp"))
 
 
 @query("SELECT event_id AS ord, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM (SELECT event_id, props FROM events ORDER BY event_id DESC LIMIT 30) WHERE event_id % 4 <> 0")

@@ -175,9 +175,11 @@ def v04_citations(spark, sf):
     return verify.audit_findings(audited_citations(spark, sf))
 
 
-@query(f"WITH {_AUDIT_SQL} SELECT id, kind <> 'x' AS evidenced, verdict = 'verified' AS all_verified, CAST(1 AS BIGINT) AS n FROM audited")
+@query(f"""WITH {_AUDIT_SQL}, x AS (SELECT id // 3 AS id, verdict FROM audited) SELECT d.id, count(x.id) > 0 AS evidenced, coalesce(bool_and(verdict = 'verified'), true) AS all_verified, count(x.id) AS n FROM (SELECT DISTINCT doc_id AS id FROM documents) d LEFT JOIN x ON x.id = d.id GROUP BY d.id""")
 def fact_rollup(spark, sf):
-    return evidence.fact_rollup(audited_citations(spark, sf))
+    """Three documents' citations make a fact; the other two thirds of the ids are facts without any."""
+    found = audited_citations(spark, sf).withColumn("id", F.floor(F.col("id") / 3))
+    return evidence.fact_rollup(found, table(spark, sf, "documents").select(F.col("doc_id").alias("id")))
 
 
 _CLASSES = "SELECT p_partkey AS cls, CASE WHEN p_partkey > 10 THEN CAST(floor(p_partkey / 3) AS BIGINT) WHEN p_partkey % 2 = 0 THEN -1 WHEN p_partkey % 3 = 0 THEN -2 END AS base FROM {part}"

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Languages by suffix; others are corpus files with an empty language.
-LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "java": "java", "kt": "kotlin", "go": "go", "rb": "ruby", "php": "php", "cs": "csharp", "rs": "rust", "scala": "scala"}
+LANGUAGES = {"py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "java": "java", "kt": "kotlin", "go": "go", "rb": "ruby", "php": "php", "cs": "csharp", "rs": "rust", "scala": "scala"}
 CORPUS = ("http", "rest", "json", "yaml", "yml")
 #: Folders that hold no source of the project.
 IGNORED = (".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", "dist", "build", "site", "postman", "target", "vendor", ".next", ".nuxt", "coverage", ".tox")

@@ -89,3 +89,89 @@ def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     tried = imports.select("src", "module", F.posexplode(places).alias("n", "path"))
     hit = tried.join(files.select("path").distinct(), "path")
     return hit.groupBy("src", "module").agg(F.min_by("path", "n").alias("dst"))
+
+
+#: What the path of a test file looks like, the kinds of what a corpus holds, and where a text shows what it is.
+TEST_FILE = r"(^|/)(tests?|__tests__|spec)(/|_)|(_test|\.test|\.spec|_spec)\.\w+$|(^|/)test_[^/]+$"
+KINDS = {"request": "http_file", "spec": "openapi", "url": "test_url"}
+_HEAD, _YAML = 2048, r"(?m)^\s*(openapi|swagger)\s*:"
+
+
+def harvest(files: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+    """kind, method, path, file, line of what files (path, language, text) say of routes: request files, specifications in JSON and YAML, each with a row of its own, and URLs in test files.
+
+    The suffix of a file decides what it is read as; at most ``most`` rows a file, in the order of its text."""
+    from .mining import request_lines, spec_routes
+
+    f = files.select(F.col("path").alias("file"), "language", "text", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"))
+    head = F.substring("text", 1, _HEAD)
+    js = f.where(F.col("suffix") == "json").where(F.contains(head, F.lit('"openapi"')) | F.contains(head, F.lit('"swagger"'))).where(F.expr("try_parse_json(text) is not null"))
+    ya = f.where(F.col("suffix").isin("yaml", "yml") & head.rlike(_YAML))
+    tests = f.where(~F.col("suffix").isin("http", "rest", "json", "yaml", "yml") & (F.col("language") != "") & F.col("file").rlike(TEST_FILE))
+    row = lambda df, kind, method, path, line, place: df.select(F.lit(KINDS[kind]).alias("kind"), method.alias("method"), path.alias("path"), "file", line.cast("int").alias("line"), place.cast("long").alias("_place"))
+    none, one = F.lit(""), F.lit(1)
+    mark = row(js, "spec", none, none, one, F.lit(0)).unionByName(row(ya, "spec", none, none, one, F.lit(0)))
+    routes = row(spec_routes(js, "file", "text"), "spec", F.col("method"), F.col("path"), one, F.lit(1))
+    lines = ya.select("file", F.posexplode(F.split("text", "\n")).alias("i", "t")).withColumn("p", F.regexp_extract("t", r"^\s{0,4}(/[^\s:]*)\s*:", 1)).where("p <> ''")
+    yaml = row(lines, "spec", none, F.col("p"), F.col("i") + 1, F.col("i") + 1)
+    sent = row(request_lines(f.where(F.col("suffix").isin("http", "rest")), "file", "text", most), "request", F.col("method"), F.col("path"), F.col("line"), F.col("line"))
+    urls = row(test_urls(tests, "file", "text", most), "url", F.col("method"), F.col("path"), F.col("line"), F.col("line"))
+    every = mark.unionByName(routes).unionByName(yaml).unionByName(sent).unionByName(urls)
+    n = F.row_number().over(Window.partitionBy("file").orderBy("_place", "line", "path", "method"))
+    return every.withColumn("_n", n).where(F.col("_n") <= most).drop("_n", "_place")
+
+
+#: Where a parameter can be, and the content that bodies are read from first.
+LOCATIONS, JSON = ("path", "query", "header"), "application/json"
+
+
+def _operations(specs: DataFrame, file: str, text: str) -> DataFrame:
+    """file, method, path, shared, op: paths times methods."""
+    doc = specs.select(F.col(file).alias("file"), F.expr(f"try_variant_get(try_parse_json({text}), '$.paths', 'map<string,variant>')").alias("paths"))
+    per_path = doc.select("file", F.explode("paths").alias("path", "p"))
+    ops = per_path.select("file", "path", F.expr("try_variant_get(p, '$.parameters', 'array<variant>')").alias("shared"), F.explode(F.expr("try_variant_get(p, '$', 'map<string,variant>')")).alias("m", "op"))
+    return ops.where(F.upper("m").isin(METHOD_ORDER)).select("file", F.upper("m").alias("method"), "path", "shared", "op")
+
+
+def parameters(specs: DataFrame, file: str, text: str) -> DataFrame:
+    """file, method, path, n, name, location, type, required, description: parameters of the path, then of the operation; references to components are followed once.
+
+    A location other than path and header counts as query; parameters of the path are required unless they say otherwise."""
+    from .schemas import TYPES, components
+
+    none = F.array().cast("array<variant>")
+    listed = F.concat(F.coalesce("shared", none), F.coalesce(F.expr("try_variant_get(op, '$.parameters', 'array<variant>')"), none))
+    rows = _operations(specs, file, text).select("file", "method", "path", F.posexplode(listed).alias("n", "p"))
+    get = lambda c, k: F.try_variant_get(F.col("p"), c, k)
+    rows = rows.withColumn("ref", get("$['$ref']", "string"))
+    far = rows.where("ref is not null").drop("p").join(components(specs, file, text).withColumnRenamed("node", "p"), ["file", "ref"], "left")
+    both = rows.where("ref is null").unionByName(far.select(*rows.columns))
+    where, kind = get("$.in", "string"), get("$.schema.type", "string")
+    location = F.when(where.isin(*LOCATIONS), where).otherwise("query")
+    return both.select("file", "method", "path", "n", F.coalesce(get("$.name", "string"), F.lit("")).alias("name"), location.alias("location"), F.when(kind.isin(TYPES), kind).otherwise("unknown").alias("type"), F.coalesce(get("$.required", "boolean"), F.coalesce(where, F.lit("")) == "path").alias("required"), get("$.description", "string").alias("description"))
+
+
+def bodies(specs: DataFrame, file: str, text: str) -> DataFrame:
+    """file, method, path, part (body, or the status of a response that is a whole number), name, description, node: the JSON schemas of operations.
+
+    JSON content first, else the first content with a schema.  The name is that of the component, with [] for each array around it, else RequestBody or Response and the status; responses without a
+    schema have a null node."""
+    ops = _operations(specs, file, text)
+    get = lambda c, path, kind: F.try_variant_get(c, path, kind)
+    asked = ops.select("file", "method", "path", F.lit("body").alias("part"), F.lit(None).cast("string").alias("description"), get(F.col("op"), "$.requestBody.content", "map<string,variant>").alias("content"))
+    answers = ops.select("file", "method", "path", F.explode(get(F.col("op"), "$.responses", "map<string,variant>")).alias("part", "r")).where(F.col("part").try_cast("int").isNotNull())
+    answers = answers.select("file", "method", "path", "part", get(F.col("r"), "$.description", "string").alias("description"), get(F.col("r"), "$.content", "map<string,variant>").alias("content"))
+    others = F.filter(F.transform(F.map_values("content"), lambda m: get(m, "$.schema", "variant")), lambda m: m.isNotNull())
+    node = F.when(F.map_contains_key("content", JSON), get(F.try_element_at("content", F.lit(JSON)), "$.schema", "variant")).otherwise(F.get(others, F.lit(0)))
+    rows = asked.unionByName(answers).withColumn("node", node).where("part <> 'body' or node is not null").drop("content")
+    # arrays around a reference, one level an entry; deeper ones than these have no name of their own
+    named = F.lit(None).cast("string")
+    for depth in range(3, -1, -1):
+        inside = "$" + ".items" * depth
+        ref = get(F.col("node"), f"{inside}['$ref']", "string")
+        around = F.lit(True)
+        for k in range(depth):
+            around = around & (get(F.col("node"), "$" + ".items" * k + ".type", "string") == "array")
+        named = F.when(F.coalesce(around & ref.startswith("#/"), F.lit(False)), F.concat(F.element_at(F.split(ref, "/"), -1), F.lit("[]" * depth))).otherwise(named)
+    default = F.when(F.col("part") == "body", "RequestBody").otherwise(F.concat(F.lit("Response"), "part"))
+    return rows.withColumn("name", F.when(F.col("node").isNotNull(), F.coalesce(named, default)))

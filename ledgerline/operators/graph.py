@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .stores import written
+from .stores import written, written_with
 
 
 def ring_nodes(edges: DataFrame) -> DataFrame:
@@ -32,12 +32,12 @@ def mount_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     none = F.array().cast(f"array<{edges.schema['child'].dataType.simpleString()}>")
     mounts = written(edges.select("parent", "child", "prefix").distinct().join(rings.withColumnRenamed("node", "child"), "child", "left"), "mounts")
     begun = roots.select("node", "path").distinct().join(rings, "node", "left")
-    front = written(begun.select("node", "path", F.when(F.col("ring"), F.array("node")).otherwise(none).alias("seen")), "walk")
+    front, some = written_with(begun.select("node", "path", F.when(F.col("ring"), F.array("node")).otherwise(none).alias("seen")), "walk")
     found = front.select("node", "path")
-    while not front.isEmpty():
+    while some:
         step = front.join(mounts, F.col("node") == F.col("parent")).where(~F.array_contains("seen", F.col("child")))
         seen = F.when(F.col("ring"), F.array_sort(F.array_append("seen", F.col("child")))).otherwise(F.col("seen"))
-        front = written(step.select(F.col("child").alias("node"), F.concat("path", "prefix").alias("path"), seen.alias("seen")).distinct(), "walk")
+        front, some = written_with(step.select(F.col("child").alias("node"), F.concat("path", "prefix").alias("path"), seen.alias("seen")).distinct(), "walk")
         found = found.unionByName(front.select("node", "path"))
     return found.distinct()
 
@@ -52,23 +52,23 @@ def first_mounts(edges: DataFrame, nodes: DataFrame, root: str = "is_root") -> D
     path = F.when(F.col("is_root"), F.col("own")).otherwise(F.concat(F.coalesce("mount", F.lit("")), "own"))
     linked = written(linked.select("node", "own", "is_root", F.when(~F.col("is_root"), F.col("up")).alias("up"), path.alias("path")), "mounts")
 
-    def doubled(now: DataFrame, carried: str, both: Column) -> DataFrame:
-        """Every pointer to where its goal points; carried: from the node's value (mine) and its goal's (theirs)."""
+    def doubled(now: DataFrame, carried: str, both: Column) -> tuple[DataFrame, bool]:
+        """Every pointer to where its goal points, and whether any is left; carried: from the node's value (mine) and its goal's (theirs)."""
         above = now.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col(carried).alias("theirs"))
         step = now.withColumnRenamed(carried, "mine").join(above, "up", "left")
-        return written(step.select("node", F.col("further").alias("up"), both.alias(carried)), "mounts")
+        return written_with(step.select("node", F.col("further").alias("up"), both.alias(carried)), "mounts", F.col("up").isNotNull())
 
     reach, rounds = linked.select("node", "up", F.col("is_root").alias("resolved")), linked.count().bit_length() + 1
     for _ in range(rounds):
-        if reach.where("up is not null").isEmpty():
+        reach, some = doubled(reach, "resolved", F.coalesce("theirs", "mine"))
+        if not some:
             break
-        reach = doubled(reach, "resolved", F.coalesce("theirs", "mine"))
     good = reach.where("up is null and resolved").select("node")
     paths = linked.join(good, "node", "left_semi").select("node", "up", "path")
     for _ in range(rounds):
-        if paths.where("up is not null").isEmpty():
+        paths, some = doubled(paths, "path", F.concat(F.coalesce("theirs", F.lit("")), "mine"))
+        if not some:
             break
-        paths = doubled(paths, "path", F.concat(F.coalesce("theirs", F.lit("")), "mine"))
     out = linked.select("node", "own").join(paths.select("node", "path"), "node", "left")
     return out.select("node", F.coalesce("path", "own").alias("path"), F.col("path").isNotNull().alias("resolved"))
 
@@ -91,21 +91,20 @@ def ancestors(classes: DataFrame) -> DataFrame:
 def inherited_fields(classes: DataFrame, fields: DataFrame) -> DataFrame:
     """cls, field, owner, depth: own and inherited fields over classes (cls, base); of one name the nearest owner's, then the least owner.
 
-    A round hands the fields that classes got in the round before to the classes below, which take those that they don't have: each class and field is written once, and what
-    a nearer owner hides goes no further."""
-    below = classes.where("base is not null").select(F.col("base").alias("cls"), F.col("cls").alias("sub")).distinct()
+    Rounds double the reach: what a class has within n steps, and what the classes n steps above it have within n, is what it has within 2 * n.  Each class and field is held once in a round,
+    with its nearest owner, so rows are never more than in the result; steps above are pairs of a class and those exactly n steps above, one a class where each has one base."""
+    up = classes.where("base is not null").select("cls", "base").distinct()
     known = classes.select("cls").distinct()
-    own = fields.select(F.col("owner").alias("cls"), "field", "owner").join(known, "cls", "left_semi").distinct()
-    # classes that are only named as a base hand on fields, too, but aren't in the result
-    outside = fields.select(F.col("owner").alias("cls"), "field", "owner").distinct().join(below.select("cls").distinct(), "cls", "left_semi").join(known, "cls", "left_anti")
-    front = written(own.unionByName(outside).withColumn("depth", F.lit(0)), "fields")
-    found, depth = front, 0
-    while not front.isEmpty():
-        depth += 1
-        step = front.join(below, "cls").groupBy(F.col("sub").alias("cls"), "field").agg(F.min("owner").alias("owner"))
-        front = written(step.join(found.select("cls", "field"), ["cls", "field"], "left_anti").withColumn("depth", F.lit(depth)), "fields")
-        found = found.unionByName(front)
-    return found.join(known, "cls", "left_semi")
+    up, some = written_with(up, "above")
+    held = written(fields.select(F.col("owner").alias("cls"), "field", "owner", F.lit(0).alias("depth")).distinct(), "fields")
+    for k in range(known.count().bit_length() + 1):  # no way without a ring has more steps than there are classes
+        if not some:
+            break
+        above = up.join(held.withColumnRenamed("cls", "base"), "base").select("cls", "field", "owner", (F.col("depth") + (1 << k)).alias("depth"))
+        nearest = held.unionByName(above).groupBy("cls", "field").agg(F.min(F.struct("depth", "owner")).alias("n"))
+        held = written(nearest.select("cls", "field", "n.owner", "n.depth"), "fields")
+        up, some = written_with(up.join(up.select(F.col("cls").alias("base"), F.col("base").alias("_far")), "base").select("cls", F.col("_far").alias("base")).distinct(), "above")
+    return held.join(known, "cls", "left_semi")
 
 
 def resolved_classes(classes: DataFrame, inert: list) -> DataFrame:
@@ -119,16 +118,16 @@ def resolved_classes(classes: DataFrame, inert: list) -> DataFrame:
     many = shape.where("n > 1").select("cls")
     ways = written(shape.select("cls", "ok", F.when(F.col("n") == 1, F.col("base")).alias("up"), F.col("cls").alias("top")), "classes")
     for _ in range(max(1, shape.count()).bit_length() + 1):
-        if ways.where("up is not null").isEmpty():
-            break
         above = ways.select(F.col("cls").alias("up"), F.col("ok").alias("_ok"), F.col("up").alias("_up"), F.col("top").alias("_top"))
         both = ways.join(above, "up", "left")
-        ways = written(both.select("cls", (F.col("ok") & F.coalesce("_ok", F.lit(True))).alias("ok"), F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top")), "classes")
+        ways, some = written_with(both.select("cls", (F.col("ok") & F.coalesce("_ok", F.lit(True))).alias("ok"), F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top")), "classes", F.col("up").isNotNull())
+        if not some:
+            break
     links = steps.join(many, "cls", "left_semi").where("base is not null").select(F.col("cls").alias("sub"), F.col("base").alias("cls")).join(ways.select("cls", "ok", "top"), "cls")
     over = written(links.select("sub", F.col("top").alias("cls"), "ok").join(many, "cls", "left_semi").select("sub", "cls").distinct(), "links")
-    bad = written(links.where("not ok").select(F.col("sub").alias("cls")).unionByName(shape.where("n > 1 and not ok").select("cls")).distinct(), "bad")
+    bad, some = written_with(links.where("not ok").select(F.col("sub").alias("cls")).unionByName(shape.where("n > 1 and not ok").select("cls")).distinct(), "bad")
     front = bad
-    while not front.isEmpty():
-        front = written(front.join(over, "cls").select(F.col("sub").alias("cls")).distinct().join(bad, "cls", "left_anti"), "bad")
+    while some:
+        front, some = written_with(front.join(over, "cls").select(F.col("sub").alias("cls")).distinct().join(bad, "cls", "left_anti"), "bad")
         bad = bad.unionByName(front)
     return ways.join(bad.distinct().select(F.col("cls").alias("top"), F.lit(True).alias("_bad")), "top", "left").select("cls", (F.col("ok") & F.col("_bad").isNull()).alias("fully_resolved"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,6 +22,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_with(df: DataFrame, name: str, condition: Column | None = None) -> tuple[DataFrame, bool]:
+    """written(), and whether any row (for which the condition holds) is there: seen by the write itself, so rounds that end when nothing is left need no job to find out."""
+    seen = Observation()
+    counted = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    rows = written(df.observe(seen, counted.alias("n")), name)
+    return rows, seen.get["n"] > 0
+
+
 def save_by_content(docs: DataFrame, folder: str, content: str = "content") -> DataFrame:
     """Writes documents under the hash of their content; one that is there already is left as it is.  Returns id and content of all given ones."""
     named = docs.select(F.concat(F.lit("sha256:"), F.sha2(content, 256)).alias("id"), F.col(content).alias("content")).dropDuplicates(["id"])

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.stores import written
+from ..operators.stores import written, written_with
 
 #: Coarse types of a schema, and how deep fields are nested.
 TYPES = ["string", "integer", "number", "boolean", "array", "object"]
@@ -65,10 +65,10 @@ def dereferenced(tasks: DataFrame, parts: DataFrame) -> DataFrame:
     front = tasks.select(*_KEY, "node", "seen", F.array().cast("array<int>").alias("place"), F.array().cast("array<struct<ref:string,place:array<int>>>").alias("way"), F.lit(False).alias("merged"))
     met, ends = None, None
     while True:
-        state = written(_split(front), "schemas")
+        state, some = written_with(_split(front), "schemas", F.col("ref").isNotNull() | F.col("parted").isNotNull())
         done = state.where("ref is null and parted is null").select(*_KEY, "node", "place", "way", "merged")
         ends = done if ends is None else ends.unionByName(done)
-        if state.where("ref is not null or parted is not null").isEmpty():
+        if not some:
             break
         here = state.where("ref is not null")
         blocked = F.array_contains("seen", F.col("ref")) | F.exists("way", lambda w: w["ref"] == F.col("ref"))
@@ -115,7 +115,8 @@ def resolved_schemas(schemas: DataFrame, parts: DataFrame) -> DataFrame:
         # a reference comes to the same wherever a schema has it: each is followed once
         asked = tasks.where("ref is not null").select("file", "root", F.col("ref").alias("path"), "seen").distinct()
         fresh = asked if memo is None else asked.join(memo.select(*_KEY), _KEY, "left_anti")
-        if not fresh.isEmpty():
+        fresh, some = written_with(fresh, "schemas")
+        if some:
             as_node = F.parse_json(F.to_json(F.create_map(F.lit("$ref"), F.col("path"))))
             more = written(dereferenced(fresh.withColumn("node", as_node), parts), "schemas")
             memo = more if memo is None else memo.unionByName(more)

@@ -8,6 +8,7 @@ from ..functions.paths import composed_variants
 from ..functions.routes import normalize_path, wildcard
 from .intervals import tightest
 from .matching import best_tier
+from .names import called as called_names, expanded_types
 from .stores import written
 
 MOST_WITNESSES, MOST_FILES = 12, 40
@@ -177,12 +178,55 @@ def busiest(symbols: DataFrame, most: int = MOST_FILES) -> DataFrame:
 def mount_windows(lines: DataFrame, imports: DataFrame, pad: int = 3) -> DataFrame:
     """dst, src, lo, hi: lines of a file's importers that hold its token, with pad lines around, windows that overlap or touch as one.
 
-    lines: file, line, text, total."""
-    hits = lines.withColumnRenamed("file", "src").join(imports, "src").where(F.contains("text", F.col("token"))).select("dst", "src", "line", "total").distinct()
-    w = Window.partitionBy("dst", "src").orderBy("line")
+    lines: file, line, text, total; imports: src, dst, token, perhaps ord: each import is looked at on its own then, and of windows that begin alike the first import's counts."""
+    each = [c for c in ("ord",) if c in imports.columns]
+    hits = lines.withColumnRenamed("file", "src").join(imports, "src").where(F.contains("text", F.col("token"))).select("dst", "src", *each, "line", "total").distinct()
+    w = Window.partitionBy("dst", "src", *each).orderBy("line")
     new = (F.col("line") - pad > F.lag("line").over(w) + pad + 1).cast("int")
     island = F.sum(F.coalesce(new, F.lit(1))).over(w)
-    return hits.withColumn("island", island).groupBy("dst", "src", "island").agg(F.greatest(F.lit(1), F.min("line") - pad).alias("lo"), F.least(F.max("total"), F.max("line") + pad).alias("hi")).drop("island")
+    found = hits.withColumn("island", island).groupBy("dst", "src", *each, "island").agg(F.greatest(F.lit(1), F.min("line") - pad).alias("lo"), F.least(F.max("total"), F.max("line") + pad).alias("hi")).drop("island")
+    return found.groupBy("dst", "src", "lo").agg(F.min_by("hi", "ord").alias("hi")) if each else found
+
+
+#: The parts of a context in their order; a name that a route is searched by has more characters than this.
+ROLES = {"seed": 0, "type": 1, "call": 2, "mount": 3, "witness": 4}
+_SHORT_NAME = 4
+
+
+def witnesses(targets: DataFrame, seeds: DataFrame, corpus: DataFrame, most: int = MOST_WITNESSES) -> DataFrame:
+    """target, file, line of the first ``most`` rows of the corpus (ord, path, file, line) that speak of each target: their path and the target's are one the end of the other, or it holds the
+    name of a seed (target, name)."""
+    t = targets.select("target", F.regexp_replace(F.regexp_extract(F.trim("target"), _METHOD_PATH, 2), "/+$", "").alias("p")).where("p <> ''").distinct()
+    c = written(corpus.where("path <> ''").select("ord", "file", "line", "path", F.regexp_replace("path", "/+$", "").alias("c")), "corpus")
+    whole = c.where("c = ''").select("ord", "file", "line")  # the root is the end of every path
+    longer = t.select("target", F.explode(_ends(F.col("p"))).alias("c")).join(c.where("c <> ''"), "c").select("target", "ord", "file", "line")
+    shorter = t.join(c.where("c <> ''").select("ord", "file", "line", F.explode(_ends(F.col("c"))).alias("p")), "p").select("target", "ord", "file", "line")
+    names = seeds.where(F.length("name") > _SHORT_NAME).select("target", "name").distinct()
+    named = names.join(c.select("ord", "file", "line", F.explode(F.array_distinct(F.filter(_pieces(F.col("path")), lambda x: F.length(x) > _SHORT_NAME))).alias("name")).distinct(), "name").select("target", "ord", "file", "line")
+    # of the root's rows a target needs the first ones only
+    roots = t.select("target").join(F.broadcast(whole.orderBy("ord").limit(most)))
+    rows = longer.unionByName(shorter).unionByName(named).unionByName(roots).distinct()
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("target").orderBy("ord"))).where(F.col("_n") <= most).drop("_n", "ord")
+
+
+def context(targets: DataFrame, symbols: DataFrame, imports: DataFrame, hints: DataFrame, candidates: DataFrame, lines: DataFrame, corpus: DataFrame) -> DataFrame:
+    """target, file, lo, hi, role, rank: all that a target needs: where it begins, the types and functions that this reaches, where its files are mounted, and what speaks of it.
+
+    Of parts that begin at the same line of a file the one of the lowest rank counts; witnesses stand beside them.  symbols: sid, ord, file, name, kind, parent, text, decorators, s_lo, s_hi."""
+    found = written(seeds(targets, symbols, hints, candidates), "seeds")
+    spans = symbols.select("sid", "name", "s_lo", "s_hi", F.col("file").alias("at"))
+    begun = written(found.where("sid is not null").select("target", "sid").distinct().join(spans, "sid"), "seeds")
+    part = lambda df, role: df.select("target", F.col("at").alias("file"), F.col("s_lo").cast("int").alias("lo"), F.col("s_hi").cast("int").alias("hi"), F.lit(role).alias("role"))
+    lines_of = found.where("sid is null").select("target", "file", "lo", "hi", F.lit("seed").alias("role"))
+    types = expanded_types(begun.select(F.col("target").alias("seed"), "sid"), symbols, imports).select(F.col("seed").alias("target"), "sid").join(spans, "sid")
+    calls = begun.select("target", "sid").join(called_names(symbols, imports), "sid").select("target", F.col("callee").alias("sid")).distinct().join(spans, "sid")
+    tokens = imports.select("src", "dst", "ord", F.explode(F.array_union("names", F.array(F.regexp_replace(F.element_at(F.split("dst", "/"), -1), r"\.[^.]*$", "")))).alias("token"))
+    mounts = begun.select("target", F.col("at").alias("dst")).distinct().join(mount_windows(lines, tokens), "dst").groupBy("target", F.col("src").alias("file"), "lo").agg(F.min_by("hi", "dst").alias("hi"))
+    every = part(begun, "seed").unionByName(lines_of).unionByName(part(types, "type")).unionByName(part(calls, "call")).unionByName(mounts.select("target", "file", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), F.lit("mount").alias("role")))
+    rank = F.element_at(F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair]), F.col("role"))
+    once = every.withColumn("rank", rank).groupBy("target", "file", "lo").agg(F.min(F.struct("rank", "role", "hi")).alias("c")).select("target", "file", "lo", "c.hi", "c.role", "c.rank")
+    told = witnesses(targets.select("target").join(found.select("target").distinct(), "target", "left_semi"), begun, corpus).select("target", "file", F.col("line").cast("int").alias("lo"), F.col("line").cast("int").alias("hi"), F.lit("witness").alias("role"), F.lit(ROLES["witness"]).alias("rank"))
+    return once.unionByName(told)
 
 
 def average_tokens(chunks: DataFrame, target: str, tokens: Column) -> DataFrame:

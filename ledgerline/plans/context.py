@@ -125,3 +125,31 @@ _SEEDS = rf"""hh AS ({duck(HINTS)}), cand AS ({duck(CANDIDATES)}), sy AS ({duck(
 def target_seeds(spark, sf):
     c = derived(spark, sf, CANDIDATES).withColumn("method", F.upper("method")).withColumn("line", F.col("line").cast("int"))
     return retrieval.seeds(derived(spark, sf, TARGETS), symbols(spark, sf), hints(spark, sf), c)
+
+
+#: A line of each file a part, that names files and functions, and routes that tests and requests speak of.
+LINES = f"""SELECT {_FILE.format(k="p_partkey")} AS file, 1 + (p_partkey % 20) * 12 AS line, 245 AS total, concat('mount(f', p_partkey * 13 % 11, '.router, fun_', p_partkey * 3 % 90, ')') AS text FROM {{part}}"""
+CORPUS = """SELECT p_partkey AS ord, CASE p_partkey % 4 WHEN 0 THEN concat('/', lower(p_brand), '/{{{{id}}}}') WHEN 1 THEN concat('/do/fun_', p_partkey % 90) WHEN 2 THEN CASE WHEN p_partkey % 50 = 2 THEN '/' ELSE concat('/m', p_size % 5, '/x', p_size, '/') END ELSE '' END AS path, concat('tests/t', p_size, '.py') AS file, 1 + p_partkey % 77 AS line FROM {part}""".replace("{{{{", "{{").replace("}}}}", "}}")
+
+_CONTEXT = rf"""{_NAMES}, {_SEEDS.replace(f"sy AS ({duck(SYMBOLS)}), ", "")}, ln AS ({duck(LINES)}), co AS ({duck(CORPUS)}), bg AS (SELECT DISTINCT allt.target, sy.* EXCLUDE (ord) FROM allt JOIN sy ON sy.sid = allt.sid),
+ rc AS (SELECT DISTINCT target, sid, 0 AS depth FROM bg UNION SELECT rc.target, te.to_sid, rc.depth + 1 FROM rc JOIN te ON te.sid = rc.sid WHERE rc.depth < 3), ty AS (SELECT DISTINCT target, sid FROM rc EXCEPT SELECT target, sid FROM bg),
+ cl AS (SELECT DISTINCT bg.target, cr.sid FROM bg JOIN cw ON cw.sid = bg.sid JOIN cr ON cr.name = cw.name AND cr.file = cw.file JOIN sy ON sy.sid = cr.sid AND sy.kind = 'function' AND sy.file <> cw.file),
+ tk AS (SELECT src, dst, ord, unnest(list_distinct([one, regexp_replace(regexp_extract(dst, '[^/]*$', 0), '\.[^.]*$', '')])) AS token FROM imp), ht AS (SELECT DISTINCT dst, src, tk.ord, line, total FROM ln JOIN tk ON tk.src = ln.file AND token <> '' AND contains(text, token)),
+ hi AS (SELECT *, sum(new) OVER (PARTITION BY dst, src, ord ORDER BY line ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN line - 3 > lag(line) OVER (PARTITION BY dst, src, ord ORDER BY line) + 4 THEN 1 ELSE 0 END AS new FROM ht)),
+ wn AS (SELECT dst, src, lo, arg_min(hi, ord) AS hi FROM (SELECT dst, src, ord, greatest(1, min(line) - 3) AS lo, least(max(total), max(line) + 3) AS hi FROM hi GROUP BY dst, src, ord, island) GROUP BY dst, src, lo),
+ mn AS (SELECT target, src AS file, lo, arg_min(hi, dst) AS hi FROM (SELECT DISTINCT target, file AS dst FROM bg) b JOIN wn USING (dst) GROUP BY target, src, lo),
+ ev AS (SELECT target, file, s_lo AS lo, s_hi AS hi, 'seed' AS role, 0 AS rank FROM bg UNION ALL SELECT DISTINCT target, file, greatest(1, line - 3), least(total, line + 3), 'seed', 0 FROM hit UNION ALL SELECT target, file, s_lo, s_hi, 'type', 1 FROM ty JOIN sy USING (sid) UNION ALL SELECT target, file, s_lo, s_hi, 'call', 2 FROM cl JOIN sy USING (sid) UNION ALL SELECT target, file, lo, hi, 'mount', 3 FROM mn),
+ oc AS (SELECT target, file, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, role, rank FROM ev QUALIFY row_number() OVER (PARTITION BY target, file, lo ORDER BY rank, role, hi) = 1),
+ wp AS (SELECT target, regexp_replace(regexp_extract(t, '^(\S+)\s+(/\S*)$', 2), '/+$', '') AS p FROM tg WHERE target IN (SELECT target FROM rt) AND (target IN (SELECT target FROM allt) OR target IN (SELECT target FROM hit))), cx AS (SELECT *, regexp_replace(path, '/+$', '') AS c FROM co WHERE path <> ''),
+ wt AS (SELECT target, ord, file, line FROM wp JOIN cx ON p <> '' AND (ends_with(p, c) OR ends_with(c, p)) UNION SELECT target, ord, file, line FROM (SELECT DISTINCT target, name FROM bg WHERE len(name) > 4) n JOIN (SELECT co.* FROM co WHERE path <> '') c ON contains(c.path, n.name)),
+ w12 AS (SELECT * FROM wt QUALIFY row_number() OVER (PARTITION BY target ORDER BY ord) <= 12)"""
+
+
+def context_parts(spark, sf: str) -> DataFrame:
+    c = derived(spark, sf, CANDIDATES).withColumn("line", F.col("line").cast("int"))
+    return retrieval.context(derived(spark, sf, TARGETS), symbols(spark, sf), imports(spark, sf), hints(spark, sf), c, derived(spark, sf, LINES), derived(spark, sf, CORPUS))
+
+
+@query(f"WITH RECURSIVE {_CONTEXT} SELECT * FROM oc UNION ALL SELECT target, file, CAST(line AS INTEGER), CAST(line AS INTEGER), 'witness', 4 FROM w12")
+def target_context(spark, sf):
+    return context_parts(spark, sf)

@@ -78,3 +78,14 @@ def broken_items(items: DataFrame) -> DataFrame:
 
 def unknown(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(known.select(key), key, "left_anti")
+
+
+def broken_environments(environments: DataFrame) -> DataFrame:
+    """id, error of environments (id, text) that may not be written: no object, no name, no values, and no key for each value without one; no rows: all is well."""
+    d = F.col("d")
+    rows = environments.select("id", F.expr("try_parse_json(text)").alias("d"))
+    values = F.try_variant_get(d, "$.values", "array<variant>")
+    keyless = F.transform(F.filter(values, lambda v: F.coalesce(F.try_variant_get(v, "$.key", "string"), F.lit("")) == ""), lambda v: F.lit("no key"))
+    found = F.when(F.coalesce(F.try_variant_get(d, "$", "map<string,variant>").isNull(), F.lit(True)), F.array(F.lit("no object"))).otherwise(
+        F.concat(F.array_compact(F.array(F.when(F.coalesce(F.try_variant_get(d, "$.name", "string"), F.lit("")) == "", "no name"), F.when(values.isNull(), "no values"))), F.coalesce(keyless, F.array().cast("array<string>"))))
+    return rows.select("id", F.explode(found).alias("error"))

@@ -28,19 +28,22 @@ def with_identity(endpoints: DataFrame, audited: DataFrame) -> DataFrame:
     return rows.withColumns({"n_evidence": F.coalesce("n_evidence", F.lit(0)), "worst": F.coalesce("worst", F.lit("verified")), "signal": F.coalesce("signal", F.lit(False)), "unproven": unproven}).drop("proven")
 
 
-def findings(e: DataFrame, audited: DataFrame, refs: DataFrame, components: DataFrame, grounded: DataFrame, witness: DataFrame, services: list[str]) -> DataFrame:
+def findings(e: DataFrame, audited: DataFrame, refs: DataFrame, components: DataFrame, grounded: DataFrame, witness: DataFrame | None, services: list[str]) -> DataFrame:
     """id, uid, rule, severity, detail of all rules, over with_identity()'s rows; id is null where the witness has what the model lacks.
 
-    refs: id, refs; grounded: id, cls, field, state."""
+    refs: id, refs; grounded: id, cls, field, state.  Without a witness nothing is held against it, and every endpoint is told so (V-07, info)."""
     named = e.select("id", "uid")
     own = lambda df: df.drop("uid").join(named, "id").select(*COLUMNS)
     one = written(verify.endpoint_findings(e, services, "claimed"), "findings")
     first = one.where("rule <> 'V-09'").unionByName(verify.duplicates(e)).unionByName(own(verify.audit_findings(audited.withColumn("uid", F.lit(None).cast("string"))))).unionByName(own(verify.unresolved_refs(refs.withColumn("uid", F.lit(None).cast("string")), components)))
     first = written(first, "findings")
     passed = e.join(first.where("severity = 'reject'").select("uid").distinct(), "uid", "left_anti").withColumn("clean", F.col("worst") == "verified")
-    checked = written(verify.crosscheck(passed, witness), "checked")
+    if witness is None:
+        against = e.select("id", "uid", F.lit("V-07").alias("rule"), F.lit("info").alias("severity"), F.lit("witness unavailable").alias("detail"))
+    else:
+        against = verify.witness_findings(written(verify.crosscheck(passed, witness), "checked"), witness)
     promoted = audited.where("kind <> 'identity'").select("id", F.lit(None).cast("string").alias("uid"), F.col("kind").alias("fact"), "extraction_method")
-    later = [one.where("rule = 'V-09'"), verify.witness_findings(checked, witness), verify.shadowing(e.withColumn("path", F.trim("path"))), own(verify.promoted_claims(promoted)), own(verify.grounding_findings(grounded.withColumn("uid", F.lit(None).cast("string"))))]
+    later = [one.where("rule = 'V-09'"), against, verify.shadowing(e.withColumn("path", F.trim("path"))), own(verify.promoted_claims(promoted)), own(verify.grounding_findings(grounded.withColumn("uid", F.lit(None).cast("string"))))]
     for more in later:
         first = first.unionByName(more)
     return first

@@ -78,6 +78,12 @@ def duplicates(endpoints: DataFrame) -> DataFrame:
     return endpoints.join(many, "uid").select("id", "uid", F.lit("V-05").alias("rule"), F.lit("reject").alias("severity"), F.col("others").cast("string").alias("detail"))
 
 
+def duplicate_files(endpoints: DataFrame) -> DataFrame:
+    """uid, file, n: the files that the members of a repeated uid stand in, once each with how many of them do; what V-05 names, without pairing members."""
+    many = endpoints.groupBy("uid").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("uid")
+    return endpoints.where("file is not null").join(many, "uid", "left_semi").groupBy("uid", "file").agg(F.count(F.lit(1)).alias("n"))
+
+
 def shadowing(endpoints: DataFrame) -> DataFrame:
     """V-06: endpoints of one file and method whose paths differ in one segment only, a literal in one and a placeholder in the other.
 

@@ -99,8 +99,8 @@ def cited_field_grounding(spark, sf):
     return grounded(spark, sf).select("id", "cls", "field", "state")
 
 
-def model(spark, sf: str) -> dict[str, DataFrame]:
-    """The parts of a verification run: e, audited, found and witness, each written once."""
+def model(spark, sf: str, witnessed: bool = True) -> dict[str, DataFrame]:
+    """The parts of a verification run: e, found and witness, the first two written once."""
     i = F.col("id")
     facts = F.when(i % 6 == 0, F.array(F.lit("summary"), F.lit("auth"))).when(i % 6 == 1, F.array(F.lit("tags"), F.lit("summary"))).otherwise(F.array().cast("array<string>"))
     ends = endpoints(spark, sf).drop("unproven", "n_evidence", "signal", "clean", "file", "quote").withColumns({"facts": facts, "auth": F.when(i % 6 == 0, F.col("auth"))})
@@ -109,7 +109,7 @@ def model(spark, sf: str) -> dict[str, DataFrame]:
     w = derived(spark, sf, WITNESS).withColumn("uid", verify.uid(F.col("service"), F.col("method"), F.col("path"))).drop("service")
     refs = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array(F.concat(F.lit("N"), F.col("p_partkey") % 26)).alias("refs"))
     names = table(spark, sf, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("name"))
-    found = written(report.findings(e, seen, refs, names, grounded(spark, sf), w, ["s0", "s1"]), "findings")
+    found = written(report.findings(e, seen, refs, names, grounded(spark, sf), w if witnessed else None, ["s0", "s1"]), "findings")
     return {"e": e, "found": found, "witness": w}
 
 
@@ -166,3 +166,14 @@ def model_verdict(spark, sf):
 def model_scores(spark, sf):
     m = model(spark, sf)
     return report.scores(m["e"], m["found"], m["witness"])
+
+
+@query(f"{_REPORT} SELECT * FROM fs WHERE rule NOT IN ('V-07', 'V-08', 'V-12', 'V-13') UNION ALL SELECT id, uid, 'V-07', 'info', 'witness unavailable' FROM mg")
+def unwitnessed_findings(spark, sf):
+    """The same model where there is no witness."""
+    return model(spark, sf, witnessed=False)["found"]
+
+
+@query(f"{_REPORT} SELECT uid, file, count(*) AS n FROM mg WHERE file IS NOT NULL AND uid IN (SELECT uid FROM mg GROUP BY uid HAVING count(*) > 1) GROUP BY uid, file")
+def duplicate_files(spark, sf):
+    return verify.duplicate_files(report.with_identity(endpoints(spark, sf).drop("file", "n_evidence", "signal", "unproven", "quote").withColumn("facts", F.array().cast("array<string>")), audited(spark, sf)))

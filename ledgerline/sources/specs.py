@@ -91,6 +91,23 @@ def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return hit.groupBy("src", "module").agg(F.min_by("path", "n").alias("dst"))
 
 
+#: The endings that a script module is tried with.
+SCRIPT_ENDINGS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
+
+
+def resolved_script_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """src, spec, dst: relative imports (src, spec) of scripts to files (path): the path with an ending, else its index with an ending, else as it is; the first that is there.
+
+    Steps above the root stay at the root; specs that don't begin with a dot are packages and left out."""
+    parts = F.filter(F.concat(F.slice(F.split("src", "/"), F.lit(1), F.size(F.split("src", "/")) - 1), F.split("spec", "/")), lambda p: ~p.isin("", "."))
+    empty = F.array().cast("array<string>")
+    walked = F.aggregate(parts, empty, lambda at, p: F.when(p != "..", F.array_append(at, p)).when(F.size(at) > 0, F.slice(at, F.lit(1), F.size(at) - 1)).otherwise(at))
+    target = F.array_join(walked, "/")
+    tried = F.array(*[F.concat(target, F.lit(e)) for e in SCRIPT_ENDINGS], *[F.concat(target, F.lit("/index" + e)) for e in SCRIPT_ENDINGS], target)
+    rows = imports.where(F.col("spec").startswith(".")).select("src", "spec").distinct().select("src", "spec", F.posexplode(tried).alias("n", "path"))
+    return rows.join(files.select("path").distinct(), "path").groupBy("src", "spec").agg(F.min_by("path", "n").alias("dst"))
+
+
 #: What the path of a test file looks like, the kinds of what a corpus holds, and where a text shows what it is.
 TEST_FILE = r"(^|/)(tests?|__tests__|spec)(/|_)|(_test|\.test|\.spec|_spec)\.\w+$|(^|/)test_[^/]+$"
 KINDS = {"request": "http_file", "spec": "openapi", "url": "test_url"}

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerline.plans import artifacts, catalogue, context, inventory, models, report, specifications, verification, versioned  # noqa: F401
+from ledgerline.plans import artifacts, catalogue, context, inventory, models, report, specifications, stored, verification, versioned  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -386,19 +386,21 @@ def placeholder_mismatch(spark, sf):
     return out.select("page_id", F.array_join(F.array_sort(F.array_except("n", "d")), ",").alias("missing"), F.array_join(F.array_sort(F.array_except("d", "n")), ",").alias("extra"))
 
 
-_EDGES_SQL = "edges AS (SELECT n_nationkey // 2 - 1 AS parent, n_nationkey AS child, '/' || lower(replace(n_name, ' ', '-')) AS prefix FROM nation WHERE n_nationkey > 1 UNION ALL SELECT n_nationkey, n_regionkey, '/alt' FROM nation WHERE n_nationkey % 9 = 8)"
+_EDGES_SQL = """edges AS (SELECT p_partkey // 3 AS parent, p_partkey AS child, '/b' || p_size AS prefix FROM part WHERE p_partkey > 10 UNION ALL SELECT p_partkey, p_partkey // 9, '/back' FROM part WHERE p_partkey % 7 = 0 AND p_partkey > 90 UNION ALL SELECT p_partkey, p_partkey + 1, '/alt' FROM part WHERE p_partkey % 41 = 0)"""
 
 
 @query(
-    f"""WITH RECURSIVE {_EDGES_SQL}, w AS (SELECT n_nationkey AS node, '/' || lower(replace(n_name, ' ', '-')) AS path, [n_nationkey] AS seen, 0 AS n FROM nation WHERE n_nationkey < 2
-      UNION ALL SELECT e.child, w.path || e.prefix, list_append(w.seen, e.child), w.n + 1 FROM w JOIN edges e ON e.parent = w.node WHERE NOT list_contains(w.seen, e.child) AND w.n < 16)
+    f"""WITH RECURSIVE {_EDGES_SQL}, w AS (SELECT p_partkey AS node, '/r' || p_partkey AS path, [p_partkey] AS seen FROM part WHERE p_partkey <= 10
+      UNION ALL SELECT e.child, w.path || e.prefix, list_append(w.seen, e.child) FROM w JOIN edges e ON e.parent = w.node WHERE NOT list_contains(w.seen, e.child))
     SELECT DISTINCT node, path FROM w"""
 )
 def mount_prefixes(spark, sf):
-    n = table(spark, sf, "nation").withColumn("prefix", F.concat(F.lit("/"), F.lower(F.replace("n_name", F.lit(" "), F.lit("-")))))
-    tree = n.where("n_nationkey > 1").select((F.floor(F.col("n_nationkey") / 2) - 1).cast("int").alias("parent"), F.col("n_nationkey").alias("child"), "prefix")
-    cross = n.where("n_nationkey % 9 = 8").select(F.col("n_nationkey").alias("parent"), F.col("n_regionkey").alias("child"), F.lit("/alt").alias("prefix"))
-    return graph.mount_paths(tree.unionByName(cross), n.where("n_nationkey < 2").select(F.col("n_nationkey").alias("node"), F.col("prefix").alias("path")))
+    """Trees of mounts with second mounts and with rings back to a node two steps above."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    tree = p.where("p_partkey > 10").select(F.floor(k / 3).alias("parent"), k.alias("child"), F.concat(F.lit("/b"), "p_size").alias("prefix"))
+    back = p.where("p_partkey % 7 = 0 and p_partkey > 90").select(k.alias("parent"), F.floor(k / 9).alias("child"), F.lit("/back").alias("prefix"))
+    again = p.where("p_partkey % 41 = 0").select(k.alias("parent"), (k + 1).alias("child"), F.lit("/alt").alias("prefix"))
+    return graph.mount_paths(tree.unionByName(back).unionByName(again), p.where("p_partkey <= 10").select(k.alias("node"), F.concat(F.lit("/r"), k).alias("path")))
 
 
 @query(

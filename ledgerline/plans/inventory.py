@@ -73,10 +73,10 @@ def relative_path(spark, sf):
     return derived(spark, sf, _REL).select("id", P.relative(F.col("base"), F.col("path")).alias("path"))
 
 
-@query("SELECT n_nationkey AS id, '/' || array_to_string(list_filter(['api', lower(n_name), '{id}', CASE WHEN n_nationkey % 2 = 0 THEN 'end' ELSE '' END], lambda x: x <> ''), '/') AS path FROM nation")
+@query("SELECT c_custkey AS id, '/' || array_to_string(list_filter(['api', lower(c_mktsegment), '{id}', CASE WHEN c_custkey % 2 = 0 THEN 'end' ELSE '' END], lambda x: x <> ''), '/') AS path FROM customer")
 def joined_url(spark, sf):
-    parts = F.array(F.lit("/api/"), F.lower("n_name"), F.lit("<int:id>/"), F.when(F.col("n_nationkey") % 2 == 0, "end").otherwise("/"))
-    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), P.joined_url(parts).alias("path"))
+    parts = F.array(F.lit("/api/"), F.lower("c_mktsegment"), F.lit("<int:id>/"), F.when(F.col("c_custkey") % 2 == 0, "end").otherwise("/"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), P.joined_url(parts).alias("path"))
 
 
 @query(
@@ -372,12 +372,12 @@ def service_units(spark, sf):
     return specs.services(derived(spark, sf, _TREE).distinct(), "path")
 
 
-@query("SELECT n_nationkey AS path, unnest(['a' || n_nationkey, 'b']) AS workspace FROM nation WHERE n_nationkey % 3 < 2")
+@query("SELECT c_custkey AS path, unnest(['a' || c_custkey, 'b']) AS workspace FROM customer WHERE c_custkey % 3 < 2")
 def package_workspaces(spark, sf):
-    k = F.col("n_nationkey")
+    k = F.col("c_custkey")
     listed = F.concat(F.lit('["a'), k, F.lit('","b"]'))
     text = F.when(k % 3 == 0, F.concat(F.lit('{"workspaces":'), listed, F.lit("}"))).when(k % 3 == 1, F.concat(F.lit('{"workspaces":{"packages":'), listed, F.lit("}}"))).otherwise("{broken")
-    return specs.workspaces(table(spark, sf, "nation").select(k.alias("path"), text.alias("text")), "path", "text")
+    return specs.workspaces(table(spark, sf, "customer").select(k.alias("path"), text.alias("text")), "path", "text")
 
 
 @query(
@@ -406,9 +406,9 @@ def busiest_files(spark, sf):
     return retrieval.busiest(part(spark, sf).select(k.alias("id"), F.col("p_brand").alias("file"), (F.col("p_size") % 3 == 0).alias("decorated")))
 
 
-@query("SELECT n_nationkey AS dst, count(DISTINCT s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey")
+@query("SELECT c_custkey AS dst, count(DISTINCT o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def importer_counts(spark, sf):
-    return retrieval.importers(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").alias("dst")), table(spark, sf, "nation").select(F.col("n_nationkey").alias("file")))
+    return retrieval.importers(table(spark, sf, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")), table(spark, sf, "customer").select(F.col("c_custkey").alias("file")))
 
 
 @query(

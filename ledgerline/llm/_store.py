@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_local: list[str] = []
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``.  Where it is unset a local run, as in tests, gets a temporary folder of its own; on a cluster that is an error, since
-    executors wouldn't share it."""
+    """``spark.checkpoint.dir``; there is no other place that all executors share, so without it this is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _local:
-            _local.append("file://" + tempfile.mkdtemp(prefix="ledgerline-"))
-        folder = _local[0]
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder.rstrip("/")
 
 

@@ -39,6 +39,8 @@ def _lattice(column: pa.Array):
     starts = ends - np.maximum(size, 0)
     sound = (size > 0) & (bad[ends] == bad[starts])
     for d in np.unique(size[sound]):
+        if d > MOST_DIMENSIONS:
+            raise ValueError(f"a vector of {d} entries; more than {MOST_DIMENSIONS} aren't whitened")
         rows = np.flatnonzero(sound & (size == d))
         c = np.floor(value[starts[rows][:, None] + np.arange(d)] * SCALE)
         x = np.clip(c, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
@@ -216,14 +218,12 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
     Vectors that are null or empty, or hold null or non-finite entries, give no rows.  An entry c counts as floor(256 * c), a long (beyond that, the nearest long).  The fit is over distinct
     vectors; covariances have the divisor n.  Vectors of each length are whitened on their own, with components, n and identity_error of their own; those of
-    more than MOST_DIMENSIONS entries are an error.  Components whose eigenvalue is zero in double precision give no rows, so a single distinct vector gives none.  deviation is null
+    more than MOST_DIMENSIONS entries are an error of the job.  Components whose eigenvalue is zero in double precision give no rows, so a single distinct vector gives none.  deviation is null
     where a long doesn't hold it.
 
     Repeated rows and null ids are whitened like any other.  An empty table gives an empty result.  Other columns are ignored, whatever their names.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    if rows.where(F.size("vec") > MOST_DIMENSIONS).limit(1).count():
-        raise ValueError(f"vectors of more than {MOST_DIMENSIONS} entries")
     # an aggregate: copies of a vector are combined before the shuffle, however many there are
     fit = written(rows.select("vec").mapInArrow(_packed, "d int, code int, x binary").distinct(), "fit")
     models = {r.d: Whitening(Summary.from_row(r.n, r.sums, r.scaled)) for r in merged_summaries(fit).collect()}

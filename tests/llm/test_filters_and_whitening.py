@@ -204,6 +204,12 @@ def test_whitening(spark):
     assert whiten(df.where("vec_id = 2000 or vec_id = 3000")).collect() == []  # one distinct vector has no scale
 
 
+def test_vectors_that_are_too_long(spark):
+    long = spark.range(2).select(F.col("id").alias("vec_id"), F.array_repeat(F.col("id").cast("float"), whitening_module.MOST_DIMENSIONS + 1).alias("embedding"))
+    with pytest.raises(Exception, match="aren't whitened"):
+        whiten(long)
+
+
 def test_whitening_merges_in_a_tree(spark, monkeypatch):
     rows = vectors(7, 700, 9)
     df = spark.createDataFrame(rows, VECTORS)

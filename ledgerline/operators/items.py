@@ -78,6 +78,11 @@ def test_script(method: Column, statuses: Column, fields: Column) -> Column:
 PARTS = ["method", "url", "variable", "header", "body", "auth", "description", "event", "response", "name"]
 
 
+def _as_meant(part: str) -> Column:
+    """A part's JSON in the spelling that it has within an item, where headers have no order; text that is no JSON as it is."""
+    return F.coalesce(canonical_json(F.concat(F.lit(f'{{"{part}":'), F.col(part), F.lit("}"))), F.col(part))
+
+
 def applied(live: DataFrame, routes: DataFrame, width: int = 10_000) -> DataFrame:
     """Routes (key, ord, PARTS) merged into live items (key, PARTS; each key once), one after another by ord: each sees what earlier ones of its key left.
 
@@ -97,7 +102,7 @@ def applied(live: DataFrame, routes: DataFrame, width: int = 10_000) -> DataFram
     carried = ends.select("key", "_stretch", *[F.last(c, ignorenulls=True).over(before).alias(f"_{c}") for c in lasts], *[F.first(c, ignorenulls=True).over(before).alias(f"_{c}") for c in firsts], F.last("_own").over(before).alias("_before"))
     run = rows.select("key", "ord", "_route", "_stretch", *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in lasts], *[F.first(c, ignorenulls=True).over(inside).alias(c) for c in firsts], *owned)
     now = run.join(carried, ["key", "_stretch"]).select("key", "ord", "_route", "_stretch", "_before", *[F.coalesce(c, f"_{c}").alias(c) for c in lasts], *[F.coalesce(f"_{c}", c).alias(c) for c in firsts], *owned)
-    state = now.withColumn("_now", F.struct(*[canonical_json(F.col(c)) if c in ("header", "body") else F.col(c) for c in PARTS]))
+    state = now.withColumn("_now", F.struct(*[_as_meant(c).alias(c) if c in ("header", "body") else F.col(c) for c in PARTS]))
     order = Window.partitionBy("key", "_stretch").orderBy(F.asc_nulls_first("ord"))
     # the first of a stretch is held against the end of the one before
     last = state.groupBy("key", "_stretch").agg(F.max_by("_now", F.coalesce("ord", F.lit(-(2**62)))).alias("_end")).withColumn("_past", F.lag("_end").over(Window.partitionBy("key").orderBy("_stretch"))).drop("_end")

@@ -17,22 +17,27 @@ def spec_operations(specs: DataFrame, file: str, text: str) -> DataFrame:
 
     Parameters are those of the path and of the operation; statuses are the whole numbers among the response keys; auth holds if the operation
     has a security entry and the document has schemes; body_fields are the property names of the JSON body, over one reference to a component."""
+    from .schemas import components
+
     doc = specs.select(F.col(file), F.expr(f"try_parse_json({text})").alias("d")).where("d is not null")
-    doc = doc.select(file, F.expr("try_variant_get(d, '$.paths', 'map<string,variant>')").alias("paths"), F.expr("try_variant_get(d, '$.components.schemas', 'map<string,variant>')").alias("schemas"), F.expr("try_variant_get(d, '$.components.securitySchemes', 'map<string,variant>')").alias("schemes"))
-    per_path = doc.select(file, "schemas", "schemes", F.explode("paths").alias("path", "p"))
-    ops = per_path.select(file, "schemas", "schemes", "path", F.expr("try_variant_get(p, '$.parameters', 'array<variant>')").alias("shared"), F.explode(F.expr("try_variant_get(p, '$', 'map<string,variant>')")).alias("m", "op")).where(F.upper("m").isin(METHOD_ORDER))
+    guarded = F.coalesce(F.size(F.expr("try_variant_get(d, '$.components.securitySchemes', 'map<string,variant>')")), F.lit(0)) > 0
+    doc = doc.select(file, F.expr("try_variant_get(d, '$.paths', 'map<string,variant>')").alias("paths"), guarded.alias("guarded"))
+    per_path = doc.select(file, "guarded", F.explode("paths").alias("path", "p"))
+    ops = per_path.select(file, "guarded", "path", F.expr("try_variant_get(p, '$.parameters', 'array<variant>')").alias("shared"), F.explode(F.expr("try_variant_get(p, '$', 'map<string,variant>')")).alias("m", "op")).where(F.upper("m").isin(METHOD_ORDER))
     nothing = F.array().cast("array<variant>")
     params = F.concat(F.coalesce("shared", nothing), F.coalesce(F.expr("try_variant_get(op, '$.parameters', 'array<variant>')"), nothing))
     names = F.filter(F.transform(params, lambda p: F.try_variant_get(p, "$.name", "string")), lambda n: n.isNotNull())
     schema = F.expr("try_variant_get(op, '$.requestBody.content[\"application/json\"].schema', 'variant')")
     rows = ops.withColumns({"schema": schema, "names": names})
-    ref = F.try_variant_get(F.col("schema"), "$['$ref']", "string")
-    own = F.try_variant_get(F.col("schema"), "$.properties", "map<string,variant>")
-    far = F.try_variant_get(F.try_element_at("schemas", F.regexp_extract(F.coalesce(ref, F.lit("")), "([^/]*)$", 1)), "$.properties", "map<string,variant>")
-    fields = F.coalesce(F.array_sort(F.map_keys(F.coalesce(own, far))), F.array().cast("array<string>"))
+    # a body's component is joined by its reference: no operation carries the components of its document
+    far = components(specs, file, text).select(F.col("file").alias("_file"), "ref", F.map_keys(F.try_variant_get("node", "$.properties", "map<string,variant>")).alias("_far"))
+    rows = rows.withColumn("ref", F.try_variant_get(F.col("schema"), "$['$ref']", "string"))
+    rows = rows.join(far.withColumnRenamed("ref", "_ref"), (F.col(file) == F.col("_file")) & (F.col("ref") == F.col("_ref")), "left")
+    own = F.map_keys(F.try_variant_get(F.col("schema"), "$.properties", "map<string,variant>"))
+    fields = F.coalesce(F.array_sort(F.coalesce(own, F.col("_far"))), F.array().cast("array<string>"))
     responses = F.map_keys(F.expr("try_variant_get(op, '$.responses', 'map<string,variant>')"))
     statuses = F.array_sort(F.filter(F.transform(F.coalesce(responses, F.array().cast("array<string>")), lambda s: s.try_cast("int")), lambda s: s.isNotNull()))
-    auth = (F.coalesce(F.size(F.expr("try_variant_get(op, '$.security', 'array<variant>')")), F.lit(0)) > 0) & (F.coalesce(F.size("schemes"), F.lit(0)) > 0)
+    auth = (F.coalesce(F.size(F.expr("try_variant_get(op, '$.security', 'array<variant>')")), F.lit(0)) > 0) & F.col("guarded")
     return rows.select(file, F.upper("m").alias("method"), "path", F.expr("try_variant_get(op, '$.operationId', 'string')").alias("operation_id"), F.col("names").alias("params"), fields.alias("body_fields"), statuses.alias("statuses"), auth.alias("auth"))
 
 

@@ -194,6 +194,14 @@ def test_routes_applied_in_order(spark):
         assert {(x.key, x.ord): (x.change, *(x[p] for p in items.PARTS)) for x in got} == want
 
 
+def test_headers_have_no_order(spark):
+    kinds = ", ".join(f"{p} string" for p in items.PARTS)
+    item = lambda header, body: ("GET", "u", None, header, body, None, "d", None, None, "n")
+    live = spark.createDataFrame([(1, *item('[{"key":"a"},{"key":"b"}]', '{"x":1}'))], f"key int, {kinds}")
+    routes = spark.createDataFrame([(1, 1, *item('[{"key":"b"},{"key":"a"}]', '{ "x": 1 }')), (1, 2, *item("not json", '{"x":1}')), (1, 3, *item("other", '{"x":1}')), (1, 4, *item("other", "x"))], f"key int, ord int, {kinds}")
+    assert [x.change for x in items.applied(live, routes).orderBy("ord").collect()] == ["unchanged", "modified", "modified", "modified"]
+
+
 def test_names_of_a_file(spark):
     symbols = spark.createDataFrame([(1, 1, "a", "T", "class", "", "U V"), (2, 2, "b", "T", "class", "", ""), (3, 3, "b", "U", "class", "", "Own"), (4, 4, "c", "U", "class", "", ""), (5, 5, "c", "V", "class", "In", ""), (6, 6, "d", "Own", "class", "", "Own")], "sid int, ord int, file string, name string, kind string, parent string, text string")
     imports = spark.createDataFrame([("a", "c", 2, []), ("a", "b", 1, []), ("d", "c", 1, ["U"])], "src string, dst string, ord int, names array<string>")

@@ -470,28 +470,54 @@ def test_kept_by_brute_force(spark):
     assert {x.doc_id: x.kept for x in again} == verdict
 
 
-def test_network_forward_pass():
+def test_network_forward_pass(spark):
     """Scores of the model against a plain loop over windows."""
     from ledgerline.llm import toxicity as X
 
     r = random.Random(2)
     pool = ["tree", "river", "vile", "scum", "stone", "sun", "the", "der"]
     texts = [" ".join(r.choice(pool) for _ in range(r.randint(0, 30))) for _ in range(80)]
-    model = X.Model([(t, int("vile" in t)) for t in texts])
-    net, odd = model.net, ["", "one", "never seen words here", "VILE, river!", "tree " * 3000]
+    model = X.fitted(spark, [(t, int("vile" in t)) for t in texts])
+    odd = ["", "one", "never seen words here", "VILE, river!", "tree " * 3000]
     for text in texts[:10] + odd:
         data = np.frombuffer(text.encode() + b"\0" * 8, np.uint8).copy()
         h, first, language = X.word_hashes(data, np.array([0, len(data) - 8]))
-        e = [net.p["e"][int(np.flatnonzero(net.words == x)[0]) + 1] if x in net.words else np.zeros(X.WIDTH) for x in h]
-        pooled = []
-        for w in X.WIDTHS:
-            seen = [sum(e[k + j] @ net.p[f"w{w}"][j] for j in range(w)) + net.p[f"b{w}"] for k in range(len(e) - w + 1)]
-            pooled.append(np.maximum(np.max(seen, axis=0), 0) if seen else np.zeros(X.FILTERS))
-        z = np.concatenate(pooled) @ net.p["v"] + net.p["c"][0] - model.cuts[language[0]] + np.log(0.7 / 0.3)
-        for tables in (None, net.tables()):
+        raw = []
+        for net in model.nets:
+            e = [net.p["e"][int(np.flatnonzero(net.words == x)[0]) + 1] if x in net.words else np.zeros(X.WIDTH) for x in h]
+            pooled = []
+            for w in X.WIDTHS:
+                seen = [sum(e[k + j] @ net.p[f"w{w}"][j] for j in range(w)) + net.p[f"b{w}"] for k in range(len(e) - w + 1)]
+                pooled.append(np.maximum(np.max(seen, axis=0), 0) if seen else np.zeros(X.FILTERS))
+            raw.append(np.concatenate(pooled) @ net.p["v"] + net.p["c"][0])
+        z = sum(raw) / len(raw) - model.cuts[language[0]] + np.log(0.7 / 0.3)
+        for tables in (None, model.tables()):
             assert abs(model.score(data, np.array([0, len(data) - 8]), tables)[0] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-4
 
 
+def test_cutoffs_by_language():
+    """Two languages that need different cutoffs get them; few toxic rows draw a language's cutoff only part of the way."""
+    from ledgerline.llm import toxicity as X
+
+    def cutoffs(german: int) -> np.ndarray:
+        rows = [("the tree and the sun", k % 2) for k in range(400)] + [("der Baum und die Sonne", k % 2) for k in range(german)]
+        sample = X.Sample(rows)
+        assert set(sample.language) == {0, 2} and all(abs(sample.label[sample.fold == k].mean() - 0.5) < 0.1 for k in range(X.FOLDS))
+        # English rows are toxic from 10 on, German ones from -10 on
+        z = np.where(sample.label == 1, 1.0, -1.0) + np.where(sample.language == 0, 10, -10)
+        return sample.cutoffs([z[sample.fold == k] for k in range(X.FOLDS)], 1.0)
+
+    many, few = cutoffs(400), cutoffs(8)
+    for cuts, toxic in ((many, {0: 200, 2: 200}), (few, {0: 200, 2: 4})):
+        for k, own in ((0, 10), (2, -10)):
+            weight = toxic[k] / (toxic[k] + X.HALF_WEIGHT)
+            assert abs(cuts[k] - (cuts[4] + weight * (own - cuts[4]))) < 1e-9
+        assert cuts[1] == cuts[3] == cuts[4] and cuts[2] < cuts[0]
+    assert many[2] < -8 < 5 < few[2] < few[4]
+    none = X.Sample([])
+    assert list(none.cutoffs([np.zeros(0)] * X.FOLDS, 1.0)) == [0.0] * 5 and X.Sample([("a", 1)]).cutoffs([np.zeros(0), np.zeros(1), *[np.zeros(0)] * 2], 1.0)[0] == 0
+
+
 def test_toxicity_of_odd_rows(spark):
     rows = [(i, ("vile %d" if i % 2 else "fine %d") % i) for i in range(60)] + [(7, "another text"), (61, "word " * 200000), (62, "fine 2"), (62, "fine 2")]
     got = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int")).collect()

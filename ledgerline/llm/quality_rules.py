@@ -2,13 +2,18 @@
 
 Counts come from whole texts.  For each of a few ratios a quantile sketch is built per language and source, merged per language
 and over all: counts of values in buckets whose bounds grow by the factor GROWTH, so that sketches merge by adding counts, give the same result in any
-order, and each quantile is off by a relative (GROWTH - 1) / 2 at most.  The quantiles of a group are blended with those of its language and of all rows, by a weight that grows with the group,
-and turned to an upper and a lower fence, with which its rows are joined.  Sketches merge, so the aggregation combines before its shuffle, however large one source is.
+order, and each quantile is off by a relative (GROWTH - 1) / 2 at most.  Sketches merge, so the aggregation combines before its shuffle, however large one source is.
+
+A fence is a centre and a distance.  The centre is the group's median, blended with those of its language and of all rows by a weight that grows with
+the group; the distance is a robust spread of its language blended with that of all rows, so that a group's own tail never widens its fence.  Ratios that
+most sound rows don't have at all (HABITS: repeated lines and words) take medians and spreads of the rows that have them, by factors instead of differences.
+Fences are joined with the rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +27,13 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A fence lies SPREAD times the distance from the median to the outer quantile beyond that quantile, and at least a margin from it: the distance
+#: A fence lies SPREAD times the distance from the median to the quartile beyond the median, and at least a margin from it: the distance
 #: from the median to the FAR quantile over all rows, within the bounds of MARGIN.
-OUTER, SPREAD, FAR = 0.9, 3.0, 0.99
-MARGIN = {"symbol_ratio": (0.02, 0.05), "dup_line_ratio": (0.1, 0.2), "repeat_ratio": (0.05, 0.2), "mean_chars": (1.0, 2.0)}
+QUARTILE, SPREAD, FAR = 0.75, 10.0, 0.99
+MARGIN = {"symbol_ratio": (0.02, 0.05), "mean_chars": (1.0, 2.0)}
+#: Ratios with an upper fence alone: the median of the values above zero times the FACTOR_POWER-th power of their OUTER quantile over their median.
+#: While few values are above zero they say little: the fence is blended with PRIOR, which weighs as much as PRIOR_WEIGHT of them.
+HABITS, OUTER, FACTOR_POWER, PRIOR, PRIOR_WEIGHT = ("dup_line_ratio", "repeat_ratio"), 0.9, 2.0, 0.2, 20
 #: So many rows of a group weigh as much as the next wider group.
 HALF_WEIGHT = 200
 GROWTH = 1.01
@@ -85,34 +93,45 @@ def fences(counts: DataFrame) -> DataFrame:
     ratios = _ratios()
     sound = counts.where(~_base_failed()).select("lang", "source", *(r.alias(n) for n, r in ratios.items()))
     sketch = _sketch(sound, list(ratios))
-    places = {"low": 1 - OUTER, "mid": 0.5, "high": OUTER}
-    far = {"far_low": 1 - FAR, "far_high": FAR}
+    places = {r: {"mid": 0.5, "high": OUTER} if r in HABITS else {"low": 1 - QUARTILE, "mid": 0.5, "high": QUARTILE} for r in ratios}
+    far = {r: {} if r in HABITS else {"far_low": 1 - FAR, "far_high": FAR} for r in ratios}
 
-    def quantiles(keys: list[str], mark: str, at: dict[str, float]) -> DataFrame:
-        """One row a group: its number of rows and the quantiles of each ratio; a group's buckets are few, whatever its size."""
-        merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
+    def quantiles(keys: list[str], mark: str, more: dict[str, dict[str, float]] | None = None) -> DataFrame:
+        """One row a group: for each ratio its number of values and their quantiles, of HABITS of values above zero; a group's buckets are few, whatever its size."""
+        merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n")).where(F.col("bucket").isNotNull() | ~F.col("ratio").isin(*HABITS))
         group = Window.partitionBy(*keys, "ratio")
         ranked = merged.withColumns({"upto": F.sum("n").over(group.orderBy(F.asc_nulls_first("bucket"))), "total": F.sum("n").over(group)})
         value = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bucket")) * (2 / (1 + GROWTH)))
-        picks = [F.min(F.when((F.col("ratio") == r) & (F.col("upto") >= q * F.col("total")), value)).alias(f"{mark}_{r}_{k}") for r in ratios for k, q in at.items()]
-        return ranked.groupBy(*keys).agg(F.max("total").alias(f"{mark}_n"), *picks)
-
-    wide = quantiles(["lang"], "wide", places).withColumnRenamed("lang", "l")
-    whole = quantiles([], "whole", places | far).where("whole_n > 0")  # one row
-    joined = quantiles(["lang", "source"], "fine", places).join(wide, F.col("lang").eqNullSafe(F.col("l"))).drop("l").crossJoin(F.broadcast(whole))
-
-    def blend(c: str) -> Column:
-        out = F.col(f"whole_{c}")
-        for mark in ("wide", "fine"):
-            weight = F.col(f"{mark}_n") / (F.col(f"{mark}_n") + HALF_WEIGHT)
-            out = weight * F.col(f"{mark}_{c}") + (1 - weight) * out
+        picks = [F.min(F.when((F.col("ratio") == r) & (F.col("upto") >= q * F.col("total")), value)).alias(f"{mark}_{r}_{k}") for r in ratios for k, q in (places[r] | (more or {}).get(r, {})).items()]
+        return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("ratio") == r, F.col("total"))).alias(f"{mark}_{r}_n") for r in ratios), *picks)
+
+    wide = quantiles(["lang"], "wide").withColumnRenamed("lang", "l")
+    whole = quantiles([], "whole", far)  # one row
+    joined = quantiles(["lang", "source"], "fine").join(wide, F.col("lang").eqNullSafe(F.col("l"))).drop("l").crossJoin(F.broadcast(whole))
+
+    def blend(name: str, value: Callable[[str], Column], *marks: str) -> Column:
+        """value over all rows, drawn towards that of each mark's group by its number of values."""
+        out = value("whole")
+        for mark in marks:
+            n = F.coalesce(F.col(f"{mark}_{name}_n"), F.lit(0))
+            out = F.when(n == 0, out).otherwise((n * value(mark) + HALF_WEIGHT * out) / (n + HALF_WEIGHT))
         return out
 
     def pair(name: str) -> list[Column]:
-        low, mid, high = (blend(f"{name}_{k}") for k in places)
+        def at(k: str) -> Callable[[str], Column]:
+            return lambda mark: F.col(f"{mark}_{name}_{k}")
+
+        centre = blend(name, at("mid"), "wide", "fine")
+        if name in HABITS:
+            factor = blend(name, lambda mark: at("high")(mark) / at("mid")(mark), "wide")
+            n = F.coalesce(F.col(f"whole_{name}_n"), F.lit(0))
+            seen = F.coalesce(centre * F.pow(factor, F.lit(FACTOR_POWER)), F.lit(0.0))
+            return [F.lit(0.0).alias(f"{name}_lo"), ((n * seen + PRIOR_WEIGHT * PRIOR) / (n + PRIOR_WEIGHT)).alias(f"{name}_hi")]
         least, most = map(F.lit, MARGIN[name])
-        down, up = (F.greatest(least, F.least(most, d)) for d in (F.col(f"whole_{name}_mid") - F.col(f"whole_{name}_far_low"), F.col(f"whole_{name}_far_high") - F.col(f"whole_{name}_mid")))
-        return [(low - F.greatest(SPREAD * (mid - low), down)).alias(f"{name}_lo"), (high + F.greatest(SPREAD * (high - mid), up)).alias(f"{name}_hi")]
+        mid = F.col(f"whole_{name}_mid")
+        down, up = (F.greatest(least, F.least(most, d)) for d in (mid - F.col(f"whole_{name}_far_low"), F.col(f"whole_{name}_far_high") - mid))
+        below, above = (blend(name, lambda mark: f(at("mid")(mark), mark), "wide") for f in (lambda m, mark: m - at("low")(mark), lambda m, mark: at("high")(mark) - m))
+        return [(centre - F.greatest(SPREAD * below, down)).alias(f"{name}_lo"), (centre + F.greatest(SPREAD * above, up)).alias(f"{name}_hi")]
 
     return joined.select("lang", "source", *(c for n in ratios for c in pair(n)))
 
@@ -136,9 +155,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     limits = written(fences(counts), "fences").withColumnsRenamed({"lang": "l", "source": "s"})
     inside = F.lit(True)
     for name, ratio in _ratios().items():
-        inside = inside & ratio.between(F.col(f"{name}_lo"), F.col(f"{name}_hi"))
+        inside = inside & F.coalesce(ratio.between(F.col(f"{name}_lo"), F.col(f"{name}_hi")), F.lit(True))
     joined = counts.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    kept = ~_base_failed() & F.coalesce(inside, F.lit(True))
+    kept = ~_base_failed() & inside
     return joined.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _base_failed().alias("base_failed"), kept.alias("kept"))
 
 

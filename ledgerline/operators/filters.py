@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.routes import normalize_path
 
@@ -40,12 +40,20 @@ def of_changed_files(routes: DataFrame, ref: str, changed: DataFrame, file: str)
 def grounded_spans(spans: DataFrame, symbols: DataFrame, candidates: DataFrame, pad: int = 2, block: int = 256) -> DataFrame:
     """spans (id, file, lo, hi) with grounded: a symbol (file, s_lo, s_hi) overlaps them, or a candidate (file, line) lies in them or pad lines around.
 
-    Both joins are on file and block of lines, so that one large file is dealt out."""
-    blocks = lambda lo, hi: F.explode(F.sequence(F.floor(lo / block), F.floor(hi / block))).alias("_b")
-    s = spans.select("id", "file", "lo", "hi", blocks(F.col("lo") - pad, F.col("hi") + pad))
-    one = s.join(symbols.select("file", "s_lo", "s_hi", blocks(F.col("s_lo"), F.col("s_hi"))), ["file", "_b"]).where("s_hi >= lo and s_lo <= hi").select("id")
-    two = s.join(candidates.select("file", "line", F.floor(F.col("line") / block).alias("_b")), ["file", "_b"]).where(F.col("line").between(F.col("lo") - pad, F.col("hi") + pad)).select("id")
-    return spans.join(one.unionByName(two).distinct().withColumn("grounded", F.lit(True)), "id", "left").fillna(False, ["grounded"])
+    Nothing is paired: of what begins at or before a span's end only the furthest end counts, which is a running maximum along the file.  It is taken within blocks of lines and carried over by one row a
+    block, so that one large file is dealt out; equal spans, and symbols that begin at the same line, are one row."""
+    known = symbols.where("s_lo <= s_hi").select("file", F.lit(0).alias("kind"), F.col("s_lo").cast("long").alias("at"), F.col("s_hi").cast("long").alias("end")).unionByName(candidates.select("file", F.lit(1).alias("kind"), F.col("line").cast("long").alias("at"), F.col("line").cast("long").alias("end")))
+    known = known.where("file is not null and at is not null and end is not null").groupBy("file", "kind", "at").agg(F.max("end").alias("end"))
+    around = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col("lo") - p).cast("long").alias("from"), (F.col("hi") + p).cast("long").alias("at")) for k, p in ((0, 0), (1, pad))])
+    asked = spans.where("file is not null").select("file", "lo", "hi", F.inline(around)).distinct()
+    rows = known.select("file", "kind", "at", "end", F.lit(None).cast("long").alias("from"), F.lit(None).cast(spans.schema["lo"].dataType).alias("lo"), F.lit(None).cast(spans.schema["hi"].dataType).alias("hi")).unionByName(asked.withColumn("end", F.lit(None).cast("long")))
+    rows = rows.withColumn("_b", F.floor(F.col("at") / block))
+    before = Window.partitionBy("file", "kind").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("file", "kind", "_b").agg(F.max("end").alias("end")).select("file", "kind", "_b", F.max("end").over(before).alias("_past"))
+    upto = Window.partitionBy("file", "kind", "_b").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = rows.withColumn("_end", F.max("end").over(upto)).where("lo is not null").join(carried, ["file", "kind", "_b"])
+    hit = ends.where(F.greatest("_end", "_past") >= F.col("from")).select("file", "lo", "hi").distinct().withColumn("grounded", F.lit(True))
+    return spans.join(hit, ["file", "lo", "hi"], "left").select(*spans.columns, F.coalesce("grounded", F.lit(False)).alias("grounded"))
 
 
 def corroborated(routes: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .stores import written
+from .stores import dealt, written
 
 #: Capitalised words that are never looked up, and how many steps types are followed.
 STOP_WORDS = ["True", "False", "None", "Optional", "List", "Dict", "Set", "Tuple", "Union", "Any", "Callable", "Type", "String", "Number", "Boolean", "Promise", "Array", "Object", "Depends", "Field", "BaseModel", "Enum", "Exception", "Error"]
@@ -52,7 +52,7 @@ def expanded_types(seeds: DataFrame, symbols: DataFrame, imports: DataFrame, ste
     front = seen
     for depth in range(1, steps + 1):
         step = front.select("seed", "sid").join(edges, "sid").select("seed", F.col("to").alias("sid")).distinct()
-        front = written(step.join(seen.select("seed", "sid"), ["seed", "sid"], "left_anti").withColumn("depth", F.lit(depth)), "types")
+        front = written(step.join(dealt(seen.select("seed", "sid")), ["seed", "sid"], "left_anti").withColumn("depth", F.lit(depth)), "types")
         seen = seen.unionByName(front)
         out.append(front)
     found = out[0]

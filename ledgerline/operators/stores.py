@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 
+#: Written tables of more rows than this are dealt().
+BROADCAST_ROWS = 50_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which all executors share; there is no other place that would be safe on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,19 +19,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, whose joins deal out both sides by key, unless the other side is marked to be broadcast.
+
+    Spark judges a table by the size of its files.  Rows that repeat are packed a hundredfold there, so what it takes for a few MB and sends through the driver may be a GB."""
+    return df.hint("merge")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once below the shared folder and read back; cuts lineage and plan."""
-    path = f"{shared_folder(df.sparkSession)}/ledgerline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written_with(df, name)[0]
 
 
 def written_with(df: DataFrame, name: str, condition: Column | None = None) -> tuple[DataFrame, bool]:
     """written(), and whether any row (for which the condition holds) is there: seen by the write itself, so rounds that end when nothing is left need no job to find out."""
     seen = Observation()
     counted = F.count(F.lit(1)) if condition is None else F.count_if(condition)
-    rows = written(df.observe(seen, counted.alias("n")), name)
-    return rows, seen.get["n"] > 0
+    path = f"{shared_folder(df.sparkSession)}/ledgerline/{name}-{uuid.uuid4().hex}"
+    df.observe(seen, counted.alias("n"), F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    rows, told = df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+    return dealt(rows) if told["rows"] > BROADCAST_ROWS else rows, told["n"] > 0
 
 
 def save_by_content(docs: DataFrame, folder: str, content: str = "content") -> DataFrame:

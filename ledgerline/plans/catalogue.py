@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import routes as R
 from ..operators import budget, context, dedupe, diff, evidence, graph, incremental, intervals, matching, merge, scoring
+from ..operators.stores import dealt
 from ..sources import mining
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +26,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return rows if name in ("nation", "region") else dealt(rows)
 
 
 # routes of pages: GET:/normalized/path

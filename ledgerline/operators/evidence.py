@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.paths import metadata_key
 from ..functions.routes import is_confined, snippet_hash
 from .intervals import overlapping
+from .stores import dealt
 from .temporal import as_of
 
 #: Verdicts from best to worst.
@@ -27,9 +28,9 @@ def audit(claims: DataFrame, files: DataFrame, file: str = "file", text: str = "
     The span's lines come out of the file's own row by slicing, so claims join files on the file alone: no range join is needed.  A span that runs over
     the end uses the lines that are there."""
     lines = files.select(file, F.split(F.regexp_replace(text, r"\n$", ""), "\n").alias("_lines"))
-    joined = claims.join(lines, file, "left")
+    joined = claims.join(dealt(lines), file, "left")
     if past is not None:
-        joined = joined.join(past.select(file, "line_start", "line_end", F.col("past_sha256").alias("_past")), [file, "line_start", "line_end"], "left")
+        joined = joined.join(dealt(past.select(file, "line_start", "line_end", F.col("past_sha256").alias("_past"))), [file, "line_start", "line_end"], "left")
     start = F.greatest(F.col("line_start"), F.lit(1))
     there = F.slice("_lines", start, F.greatest(F.least(F.col("line_end"), F.size("_lines")) - start + 1, F.lit(0)))
     holds = (F.coalesce(F.col("symbol"), F.lit("")) == "") | F.exists(there, lambda x: F.contains(x, F.col("symbol"))) if "symbol" in claims.columns else F.lit(True)
@@ -49,7 +50,7 @@ def history(claims: DataFrame, versions: DataFrame, commits: DataFrame, width: i
     dated = claims.join(commits.select("commit", F.col("at").alias("_moment")), "commit", "left")
     placed = as_of(dated, versions.select("file", F.col("at").alias("_version_at")), "file", "_moment", "_version_at", width)
     texts = versions.select("file", F.col("at").cast("long").alias("_version_at"), F.split(F.regexp_replace("text", r"\n$", ""), "\n").alias("_then"))
-    return placed.join(texts, ["file", "_version_at"], "left").select(*claims.columns, "_then")
+    return placed.join(dealt(texts), ["file", "_version_at"], "left").select(*claims.columns, "_then")
 
 
 def audit_at_commit(claims: DataFrame, files: DataFrame, versions: DataFrame, commits: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .stores import written, written_with
+from .stores import dealt, written, written_with
 
 
 def ring_nodes(edges: DataFrame) -> DataFrame:
@@ -130,4 +130,4 @@ def resolved_classes(classes: DataFrame, inert: list) -> DataFrame:
     while some:
         front, some = written_with(front.join(over, "cls").select(F.col("sub").alias("cls")).distinct().join(bad, "cls", "left_anti"), "bad")
         bad = bad.unionByName(front)
-    return ways.join(bad.distinct().select(F.col("cls").alias("top"), F.lit(True).alias("_bad")), "top", "left").select("cls", (F.col("ok") & F.col("_bad").isNull()).alias("fully_resolved"))
+    return ways.join(dealt(bad.distinct().select(F.col("cls").alias("top"), F.lit(True).alias("_bad"))), "top", "left").select("cls", (F.col("ok") & F.col("_bad").isNull()).alias("fully_resolved"))

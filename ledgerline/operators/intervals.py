@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .stores import dealt
+
 
 def overlapping(a: DataFrame, b: DataFrame, on: str, width: int) -> DataFrame:
     """Pairs of a (a_id, a_lo, a_hi) and b (b_id, b_lo, b_hi) that share ``on`` and overlap.
@@ -12,7 +14,7 @@ def overlapping(a: DataFrame, b: DataFrame, on: str, width: int) -> DataFrame:
     bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
     x, y = a.withColumn("_bin", bins("a_lo", "a_hi")), b.withColumn("_bin", bins("b_lo", "b_hi"))
     meet = (F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi")) & (F.col("_bin") == F.floor(F.greatest("a_lo", "b_lo") / width))
-    return x.join(y, [on, "_bin"]).where(meet).drop("_bin")
+    return x.join(dealt(y), [on, "_bin"]).where(meet).drop("_bin")
 
 
 def tightest(points: DataFrame, spans: DataFrame, on: str, width: int) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .stores import dealt
+
 
 def as_of(points: DataFrame, versions: DataFrame, key: str, at: str, version_at: str, width: int) -> DataFrame:
     """points with ``version_at``: of the versions (key, version_at) of the same key the last one at or before ``at``; null if there is none.
@@ -16,6 +18,6 @@ def as_of(points: DataFrame, versions: DataFrame, key: str, at: str, version_at:
     inside = Window.partitionBy(key, "_stretch").orderBy("_at", F.asc_nulls_last("_version")).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.groupBy(key, "_stretch").agg(F.max("_version").alias("_last")).withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).drop("_last")
-    found = rows.withColumn("_found", F.last("_version", ignorenulls=True).over(inside)).where("_version is null").join(carried, [key, "_stretch"])
+    found = rows.withColumn("_found", F.last("_version", ignorenulls=True).over(inside)).where("_version is null").join(dealt(carried), [key, "_stretch"])
     found = found.select(F.col(key), F.col("_at").alias(at), F.coalesce("_found", "_carried").alias(version_at))
-    return points.join(found, [key, at], "left")
+    return points.join(dealt(found), [key, at], "left")

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import routes as R
+from .stores import dealt
 
 #: The methods that an endpoint may have, and where the claims of a model end.
 HTTP_METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
@@ -75,13 +76,13 @@ def audit_findings(audited: DataFrame) -> DataFrame:
 def duplicates(endpoints: DataFrame) -> DataFrame:
     """V-05: every endpoint of a uid that several have, with how many others there are; one aggregate joined back, no lists."""
     many = endpoints.groupBy("uid").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
-    return endpoints.join(many, "uid").select("id", "uid", F.lit("V-05").alias("rule"), F.lit("reject").alias("severity"), F.col("others").cast("string").alias("detail"))
+    return endpoints.join(dealt(many), "uid").select("id", "uid", F.lit("V-05").alias("rule"), F.lit("reject").alias("severity"), F.col("others").cast("string").alias("detail"))
 
 
 def duplicate_files(endpoints: DataFrame) -> DataFrame:
     """uid, file, n: the files that the members of a repeated uid stand in, once each with how many of them do; what V-05 names, without pairing members."""
     many = endpoints.groupBy("uid").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("uid")
-    return endpoints.where("file is not null").join(many, "uid", "left_semi").groupBy("uid", "file").agg(F.count(F.lit(1)).alias("n"))
+    return endpoints.where("file is not null").join(dealt(many), "uid", "left_semi").groupBy("uid", "file").agg(F.count(F.lit(1)).alias("n"))
 
 
 def shadowing(endpoints: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def shadowing(endpoints: DataFrame) -> DataFrame:
     masked = at.select("id", "uid", "file", "method", rest.alias("rest"), is_param.alias("param"))
     met = masked.groupBy("file", "method", "rest").agg(F.count_if("param").alias("params"), F.count_if(~F.col("param")).alias("literals")).where("params > 0 and literals > 0")
     across = F.when(F.col("param"), F.col("literals")).otherwise(F.col("params"))
-    found = masked.join(met, ["file", "method", "rest"]).groupBy("id", "uid").agg(F.sum(across).alias("n"))
+    found = masked.join(dealt(met), ["file", "method", "rest"]).groupBy("id", "uid").agg(F.sum(across).alias("n"))
     return found.select("id", "uid", F.lit("V-06").alias("rule"), F.lit("warn").alias("severity"), F.col("n").cast("string").alias("detail"))
 
 
@@ -109,8 +110,8 @@ def crosscheck(endpoints: DataFrame, witness: DataFrame) -> DataFrame:
     last = witness.groupBy("uid").agg(F.max_by(F.struct(*rest), "ord").alias("w")).select("uid", "w.*")
     by_uid = last.select("uid", F.lit(True).alias("hit"), F.col("path").alias("w_path"), F.col("auth").alias("w_auth"))
     handler = last.groupBy(F.upper("method").alias("h_method"), F.col("file").alias("h_file")).agg(F.max_by(F.struct("uid", "path", "auth"), "ord").alias("h"))
-    one = endpoints.join(by_uid, "uid", "left")
-    both = one.join(handler, F.col("hit").isNull() & (F.upper("method") == F.col("h_method")) & (F.col("file") == F.col("h_file")), "left")
+    one = endpoints.join(dealt(by_uid), "uid", "left")
+    both = one.join(dealt(handler), F.col("hit").isNull() & (F.upper("method") == F.col("h_method")) & (F.col("file") == F.col("h_file")), "left")
     state = F.when(F.col("hit"), "agreed").when(F.col("h").isNotNull(), "handler").when(F.col("clean") & F.col("signal"), "unseen").otherwise("invented")
     return both.withColumns({
         "state": state, "used": F.when(F.col("hit"), F.col("uid")).otherwise(F.col("h.uid")), "seen_path": F.coalesce("w_path", "h.path"), "seen_auth": F.coalesce("w_auth", "h.auth"),
@@ -125,7 +126,7 @@ def witness_findings(checked: DataFrame, witness: DataFrame) -> DataFrame:
         ((F.col("state") == "handler") & (R.normalize_path(F.col("seen_path")) != R.normalize_path(F.col("path"))), _finding("V-12", "warn", F.col("seen_path"))),
         ((F.col("state") == "agreed") & (F.col("seen_auth") != F.col("auth")), _finding("V-13", "warn", F.col("seen_auth").cast("string"))),
     ]
-    omitted = witness.select("uid").distinct().join(checked.select(F.col("used").alias("uid")), "uid", "left_anti")
+    omitted = witness.select("uid").distinct().join(dealt(checked.select(F.col("used").alias("uid"))), "uid", "left_anti")
     omitted = omitted.select(F.lit(None).cast("long").alias("id"), F.concat(F.lit("__omitted__:"), "uid").alias("uid"), F.lit("V-08").alias("rule"), F.lit("warn").alias("severity"), F.lit("omitted").alias("detail"))
     return _rows(checked, rules).unionByName(omitted)
 
@@ -146,8 +147,8 @@ def grounding(claims: DataFrame, fields: DataFrame, classes: DataFrame) -> DataF
     """claims (id, uid, cls, field) with state grounded, unknown (the class has a base that is not resolved) or ungrounded; unknown classes are left out.
 
     fields: cls, field, own and inherited; classes: cls, fully_resolved."""
-    known = claims.join(classes.select("cls", "fully_resolved"), "cls")
-    hit = known.join(fields.select("cls", "field").distinct().withColumn("hit", F.lit(True)), ["cls", "field"], "left")
+    known = claims.join(dealt(classes.select("cls", "fully_resolved")), "cls")
+    hit = known.join(dealt(fields.select("cls", "field").distinct().withColumn("hit", F.lit(True))), ["cls", "field"], "left")
     return hit.select("id", "uid", "cls", "field", F.when(F.col("hit"), "grounded").when(F.col("fully_resolved"), "ungrounded").otherwise("unknown").alias("state"))
 
 

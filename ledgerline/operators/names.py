@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .stores import dealt, written
+from .stores import BROADCAST_ROWS, counted, dealt, spread, streamed
 
 #: Capitalised words that are never looked up, and how many steps types are followed.
 STOP_WORDS = ["True", "False", "None", "Optional", "List", "Dict", "Set", "Tuple", "Union", "Any", "Callable", "Type", "String", "Number", "Boolean", "Promise", "Array", "Object", "Depends", "Field", "BaseModel", "Enum", "Exception", "Error"]
@@ -20,50 +20,71 @@ def resolved(asked: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFr
 
     1: the first symbol of the file itself; 2: of a file from which the name is imported, in the order of imports; 3: of a file that is imported as a whole; 4: the only one
     of that name anywhere.  Only symbols at the top of a file count.  Each tier is an equi-join; tier 3 joins the modules that a file imports, not their symbols."""
-    want = asked.select("name", "file").distinct()
-    top = symbols.where("parent = ''").select("sid", "name", F.col("file").alias("at"), F.col("ord").alias("place"))
-    own = want.join(top, (want.name == top.name) & (want.file == top["at"])).select(want.name, want.file, "sid", F.lit(1).alias("tier"), F.lit(0).cast("long").alias("edge"), "place")
+    asked, n = counted(asked.select("name", "file"), "asked")
+    return _found(asked, n, symbols, imports).select("name", "file", "sid", "tier")
+
+
+def _found(asked: DataFrame, n: int, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """resolved() of n rows, with kind and file (there) of what was found, in partitions by name and file.
+
+    A name or file that all others use makes very many rows of one key; these run past the symbols, of which a name and file has one, and past the names of one symbol."""
+    want, n = counted(spread(asked.select("name", "file"), n, "name", "file").distinct(), "asked")
+    want = spread(want, n, "name", "file")
+    found = F.struct(F.col("ord").cast("long").alias("place"), "sid", "kind", F.col("file").alias("there"))
+    top = symbols.where("parent = ''").select("name", F.col("file").alias("at"), found.alias("s"))
+    first = streamed(top.groupBy("name", "at").agg(F.min("s").alias("s")))
+    row = lambda df, tier, edge: df.select("name", "file", F.struct(F.lit(tier).alias("tier"), edge.cast("long").alias("edge"), "s.place", "s.sid", "s.kind", "s.there").alias("b"))
+    own = row(want.join(first.withColumnRenamed("at", "file"), ["name", "file"]), 1, F.lit(0))
     edges = imports.select(F.col("src").alias("file"), F.col("dst").alias("at"), F.col("ord").cast("long").alias("edge"), "names")
-    named = edges.where("size(names) > 0").select("file", "at", "edge", F.explode(F.array_distinct("names")).alias("name"))
-    second = want.join(named, ["name", "file"]).join(top, ["name", "at"]).select("name", "file", "sid", F.lit(2).alias("tier"), "edge", "place")
-    third = want.join(edges.where("size(names) = 0").drop("names"), "file").join(top, ["name", "at"]).select("name", "file", "sid", F.lit(3).alias("tier"), "edge", "place")
-    single = top.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("sid")).where("n = 1")
-    fourth = want.join(single, "name").select("name", "file", "sid", F.lit(4).alias("tier"), F.lit(0).cast("long").alias("edge"), F.lit(0).cast("long").alias("place"))
-    found = own.withColumn("place", F.col("place").cast("long")).unionByName(second.withColumn("place", F.col("place").cast("long"))).unionByName(third.withColumn("place", F.col("place").cast("long"))).unionByName(fourth)
-    best = found.groupBy("name", "file").agg(F.min_by(F.struct("sid", "tier"), F.struct("tier", "edge", "place")).alias("b"))
-    return best.select("name", "file", "b.sid", "b.tier")
+    named = edges.where("size(names) > 0").select("file", "at", "edge", F.explode(F.array_distinct("names")).alias("name")).groupBy("file", "at", "name").agg(F.min("edge").alias("edge"))
+    second = row(want.join(dealt(named), ["name", "file"]).join(first, ["name", "at"]), 2, F.col("edge"))
+    whole = edges.where("size(names) = 0").groupBy("file", "at").agg(F.min("edge").alias("edge"))
+    third = row(want.join(dealt(whole), "file").join(first, ["name", "at"]), 3, F.col("edge"))
+    single = top.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s")).where("n = 1").drop("n")
+    fourth = row(want.join(streamed(single), "name").withColumn("s", F.col("s").withField("place", F.lit(0).cast("long"))), 4, F.lit(0))
+    every = own.unionByName(second).unionByName(third).unionByName(fourth)
+    best = spread(every, 4 * n, "name", "file").groupBy("name", "file").agg(F.min("b").alias("b"))
+    return best.select("name", "file", "b.sid", "b.tier", "b.kind", "b.there")
+
+
+def _seen(words: DataFrame, symbols: DataFrame, imports: DataFrame) -> tuple[DataFrame, int]:
+    """words (sid, file, name) with what each name leads to: to, kind, there; and the number of words."""
+    words, n = counted(words, "words")
+    found = _found(words, n, symbols, imports).withColumnRenamed("sid", "to")
+    return spread(words, n, "name", "file").join(dealt(spread(found, n, "name", "file")), ["name", "file"]), n
 
 
 def type_edges(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """sid, to: classes that each symbol's text names, as its file sees them, stop words left out."""
     words = symbols.select("sid", "file", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TYPE), 1))).alias("name")).where(~F.col("name").isin(STOP_WORDS))
-    classes = symbols.where("kind = 'class'").select(F.col("sid").alias("to"))
-    seen = resolved(words, symbols, imports).withColumnRenamed("sid", "to").join(classes, "to", "left_semi")
-    return words.join(seen, ["name", "file"]).select("sid", "to").distinct()
+    seen, n = _seen(words, symbols, imports)
+    return spread(seen.where("kind = 'class'").select("sid", "to"), n, "sid").distinct()
 
 
 def expanded_types(seeds: DataFrame, symbols: DataFrame, imports: DataFrame, steps: int = TYPE_STEPS) -> DataFrame:
     """seed, sid, depth: classes reached from each seed (seed, sid) in at most steps, with the least number of steps.
 
-    A round follows what the round before found and takes off all that the seed has seen, itself included, so that rings end and nothing is followed twice."""
-    edges = written(type_edges(symbols, imports), "edges")
-    front = seeds.select("seed", "sid").distinct()
-    seen, out = written(front.withColumn("depth", F.lit(0)), "types"), []
-    front = seen
+    A round follows what the round before found and takes off all that the seed has seen, itself included, so that rings end and nothing is followed twice.  Classes that many reach run
+    past the edges, of which a class has as many as its text names."""
+    edges, n_edges = counted(type_edges(symbols, imports), "edges")
+    fan = -(-n_edges // max(1, edges.select("sid").distinct().count()))
+    seen, n = counted(seeds.select("seed", "sid").distinct().withColumn("depth", F.lit(0)), "types")
+    front, out, total = seen, [], n
     for depth in range(1, steps + 1):
-        step = front.select("seed", "sid").join(edges, "sid").select("seed", F.col("to").alias("sid")).distinct()
-        front = written(step.join(dealt(seen.select("seed", "sid")), ["seed", "sid"], "left_anti").withColumn("depth", F.lit(depth)), "types")
-        seen = seen.unionByName(front)
+        step = spread(front.select("seed", "sid"), max(n, n_edges), "sid").join(streamed(spread(edges, max(n, n_edges), "sid")), "sid").select("seed", F.col("to").alias("sid"))
+        rows = max(n * max(1, fan), total)
+        fresh = spread(step, rows, "seed", "sid").distinct().join(dealt(spread(seen.select("seed", "sid"), rows, "seed", "sid")), ["seed", "sid"], "left_anti")
+        front, n = counted(fresh.withColumn("depth", F.lit(depth)), "types")
+        seen, total = seen.unionByName(front), total + n
         out.append(front)
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
-    return found
+    return dealt(found) if total > BROADCAST_ROWS else found
 
 
 def called(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """sid, callee: functions of other files that a symbol's text calls, as its file sees their names; one step."""
-    words = symbols.select("sid", "file", F.col("name").alias("own"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_CALL), 1))).alias("name")).where("name <> own")
-    functions = symbols.where("kind = 'function'").select(F.col("sid").alias("callee"), F.col("file").alias("there"))
-    seen = resolved(words, symbols, imports).withColumnRenamed("sid", "callee").join(functions, "callee").where("there <> file")
-    return words.join(seen, ["name", "file"]).select("sid", "callee").distinct()
+    words = symbols.select("sid", "file", F.col("name").alias("own"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_CALL), 1))).alias("name")).where("name <> own").drop("own")
+    seen, n = _seen(words, symbols, imports)
+    return spread(seen.where("kind = 'function' and there <> file").select("sid", F.col("to").alias("callee")), n, "sid").distinct()

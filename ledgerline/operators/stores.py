@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, fu
 
 #: Written tables of more rows than this are dealt().
 BROADCAST_ROWS = 50_000
+#: Rows that spread() means for one task.
+TASK_ROWS = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,19 +28,40 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df in as many partitions as that number of rows needs, by keys or else in turn.
+
+    Spark reads files, and joins partitions after a shuffle, by their packed size.  Rows that repeat are packed a hundredfold, so that a table of millions lies in one task; these stay apart."""
+    return df.repartition(max(2, -(-rows // TASK_ROWS)), *keys)
+
+
+def streamed(df: DataFrame) -> DataFrame:
+    """df, which joins hold by key while the other side runs past it unsorted: for a side with few rows a key, where the other one may have very many."""
+    return df.hint("shuffle_hash")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once below the shared folder and read back; cuts lineage and plan."""
     return written_with(df, name)[0]
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """written(), not yet dealt out, and the number of rows, seen by the write itself."""
+    rows, told = _stored(df, name, F.lit(True))
+    return rows, told["rows"]
+
+
 def written_with(df: DataFrame, name: str, condition: Column | None = None) -> tuple[DataFrame, bool]:
     """written(), and whether any row (for which the condition holds) is there: seen by the write itself, so rounds that end when nothing is left need no job to find out."""
+    rows, told = _stored(df, name, F.lit(True) if condition is None else condition)
+    return dealt(rows) if told["rows"] > BROADCAST_ROWS else rows, told["n"] > 0
+
+
+def _stored(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, dict]:
     seen = Observation()
-    counted = F.count(F.lit(1)) if condition is None else F.count_if(condition)
     path = f"{shared_folder(df.sparkSession)}/ledgerline/{name}-{uuid.uuid4().hex}"
-    df.observe(seen, counted.alias("n"), F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    rows, told = df.sparkSession.read.schema(df.schema).parquet(path), seen.get
-    return dealt(rows) if told["rows"] > BROADCAST_ROWS else rows, told["n"] > 0
+    df.observe(seen, F.count_if(condition).alias("n"), F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
 def save_by_content(docs: DataFrame, folder: str, content: str = "content") -> DataFrame:

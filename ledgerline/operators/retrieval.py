@@ -9,7 +9,7 @@ from ..functions.routes import normalize_path, wildcard
 from .intervals import tightest
 from .matching import best_tier
 from .names import called as called_names, expanded_types
-from .stores import written
+from .stores import dealt, written
 
 MOST_WITNESSES, MOST_FILES = 12, 40
 
@@ -114,7 +114,7 @@ def seeds(targets: DataFrame, symbols: DataFrame, hints: DataFrame, candidates:
     none = F.array().cast("array<string>")
     quoted = symbols.select("sid", "file", F.explode("decorators").alias("d")).select("sid", "file", F.explode(F.regexp_extract_all("d", F.lit(r"""["']([^"']*)["']"""), 1)).alias("lit"))
     paths = quoted.join(hints, "file", "left").select("sid", F.explode(composed_variants(F.col("lit"), F.coalesce("own", none), F.coalesce("outer", none))).alias("p")).distinct()
-    paths = paths.withColumn("w", wildcard(F.col("p")))
+    paths = dealt(paths.withColumn("w", wildcard(F.col("p"))))  # targets' ends and pieces are more than targets, and may not be broadcast either
     wanted = routed.select("target", "path", wildcard(F.col("path")).alias("wild"))
 
     def met(asked: DataFrame, keys: Column, tier: int, both: bool = True) -> DataFrame:

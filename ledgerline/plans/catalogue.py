@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import routes as R
 from ..operators import budget, context, dedupe, diff, evidence, graph, incremental, intervals, matching, merge, scoring
-from ..operators.stores import dealt
+from ..operators.stores import TASK_ROWS, dealt, spread
 from ..sources import mining
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,8 +25,11 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf: str, name: str, apart: bool = False) -> DataFrame:
+    """apart: many rows are dealt out to tasks of their own, for queries that do much to a row or make large ones of it; a small file, which is one task, may hold millions."""
     rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    if apart and (n := rows.count()) > TASK_ROWS // 10:
+        rows = spread(rows, 10 * n)
     return rows if name in ("nation", "region") else dealt(rows)
 
 

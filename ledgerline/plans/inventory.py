@@ -314,7 +314,7 @@ def canonical_equality(spark, sf):
     k = F.col("p_partkey")
     a = F.concat(F.lit('{"id":"1","header":[{"key":"a"},{"key":"b"}],"body":{"raw":"{\\"k\\": '), "p_partkey", F.lit('}"},"event":[],"description":""}'))
     b = F.concat(F.lit('{"_postman_id":"9","body":{"raw":" {\\"k\\":'), "p_partkey", F.lit('} "},"header":[{"key":"b"},"x",{"key":"a"}'), F.when(F.col("p_size") % 3 == 2, ',{"key":"c"}').otherwise(""), F.lit("]}"))
-    return part(spark, sf).select(k.alias("id"), (canonical.canonical_json(a) == canonical.canonical_json(b)).alias("same"))
+    return table(spark, sf, "part", apart=True).select(k.alias("id"), (canonical.canonical_json(a) == canonical.canonical_json(b)).alias("same"))
 
 
 # ---- sources

@@ -20,9 +20,9 @@ WITNESS = """SELECT p_partkey AS ord, concat('s', p_size % 3) AS service, CASE W
  concat('/v', p_size % 2, '/', lower(p_brand), CASE WHEN p_partkey % 5 = 0 THEN '/{{id}}' WHEN p_partkey % 5 = 1 THEN concat('/k', p_partkey % 50) ELSE concat('/item', p_partkey % 11) END) AS path, concat('src/', p_size % 7, '.py') AS file, p_partkey % 8 = 0 AS auth FROM {part}"""
 
 
-def derived(spark, sf: str, sql: str) -> DataFrame:
+def derived(spark, sf: str, sql: str, apart: bool = False) -> DataFrame:
     names = [t for t in ("part", "nation", "supplier", "customer", "documents", "orders", "events", "lineitem") if "{" + t + "}" in sql]
-    return spark.sql(sql, **{t: table(spark, sf, t) for t in names})
+    return spark.sql(sql, **{t: table(spark, sf, t, apart) for t in names})
 
 
 def duck(sql: str) -> str:

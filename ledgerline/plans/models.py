@@ -88,7 +88,7 @@ _TREES = """SELECT p_partkey AS id, concat('{{"item": [{{"name": "A", "item": [{
  FROM part, (VALUES ('A', '0,0', 'one', ''), ('A/B', '0,1,0,0', 'two', 'POST:/b'), ('', '1', 'three', 'PUT:/c')) t(folder_path, place, name, key) WHERE p_partkey % 10 <> 0"""
 )
 def folder_requests(spark, sf):
-    return folders.requests(derived(spark, sf, _TREES), "id", "text").select("id", "folder_path", F.array_join("ord", ",").alias("place"), "name", "key")
+    return folders.requests(derived(spark, sf, _TREES, apart=True), "id", "text").select("id", "folder_path", F.array_join("ord", ",").alias("place"), "name", "key")
 
 
 @query(

@@ -52,7 +52,7 @@ _SCHEMAS_SQL = f"""WITH RECURSIVE docs AS (SELECT file, CAST(text AS JSON) AS d
 @query(_SCHEMAS_SQL)
 def resolved_schemas(spark, sf):
     """Fields of each component, as it stands there and as a reference to it has them."""
-    parts = schemas.components(derived(spark, sf, SPECS), "file", "text")
+    parts = schemas.components(derived(spark, sf, SPECS, apart=True), "file", "text")
     name = F.element_at(F.split("ref", "/"), -1)
     there = parts.select("file", name.alias("root"), "node")
     meant = parts.select("file", F.concat(F.lit("&"), name).alias("root"), F.parse_json(F.concat(F.lit('{"$ref": "'), "ref", F.lit('"}'))).alias("node"))

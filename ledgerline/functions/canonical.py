@@ -42,12 +42,18 @@ def _text(source, drop) -> str | None:
         return None
 
 
+def texts_as_meant(texts: pd.Series, drop: tuple) -> pd.Series:
+    """Canonical texts of a batch; those that it repeats are read once."""
+    known = {t: _text(t, drop) for t in texts.unique()}
+    return pd.Series([known[t] for t in texts], dtype=object)
+
+
 def canonical_json(source: Column, drop: tuple = IDENTITY_KEYS) -> Column:
     """Canonical text of a JSON column; null for null and for what is no JSON."""
 
     @F.pandas_udf("string")
     def canon(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _text(t, drop))
+        return texts_as_meant(texts, drop)
 
     return canon(source)
 

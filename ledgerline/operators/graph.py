@@ -7,37 +7,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .stores import dealt, written, written_with
+from .stores import counted, dealt, grown, written, written_with
 
 
 def ring_nodes(edges: DataFrame) -> DataFrame:
     """node: nodes on rings of edges (parent, child), or on the way from one ring to another.
 
     Edges are peeled: those from nodes that nothing leads to, and those to nodes that lead nowhere, until none goes.  Peeled edges are gone, so rounds get smaller."""
-    left, n = written(edges.select("parent", "child").distinct(), "edges"), -1
-    while True:
-        now = left.count()
-        if now in (0, n):
-            return left.select(F.col("parent").alias("node")).unionByName(left.select(F.col("child").alias("node"))).distinct()
-        n = now
+    (left, now), n = counted(edges.select("parent", "child").distinct(), "edges"), -1
+    while now not in (0, n):
+        n, left = now, dealt(left)
         inner = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        left = written(inner.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"), "edges")
+        left, now = counted(inner.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"), "edges")
+    return left.select(F.col("parent").alias("node")).unionByName(left.select(F.col("child").alias("node"))).distinct()
 
 
 def mount_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, path: every chain of mounts from a root (node, path) over edges (parent, child, prefix); chains that come back are cut.
 
-    A round keeps each node and path once, however many chains lead there; what a chain has seen is carried for nodes of rings alone, since only those can be met again."""
-    rings = written(ring_nodes(edges).withColumn("ring", F.lit(True)), "rings")
+    A round keeps each node and path once, however many chains lead there; what a chain has seen is carried for nodes of rings alone, since only those can be met again.
+    All joins are dealt out, however few the rows, so that nothing of them passes the driver: paths and what was seen get longer with each round."""
+    rings = grown(ring_nodes(edges).withColumn("ring", F.lit(True)), "rings")[0]
     none = F.array().cast(f"array<{edges.schema['child'].dataType.simpleString()}>")
     mounts = written(edges.select("parent", "child", "prefix").distinct().join(rings.withColumnRenamed("node", "child"), "child", "left"), "mounts")
     begun = roots.select("node", "path").distinct().join(rings, "node", "left")
-    front, some = written_with(begun.select("node", "path", F.when(F.col("ring"), F.array("node")).otherwise(none).alias("seen")), "walk")
+    front, some = grown(begun.select("node", "path", F.when(F.col("ring"), F.array("node")).otherwise(none).alias("seen")), "walk")
     found = front.select("node", "path")
     while some:
         step = front.join(mounts, F.col("node") == F.col("parent")).where(~F.array_contains("seen", F.col("child")))
         seen = F.when(F.col("ring"), F.array_sort(F.array_append("seen", F.col("child")))).otherwise(F.col("seen"))
-        front, some = written_with(step.select(F.col("child").alias("node"), F.concat("path", "prefix").alias("path"), seen.alias("seen")).distinct(), "walk")
+        front, some = grown(step.select(F.col("child").alias("node"), F.concat("path", "prefix").alias("path"), seen.alias("seen")).distinct(), "walk")
         found = found.unionByName(front.select("node", "path"))
     return found.distinct()
 
@@ -50,13 +49,13 @@ def first_mounts(edges: DataFrame, nodes: DataFrame, root: str = "is_root") -> D
     first = edges.groupBy("child").agg(F.min_by(F.struct("parent", "prefix"), "ord").alias("m")).select(F.col("child").alias("node"), F.col("m.parent").alias("up"), F.col("m.prefix").alias("mount"))
     linked = nodes.select("node", F.col("prefix").alias("own"), F.col(root).alias("is_root")).join(first, "node", "left")
     path = F.when(F.col("is_root"), F.col("own")).otherwise(F.concat(F.coalesce("mount", F.lit("")), "own"))
-    linked = written(linked.select("node", "own", "is_root", F.when(~F.col("is_root"), F.col("up")).alias("up"), path.alias("path")), "mounts")
+    linked, _ = grown(linked.select("node", "own", "is_root", F.when(~F.col("is_root"), F.col("up")).alias("up"), path.alias("path")), "mounts")
 
     def doubled(now: DataFrame, carried: str, both: Column) -> tuple[DataFrame, bool]:
         """Every pointer to where its goal points, and whether any is left; carried: from the node's value (mine) and its goal's (theirs)."""
         above = now.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col(carried).alias("theirs"))
         step = now.withColumnRenamed(carried, "mine").join(above, "up", "left")
-        return written_with(step.select("node", F.col("further").alias("up"), both.alias(carried)), "mounts", F.col("up").isNotNull())
+        return grown(step.select("node", F.col("further").alias("up"), both.alias(carried)), "mounts", F.col("up").isNotNull())
 
     reach, rounds = linked.select("node", "up", F.col("is_root").alias("resolved")), linked.count().bit_length() + 1
     for _ in range(rounds):
@@ -64,7 +63,7 @@ def first_mounts(edges: DataFrame, nodes: DataFrame, root: str = "is_root") -> D
         if not some:
             break
     good = reach.where("up is null and resolved").select("node")
-    paths = linked.join(good, "node", "left_semi").select("node", "up", "path")
+    paths = dealt(linked.join(good, "node", "left_semi").select("node", "up", "path"))
     for _ in range(rounds):
         paths, some = doubled(paths, "path", F.concat(F.coalesce("theirs", F.lit("")), "mine"))
         if not some:

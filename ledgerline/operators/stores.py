@@ -57,6 +57,12 @@ def written_with(df: DataFrame, name: str, condition: Column | None = None) -> t
     return dealt(rows) if told["rows"] > BROADCAST_ROWS else rows, told["n"] > 0
 
 
+def grown(df: DataFrame, name: str, condition: Column | None = None) -> tuple[DataFrame, bool]:
+    """written_with() for what a round adds to: always dealt(), since a row gets longer with each round, and few long ones may be more than many short ones."""
+    rows, told = _stored(df, name, F.lit(True) if condition is None else condition)
+    return dealt(rows), told["n"] > 0
+
+
 def _stored(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, dict]:
     seen = Observation()
     path = f"{shared_folder(df.sparkSession)}/ledgerline/{name}-{uuid.uuid4().hex}"
